@@ -173,7 +173,7 @@ def extended_ctes() -> list[str]:
         """ratio AS (
   SELECT CAST(l_shipdate AS DATE) AS date, avg(l_extendedprice) / (avg(l_quantity) * 1000) AS mvrv
   FROM lineitem GROUP BY 1)""",
-        f"""x1 AS (SELECT d.series_id, d.date, {clipped(zscore_sql('mvrv', 365), -4, 4)} AS z
+        f"""x1 AS (SELECT series_id, date, {clipped(zscore_sql('mvrv', 365), -4, 4)} AS z
   FROM (SELECT d.series_id, d.date, mvrv FROM daily d LEFT JOIN ratio r ON r.date = d.date) t)""",
         f"x2 AS (SELECT *, {diff_sql('z', 30)} AS gd FROM x1)",
         f"x3 AS (SELECT *, coalesce(tanh(2 * ({ema_sql('gd', 30, 999)})), 0) AS grad FROM x2)",
@@ -338,7 +338,7 @@ b AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orde
 SELECT date, 'common' AS kind FROM (SELECT * FROM a INTERSECT SELECT * FROM b) x
 UNION ALL SELECT date, 'absent' AS kind FROM (SELECT * FROM a EXCEPT SELECT * FROM b) y"""
 
-    feature_select = f"SELECT series_id, date, price, {r('price_ma', 6, 'price_ma')}, {r('price_vs_ma', 7, 'price_vs_ma')}"
+    feature_select = f"SELECT series_id, date, price, {r('price_ma', 2, 'price_ma')}, {r('price_vs_ma', 7, 'price_vs_ma')}"
     q["features_baseline"] = statement([daily, feat], f"{feature_select}, {r(BASE_MULTIPLIER, 7, 'multiplier')} FROM feat")
     zs = f"scored AS (SELECT series_id, date, {zscore_sql('price', 365)} AS z FROM daily)"
     q["zscore"] = statement([daily, zs], f"SELECT series_id, date, {r('z', 7, 'zscore')} FROM scored")
@@ -355,11 +355,11 @@ UNION ALL SELECT date, 'absent' AS kind FROM (SELECT * FROM a EXCEPT SELECT * FR
     q["activity"] = statement([ACTIVITY], f"SELECT date, market_count, {r('volume', 2, 'volume')} FROM activity")
     q["sentiment"] = statement([ACTIVITY, SENTIMENT], f"SELECT date, {r('sentiment', 9, 'sentiment')} FROM sentiment")
     ext = extended_ctes()
-    q["features_extended"] = statement(ext, f"""SELECT series_id, date, coalesce(price, 0) AS price, {r('coalesce(price_ma, 0)', 6, 'price_ma')},
+    q["features_extended"] = statement(ext, f"""SELECT series_id, date, coalesce(price, 0) AS price, {r('coalesce(price_ma, 0)', 2, 'price_ma')},
   {r('price_vs_ma', 7, 'price_vs_ma')}, {r('z', 7, 'mvrv_zscore')}, {r('grad', 7, 'mvrv_gradient')},
   {r('acc', 7, 'mvrv_acceleration')}, {r('zone', 7, 'mvrv_zone')}, {r('vrank', 7, 'mvrv_volatility')},
   {r('conf', 7, 'signal_confidence')}, {r('sentiment', 7, 'sentiment')} FROM ext""")
-    q["multiplier_extended"] = statement(ext, f"SELECT series_id, date, {r(exponent_sql(), 7, 'log_multiplier')} FROM ext")
+    q["multiplier_extended"] = statement(ext, f"SELECT series_id, date, {r(exponent_sql(), 6, 'log_multiplier')} FROM ext")
     q["signal_parts"] = statement(ext, f"""SELECT series_id, date, {r(BOOST, 7, 'boost')}, {r(TREND, 7, 'trend')},
   {r(ACCEL, 7, 'acceleration')}, {r('conf', 7, 'confidence')} FROM ext""")
     pressure = clipped("tanh(z * 0.5) + CASE WHEN abs(z) > 2 THEN sign(z) * 0.3 * (abs(z) - 2) ELSE 0 END", -1, 1)
@@ -439,11 +439,11 @@ UNION ALL SELECT date, 'absent' AS kind FROM (SELECT * FROM a EXCEPT SELECT * FR
 
     q["performance_long"] = statement(base, f"""SELECT series_id, window_start AS date, 'Dynamic DCA' AS strategy, {r('dp', 4, 'spd_percentile')} FROM spd
   UNION ALL SELECT series_id, window_start, 'Uniform DCA', {r('up', 4)} FROM spd""")
-    q["excess_histogram"] = statement([*base, """lim AS (SELECT series_id, min(dp - up) AS lo, max(dp - up) AS hi, avg(dp - up) AS mean FROM spd GROUP BY 1)""",
-        """hit AS (SELECT s.series_id, least(CAST(floor(((dp - up) - lo) / ((hi - lo) / 30)) AS INTEGER), 29) AS bin, count(*) AS windows
+    q["excess_histogram"] = statement([*base, """lim AS (SELECT series_id, min(dp - up) AS x0, max(dp - up) AS x1, avg(dp - up) AS mean FROM spd GROUP BY 1)""",
+        """hit AS (SELECT s.series_id, least(CAST(floor(((dp - up) - x0) / ((x1 - x0) / 30)) AS INTEGER), 29) AS bin, count(*) AS windows
   FROM spd s JOIN lim l ON l.series_id = s.series_id GROUP BY 1, 2)"""],
-        f"""SELECT l.series_id, CAST(b.bin AS INTEGER) AS bin, {r('lo + b.bin * ((hi - lo) / 30)', 4, 'bin_start')},
-  {r('lo + (b.bin + 1) * ((hi - lo) / 30)', 4, 'bin_end')}, coalesce(h.windows, 0) AS windows, {r('mean', 4, 'mean_excess')}
+        f"""SELECT l.series_id, CAST(b.bin AS INTEGER) AS bin, {r('x0 + b.bin * ((x1 - x0) / 30)', 4, 'bin_start')},
+  {r('x0 + (b.bin + 1) * ((x1 - x0) / 30)', 4, 'bin_end')}, coalesce(h.windows, 0) AS windows, {r('mean', 4, 'mean_excess')}
   FROM lim l CROSS JOIN range(30) b(bin) LEFT JOIN hit h ON h.series_id = l.series_id AND h.bin = b.bin""")
     q["cumulative_excess"] = statement(base, f"""SELECT series_id, window_start AS date,
   {r('sum(dp - up) OVER (PARTITION BY series_id ORDER BY window_start ROWS UNBOUNDED PRECEDING)', 3, 'cumulative_excess')} FROM spd""")

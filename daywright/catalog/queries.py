@@ -65,11 +65,11 @@ SPD_COLUMNS = (
 
 
 def _spd(spark: SparkSession, d: str) -> DataFrame:
-    return B.backtest(S.daily(spark, d), S.windows(spark), S.baseline())
+    return B.backtest(S.daily(spark, d), S.windows(), S.baseline())
 
 
 def _spd_extended(spark: SparkSession, d: str) -> DataFrame:
-    return B.backtest(S.daily_mvrv(spark, d), S.windows(spark), S.extended(spark, d))
+    return B.backtest(S.daily_mvrv(spark, d), S.windows(), S.extended(spark, d))
 
 
 def _extended(spark: SparkSession, d: str) -> DataFrame:
@@ -81,7 +81,7 @@ def _extended(spark: SparkSession, d: str) -> DataFrame:
 def _weights_on(spark: SparkSession, d: str, day: str, stored: DataFrame | None = None) -> DataFrame:
     days = S.daily_all(spark, d)
     return B.window_weights(
-        feat.baseline_features(days, since=None), S.windows(spark), S.baseline(), day, stored
+        feat.baseline_features(days, since=None), S.windows(), S.baseline(), day, stored
     )
 
 
@@ -191,16 +191,16 @@ def date_sets(spark, d):
 @query
 def features_baseline(spark, d):
     out = feat.with_baseline_multiplier(feat.baseline_features(S.daily(spark, d), since=None))
-    return rounded(out, 7, price=6, price_ma=6)
+    return rounded(out, 7, price=6, price_ma=2)
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return R.with_zscore(S.daily(spark, d), "price", "z", 365)
 
 
 @query
 def zscore(spark, d):
-    spec = R.by_date(R.DEFAULT_KEYS)
-    out = S.daily(spark, d).select(
-        "series_id", "date", R.rolling_zscore(F.col("price"), spec, 365).alias("zscore")
-    )
-    return rounded(out, 7)
+    return rounded(_scored(spark, d).select("series_id", "date", F.col("z").alias("zscore")), 7)
 
 
 @query
@@ -212,31 +212,21 @@ def ema(spark, d):
 
 @query
 def pct_rank(spark, d):
-    spec = R.by_date(R.DEFAULT_KEYS)
-    out = S.daily(spark, d).select(
-        "series_id",
-        "date",
-        R.rolling_percent_rank(F.col("price"), spec, 360, 90).alias("rank_360"),
-        R.rolling_percent_rank(F.col("price"), spec, 30, 1).alias("rank_30"),
-    )
-    return rounded(out, 9)
+    ranked = R.with_percent_rank(S.daily(spark, d), "price", "rank_360", 360, 90)
+    ranked = R.with_percent_rank(ranked, "price", "rank_30", 30, 1)
+    return rounded(ranked.drop("price"), 9)
 
 
 @query
 def zones(spark, d):
-    spec = R.by_date(R.DEFAULT_KEYS)
-    scored = S.daily(spark, d).withColumn("z", R.rolling_zscore(F.col("price"), spec, 365))
-    return scored.groupBy("series_id", signals.valuation_zone(F.col("z")).alias("zone")).agg(
-        F.count(F.lit(1)).alias("days")
-    )
+    zone = signals.valuation_zone(F.col("z")).alias("zone")
+    return _scored(spark, d).groupBy("series_id", zone).agg(F.count(F.lit(1)).alias("days"))
 
 
 @query
 def volatility(spark, d):
-    spec = R.by_date(R.DEFAULT_KEYS)
-    scored = S.daily(spark, d).withColumn("z", R.rolling_zscore(F.col("price"), spec, 365))
-    out = scored.select("series_id", "date", R.rolling_std(F.col("z"), spec, 90, 22).alias("volatility"))
-    return rounded(out, 7)
+    out = R.with_rolling_std(_scored(spark, d), "z", "volatility", 90, 22)
+    return rounded(out.select("series_id", "date", "volatility"), 7)
 
 
 @query
@@ -251,14 +241,14 @@ def sentiment(spark, d):
 
 @query
 def features_extended(spark, d):
-    return rounded(_extended(spark, d).drop("observed_price"), 7, price=6, price_ma=6)
+    return rounded(_extended(spark, d).drop("observed_price"), 7, price=6, price_ma=2)
 
 
 @query
 def multiplier_extended(spark, d):
     out = feat.with_extended_multiplier(_extended(spark, d))
     return rounded(
-        out.select("series_id", "date", F.ln("multiplier").alias("log_multiplier")), 7
+        out.select("series_id", "date", F.ln("multiplier").alias("log_multiplier")), 6
     )
 
 
@@ -279,9 +269,7 @@ def signal_parts(spark, d):
 
 @query
 def reversion_pressure(spark, d):
-    spec = R.by_date(R.DEFAULT_KEYS)
-    scored = S.daily(spark, d).withColumn("z", R.rolling_zscore(F.col("price"), spec, 365))
-    out = scored.select("series_id", "date", signals.reversion_pressure(F.col("z")).alias("pressure"))
+    out = _scored(spark, d).select("series_id", "date", signals.reversion_pressure(F.col("z")).alias("pressure"))
     return rounded(out, 7)
 
 
@@ -297,20 +285,20 @@ def softmax(spark, d):
 @query
 def alloc_weights(spark, d):
     features = feat.baseline_features(S.daily_all(spark, d), since=None)
-    out = B.backtest_weights(features, S.windows(spark), S.baseline())
+    out = B.backtest_weights(features, S.windows(), S.baseline())
     return rounded(out.select("series_id", "window_start", "date", "weight"), 9)
 
 
 @query
 def weight_summary(spark, d):
     features = feat.baseline_features(S.daily(spark, d), since=None)
-    return rounded(spd.weight_summary(B.backtest_weights(features, S.windows(spark), S.baseline())), 8)
+    return rounded(spd.weight_summary(B.backtest_weights(features, S.windows(), S.baseline())), 8)
 
 
 @query
 def check_weights(spark, d):
     features = feat.baseline_features(S.daily(spark, d), since=None)
-    return rounded(spd.weight_checks(B.backtest_weights(features, S.windows(spark), S.baseline())), 7)
+    return rounded(spd.weight_checks(B.backtest_weights(features, S.windows(), S.baseline())), 7)
 
 
 @query
@@ -351,7 +339,7 @@ def strategy_udf(spark, d):
         return raw / raw.sum()
 
     features = feat.baseline_features(S.daily(spark, d), since=None)
-    out = B.backtest_python(features, S.windows(spark), S.baseline(), weigh)
+    out = B.backtest_python(features, S.windows(), S.baseline(), weigh)
     return rounded(out.select(*SPD_COLUMNS), 4)
 
 
@@ -401,7 +389,7 @@ def leakage_check(spark, d):
 @query
 def submission_check(spark, d):
     """Checks and failures by kind."""
-    checks = B.submission_check(S.daily(spark, d), S.windows(spark), S.baseline())
+    checks = B.submission_check(S.daily(spark, d), S.windows(), S.baseline())
     return checks.groupBy("series_id", "check").agg(
         F.count(F.lit(1)).alias("checked"), F.count_if(~F.col("passed")).alias("failed")
     )
@@ -438,7 +426,7 @@ def window_report(spark, d):
 @query
 def scenario_spike(spark, d):
     days = scenarios.spike(S.daily(spark, d), PROBE_DAY)
-    return rounded(B.backtest(days, S.windows(spark), S.baseline()).select(*SPD_COLUMNS), 4)
+    return rounded(B.backtest(days, S.windows(), S.baseline()).select(*SPD_COLUMNS), 4)
 
 
 @query
@@ -449,7 +437,7 @@ def scenario_crash(spark, d):
 @query
 def scenario_constant(spark, d):
     days = scenarios.constant_price(S.daily(spark, d))
-    return rounded(B.backtest(days, S.windows(spark), S.baseline()).select(*SPD_COLUMNS), 4)
+    return rounded(B.backtest(days, S.windows(), S.baseline()).select(*SPD_COLUMNS), 4)
 
 
 @query
@@ -460,13 +448,13 @@ def scenario_second_half(spark, d):
 @query
 def scenario_mask(spark, d):
     masked = scenarios.mask_after(S.daily(spark, d), PROBE_DAY, ["price"])
-    return rounded(feat.baseline_features(masked, since=None), 7, price=6, price_ma=6)
+    return rounded(feat.baseline_features(masked, since=None), 7, price=6, price_ma=2)
 
 
 @query
 def scenario_truncate(spark, d):
     known = scenarios.truncate_after(S.daily(spark, d), PROBE_DAY)
-    return rounded(feat.baseline_features(known, since=None), 7, price=6, price_ma=6)
+    return rounded(feat.baseline_features(known, since=None), 7, price=6, price_ma=2)
 
 
 @query

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daywright.operators.cleaning import to_day
-from daywright.operators.windows import rolling_windows
+from daywright.operators.windows import RollingWindows
 from daywright.plans.strategy import Strategy, baseline_strategy, extended_strategy
 
 RANGE_START, RANGE_END = "1996-01-01", "2001-07-31"
@@ -110,8 +110,8 @@ def small_unit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def windows(spark: SparkSession) -> DataFrame:
-    return rolling_windows(spark, RANGE_START, RANGE_END)
+def windows() -> RollingWindows:
+    return RollingWindows(RANGE_START, RANGE_END)
 
 
 def baseline() -> Strategy:

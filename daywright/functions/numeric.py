@@ -25,8 +25,8 @@ def is_finite(c: Column) -> Column:
 
 
 def finite_or(c: Column, default) -> Column:
-    """``c`` where it is a finite number, ``default`` elsewhere."""
-    return F.when(is_finite(c), c).otherwise(as_column(default).cast("double"))
+    """``c`` where it is a finite number, ``default`` elsewhere (NaN sorts above infinity)."""
+    return F.coalesce(F.when(F.abs(c) < INF, c), as_column(default).cast("double"))
 
 
 def float_div(a: Column, b: Column) -> Column:
@@ -39,9 +39,22 @@ def float_div(a: Column, b: Column) -> Column:
     )
 
 
+def bound(c: Column, low: float, high: float) -> Column:
+    """Bound a value that is known to be present; names ``c`` once, so it nests well."""
+    return F.greatest(F.lit(low), F.least(F.lit(high), c))
+
+
 def clip(c: Column, low: float, high: float) -> Column:
     """Bound ``c``; a missing value stays missing (``greatest``/``least`` skip nulls)."""
-    return F.when(c.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), c)))
+    return F.when(c.isNotNull(), bound(c, low, high))
+
+
+def where_present(value: Column, *inputs: Column) -> Column:
+    """``value`` where every input is present, else missing."""
+    known = F.lit(True)
+    for c in inputs:
+        known = known & c.isNotNull()
+    return F.when(known, value)
 
 
 def is_close(a: Column, b: Column, rtol: float = 1e-5, atol: float = 1e-8) -> Column:

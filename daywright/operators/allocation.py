@@ -10,28 +10,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from daywright.functions.numeric import finite_or, float_div
+from daywright.functions.numeric import INF, finite_or, float_div
 from daywright.operators.rolling import DEFAULT_KEYS, Keys, running
-from daywright.operators.spd import unit_rate
 from daywright.operators.windows import WINDOW_KEYS
 from daywright.settings import BUDGET_SLACK
 
 
 def _in_window(keys: Keys):
-    return Window.partitionBy(*keys, *WINDOW_KEYS)
+    """Rows of one window of one series.
+
+    The dates come first: they tell rows apart in the sort prefix, series names do not.
+    """
+    return Window.partitionBy(*reversed(WINDOW_KEYS), *keys)
 
 
 def with_stable_signal(
     expanded: DataFrame, multiplier: str = "multiplier", keys: Keys = DEFAULT_KEYS
 ) -> DataFrame:
-    """Add ``signal`` (multiplier over its running mean; 1 where undefined) and ``is_last``."""
-    ordered = _in_window(keys).orderBy("date")
-    mean_so_far = F.avg(multiplier).over(running(ordered))
-    return expanded.withColumns(
-        {
-            "signal": finite_or(float_div(F.col(multiplier), mean_so_far), 1.0),
-            "is_last": F.lead("date").over(ordered).isNull(),
-        }
+    """Add ``signal``: the multiplier over its running mean, 1 where that is undefined."""
+    mean_so_far = F.avg(multiplier).over(running(_in_window(keys).orderBy("date")))
+    return (
+        expanded.withColumn("_so_far", mean_so_far)
+        .withColumn("signal", finite_or(float_div(F.col(multiplier), F.col("_so_far")), 1.0))
+        .drop("_so_far")
     )
 
 
@@ -75,24 +76,26 @@ def allocate(
             "_u", F.when(past, F.when(stored >= F.col("_k"), F.col(locked)).otherwise(computed))
         )
     budget = F.col("_k") / F.col("_n")
-    spent = F.coalesce(F.sum("_u").over(group), F.lit(0.0))
+    spent = F.col("_spent")
     scale = F.when(spent > budget + BUDGET_SLACK, budget / spent).otherwise(1.0)
+    base = base.withColumn("_spent", F.coalesce(F.sum("_u").over(group), F.lit(0.0)))
     base = base.withColumn("_w", F.when(past, F.col("_u") * scale).otherwise(1.0 / F.col("_n")))
-    others = F.coalesce(F.sum(F.when(~F.col("is_last"), F.col("_w"))).over(group), F.lit(0.0))
+    is_last = F.col("_i") == F.col("_n")
+    others = F.coalesce(F.sum(F.when(~is_last, F.col("_w"))).over(group), F.lit(0.0))
     weight = (
         F.when(F.col("_k") <= 0, 1.0 / F.col("_n"))
-        .when(F.col("is_last"), F.greatest(1.0 - others, F.lit(0.0)))
+        .when(is_last, F.greatest(1.0 - others, F.lit(0.0)))
         .otherwise(F.col("_w"))
     )
     return base.withColumn("weight", weight).drop(
-        "signal", "is_last", "_i", "_n", "_k", "_u", "_w"
+        "signal", "_i", "_n", "_k", "_u", "_spent", "_w"
     )
 
 
 def window_totals(
     expanded: DataFrame,
     multiplier: str = "multiplier",
-    price: str = "price",
+    rate: str = "rate",
     keys: Keys = DEFAULT_KEYS,
 ) -> DataFrame:
     """Per-window totals when every day is past, without building the weights.
@@ -101,29 +104,30 @@ def window_totals(
     the sum is linear in the signals, so the pieces below are enough to finish it once per
     window.
     """
-    rows = with_stable_signal(expanded, multiplier, keys).withColumn("_rate", unit_rate(F.col(price)))
-    last, signal, rate = F.col("is_last"), F.col("signal"), F.col("_rate")
+    rows = with_stable_signal(expanded, multiplier, keys)
+    signal, bought = F.col("signal"), F.col("signal") * F.col(rate)
     totals = rows.groupBy(*keys, *WINDOW_KEYS).agg(
         F.count(F.lit(1)).alias("n"),
-        F.sum("signal").alias("_all"),
-        F.coalesce(F.sum(F.when(~last, signal)), F.lit(0.0)).alias("_head"),
-        F.coalesce(F.sum(F.when(~last, signal * rate)), F.lit(0.0)).alias("_head_rate"),
-        F.max(F.when(last, rate)).alias("_last_rate"),
-        F.min("_rate").alias("min_rate"),
-        F.max("_rate").alias("max_rate"),
-        F.avg("_rate").alias("uniform_rate"),
+        F.sum(signal).alias("_all"),
+        F.sum(bought).alias("_bought"),
+        F.max_by(signal, "date").alias("_last"),
+        F.max_by(rate, "date").alias("_last_rate"),
+        F.min(rate).alias("min_rate"),
+        F.max(rate).alias("max_rate"),
+        F.avg(rate).alias("uniform_rate"),
     )
     over_budget = F.col("_all") / F.col("n") > 1.0 + BUDGET_SLACK
     unit = F.when(over_budget, 1.0 / F.col("_all")).otherwise(1.0 / F.col("n"))
-    final = F.greatest(1.0 - unit * F.col("_head"), F.lit(0.0))
+    final = F.greatest(1.0 - unit * (F.col("_all") - F.col("_last")), F.lit(0.0))
+    # The last day is taken out of the signal total and put back with its own weight.
+    correction = (final - unit * F.col("_last")) * F.col("_last_rate")
+    dynamic = F.coalesce(unit * F.col("_bought"), F.lit(0.0)) + F.coalesce(correction, F.lit(0.0))
     return totals.select(
         *keys,
         *WINDOW_KEYS,
         "min_rate",
         "max_rate",
         "uniform_rate",
-        (unit * F.col("_head_rate") + F.coalesce(final * F.col("_last_rate"), F.lit(0.0))).alias(
-            "dynamic_rate"
-        ),
-        (unit * F.col("_head") + final).alias("weight_sum"),
+        F.when(F.col("max_rate") == INF, INF).otherwise(dynamic).alias("dynamic_rate"),
+        (unit * (F.col("_all") - F.col("_last")) + final).alias("weight_sum"),
     )

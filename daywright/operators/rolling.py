@@ -35,25 +35,43 @@ def trailing(spec: WindowSpec, rows: int) -> WindowSpec:
     return spec.rowsBetween(-(rows - 1), Window.currentRow)
 
 
-def _with_enough(value: Column, c: Column, frame: WindowSpec, min_rows: int) -> Column:
-    return F.when(F.count(c).over(frame) >= min_rows, value)
-
+def with_rolling_mean(
+    df: DataFrame, column: str, out: str, rows: int, min_rows: int, keys: Keys = DEFAULT_KEYS
+) -> DataFrame:
+    """Mean of the last ``rows`` rows if at least ``min_rows`` of them have a value."""
+    frame = trailing(by_date(keys), rows)
+    return df.withColumn(out, F.when(F.count(column).over(frame) >= min_rows, F.avg(column).over(frame)))
 
-def rolling_mean(c: Column, spec: WindowSpec, rows: int, min_rows: int) -> Column:
-    frame = trailing(spec, rows)
-    return _with_enough(F.avg(c).over(frame), c, frame, min_rows)
 
+def with_rolling_std(
+    df: DataFrame, column: str, out: str, rows: int, min_rows: int, keys: Keys = DEFAULT_KEYS
+) -> DataFrame:
+    """Sample deviation of the last ``rows`` rows if enough of them have a value."""
+    frame = trailing(by_date(keys), rows)
+    return df.withColumn(
+        out, F.when(F.count(column).over(frame) >= min_rows, F.stddev_samp(column).over(frame))
+    )
 
-def rolling_std(c: Column, spec: WindowSpec, rows: int, min_rows: int) -> Column:
-    frame = trailing(spec, rows)
-    return _with_enough(F.stddev_samp(c).over(frame), c, frame, min_rows)
 
+def with_zscore(
+    df: DataFrame, column: str, out: str, rows: int, keys: Keys = DEFAULT_KEYS
+) -> DataFrame:
+    """(x - mean) / std over the last ``rows`` rows; missing becomes 0.
 
-def rolling_zscore(c: Column, spec: WindowSpec, rows: int) -> Column:
-    """(x - mean) / std over the frame; missing becomes 0."""
-    mean = rolling_mean(c, spec, rows, rows // 2)
-    std = rolling_std(c, spec, rows, rows // 2)
-    return F.coalesce(float_div(c - mean, std), F.lit(0.0))
+    The frame values are made as columns first: a window expression named twice in a formula
+    would be evaluated twice.
+    """
+    frame = trailing(by_date(keys), rows)
+    x = F.col(column)
+    framed = df.withColumns(
+        {
+            "_n": F.count(x).over(frame),
+            "_mean": F.avg(x).over(frame),
+            "_std": F.stddev_samp(x).over(frame),
+        }
+    )
+    score = F.when(F.col("_n") >= rows // 2, float_div(x - F.col("_mean"), F.col("_std")))
+    return framed.withColumn(out, F.coalesce(score, F.lit(0.0))).drop("_n", "_mean", "_std")
 
 
 def distance_to_mean(c: Column, mean: Column) -> Column:
@@ -69,18 +87,31 @@ def lagged(c: Column, spec: WindowSpec, default=None) -> Column:
     return previous if default is None else F.coalesce(previous, F.lit(default))
 
 
-def rolling_percent_rank(c: Column, spec: WindowSpec, rows: int, min_rows: int) -> Column:
+def with_percent_rank(
+    df: DataFrame, column: str, out: str, rows: int, min_rows: int, keys: Keys = DEFAULT_KEYS
+) -> DataFrame:
     """Share of the earlier rows in the frame that are below the current value.
 
     Missing earlier rows count in the denominator; a missing current value ranks 0. The row
     threshold comes first; a one-row frame ranks 0.5.
     """
+    spec = by_date(keys)
     frame = trailing(spec, rows)
-    earlier = F.collect_list(c).over(spec.rowsBetween(-(rows - 1), -1))
-    in_frame = F.count(F.lit(1)).over(frame)
-    below = F.size(F.filter(earlier, lambda v: v < c))
-    rank = F.when(in_frame == 1, 0.5).otherwise(below / F.greatest(in_frame - 1, F.lit(1)))
-    return _with_enough(rank, c, frame, min_rows)
+    x = F.col(column)
+    framed = df.withColumns(
+        {
+            "_earlier": F.collect_list(x).over(spec.rowsBetween(-(rows - 1), -1)),
+            "_rows": F.count(F.lit(1)).over(frame),
+            "_valid": F.count(x).over(frame),
+        }
+    )
+    below = F.size(F.filter("_earlier", lambda v: v < x))
+    rank = F.when(F.col("_rows") == 1, 0.5).otherwise(
+        below / F.greatest(F.col("_rows") - 1, F.lit(1))
+    )
+    return framed.withColumn(out, F.when(F.col("_valid") >= min_rows, rank)).drop(
+        "_earlier", "_rows", "_valid"
+    )
 
 
 def with_ema(

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from daywright.operators.cleaning import to_day
-from daywright.operators.rolling import rolling_percent_rank
+from daywright.operators.rolling import with_percent_rank
 from daywright.settings import MARKET_TEXT_PATTERN
 
 
@@ -37,13 +37,9 @@ def activity_sentiment(
     The ranks need one order over all active days. That table has one row per calendar date
     however many markets there are, so a single ordered pass over it stays small.
     """
-    ordered = Window.partitionBy(F.lit(0)).orderBy("date")
-    ranks = daily_activity(markets, pattern).withColumns(
-        {
-            "_count_rank": rolling_percent_rank(F.col("market_count"), ordered, rows, 1),
-            "_volume_rank": rolling_percent_rank(F.col("volume"), ordered, rows, 1),
-        }
-    )
+    ranks = daily_activity(markets, pattern).withColumn("_all", F.lit(0))
+    ranks = with_percent_rank(ranks, "market_count", "_count_rank", rows, 1, ["_all"])
+    ranks = with_percent_rank(ranks, "volume", "_volume_rank", rows, 1, ["_all"])
     return ranks.select(
         "date",
         F.coalesce(0.5 * F.col("_count_rank") + 0.5 * F.col("_volume_rank"), F.lit(0.5)).alias(

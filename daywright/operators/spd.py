@@ -46,18 +46,17 @@ def spd_table(rates: DataFrame, keys: Keys = DEFAULT_KEYS) -> DataFrame:
 
 
 def rates_from_weights(
-    weighted: DataFrame, price: str = "price", keys: Keys = DEFAULT_KEYS
+    weighted: DataFrame, rate: str = "rate", keys: Keys = DEFAULT_KEYS
 ) -> DataFrame:
-    """Per-window rates from rows that carry a price and a weight.
+    """Per-window rates from rows that carry a rate and a weight.
 
     A day without a price buys nothing: its product is NULL and drops out of the sum.
     """
-    rate = unit_rate(F.col(price))
     return weighted.groupBy(*keys, *WINDOW_KEYS).agg(
         F.min(rate).alias("min_rate"),
         F.max(rate).alias("max_rate"),
         F.avg(rate).alias("uniform_rate"),
-        F.coalesce(F.sum(F.col("weight") * rate), F.lit(0.0)).alias("dynamic_rate"),
+        F.coalesce(F.sum(F.col("weight") * F.col(rate)), F.lit(0.0)).alias("dynamic_rate"),
         F.sum("weight").alias("weight_sum"),
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +19,6 @@ from daywright.settings import (
     fits_broadcast,
 )
 
-WINDOW_SCHEMA = "window_start date, window_end date, window string"
 # Identity of one window of one series after expansion; ``block`` carries the partitioning.
 BLOCK = "block"
 WINDOW_KEYS = (BLOCK, "window_start", "window_end")
@@ -50,17 +50,20 @@ def windows_in_span(
     )
 
 
-def rolling_windows(
-    spark: SparkSession,
-    start: str = BACKTEST_START,
-    end: str = BACKTEST_END,
-    months: int = WINDOW_MONTHS,
-) -> DataFrame:
-    """(window_start, window_end, window) for a date range; both ends are inclusive."""
-    span = spark.range(1).select(
-        F.lit(start).cast("date").alias("first"), F.lit(end).cast("date").alias("last")
-    )
-    return windows_in_span(span, "first", "last", months)
+@dataclass(frozen=True)
+class RollingWindows:
+    """A window starting on every day of a range; both ends of a window are inclusive."""
+
+    start: str = BACKTEST_START
+    end: str = BACKTEST_END
+    months: int = WINDOW_MONTHS
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """(window_start, window_end, window), one row per window."""
+        span = spark.range(1).select(
+            F.lit(self.start).cast("date").alias("first"), F.lit(self.end).cast("date").alias("last")
+        )
+        return windows_in_span(span, "first", "last", self.months)
 
 
 def explicit_windows(spark: SparkSession, pairs: list[tuple[date, date]]) -> DataFrame:
@@ -85,7 +88,7 @@ def window_days(start: Column, end: Column) -> Column:
 
 def expand_windows(
     days: DataFrame,
-    windows: DataFrame,
+    windows: RollingWindows | DataFrame,
     keys: Keys = DEFAULT_KEYS,
     partitions: int | None = None,
     block_days: int = WINDOW_BLOCK_DAYS,
@@ -99,21 +102,58 @@ def expand_windows(
     is thereby spread over many tasks, and a task never holds more than one block's days of
     one series at a time.
 
-    ``days`` needs ``reach_from``/``reach_to`` from ``fill_gaps``. The window table holds
-    dates only, no series; its size is checked before it is broadcast.
+    ``days`` needs ``reach_from``/``reach_to`` from ``fill_gaps``; ``windows`` is a rolling
+    range or a table of (window_start, window_end).
+    """
+    count = partitions or expansion_partitions(days.sparkSession)
+
+    def place(copied: DataFrame) -> DataFrame:
+        return copied.repartition(count, *keys, BLOCK)
+
+    if isinstance(windows, RollingWindows):
+        rows = _expand_rolling(days, windows, block_days, place)
+    else:
+        rows = _expand_table(days, windows, block_days, place)
+    return rows.drop("reach_from", "reach_to")
+
+
+def _expand_rolling(days: DataFrame, windows: RollingWindows, block_days: int, place) -> DataFrame:
+    """Daily starts follow from the date by arithmetic: no window table and no join."""
+    end = F.lit(windows.end).cast("date")
+    first = F.greatest(F.add_months("reach_to", -windows.months), F.lit(windows.start).cast("date"))
+    last = F.least(F.col("reach_from"), F.add_months(end, -windows.months))
+    bounded = days.withColumns({"_first": F.unix_date(first), "_last": F.unix_date(last)})
+    copied = bounded.where(F.col("_first") <= F.col("_last")).withColumn(
+        BLOCK,
+        F.explode(F.sequence(F.floor(F.col("_first") / block_days), F.floor(F.col("_last") / block_days))),
+    )
+    low = F.greatest(F.col("_first"), (F.col(BLOCK) * block_days).cast("int"))
+    high = F.least(F.col("_last"), (F.col(BLOCK) * block_days + block_days - 1).cast("int"))
+    return (
+        place(copied)
+        .withColumn("_start", F.explode(F.sequence(low, high)))
+        .withColumn("window_start", F.date_from_unix_date("_start"))
+        .withColumn("window_end", F.add_months("window_start", windows.months))
+        # Month ends: 28 February plus a year does not reach 29 February.
+        .where(F.col("window_end") >= F.col("reach_to"))
+        .drop("_first", "_last", "_start")
+    )
+
+
+def _expand_table(days: DataFrame, windows: DataFrame, block_days: int, place) -> DataFrame:
+    """Any window table: joined by date to find the blocks, then by block to find the windows.
+
+    The table holds dates only, no series; its size is checked before it is broadcast.
     """
-    spark = days.sparkSession
     block = F.floor(F.unix_date("window_start") / block_days)
     lookup = windows.select("window_start", "window_end", block.alias(BLOCK)).distinct()
     hint = F.broadcast if fits_broadcast(lookup) else (lambda df: df)
-
     block_dates = (
         lookup.groupBy(BLOCK)
         .agg(F.min("window_start").alias("_a"), F.max("window_end").alias("_b"))
         .select(BLOCK, F.explode(F.sequence("_a", "_b", F.expr("interval 1 day"))).alias("date"))
     )
-    copied = days.join(hint(block_dates), "date")
-    placed = copied.repartition(partitions or expansion_partitions(spark), *keys, BLOCK)
+    placed = place(days.join(hint(block_dates), "date"))
     inside = (F.col("w.window_start") <= F.col("d.reach_from")) & (
         F.col("d.reach_to") <= F.col("w.window_end")
     )
@@ -121,5 +161,4 @@ def expand_windows(
         placed.alias("d")
         .join(hint(lookup).alias("w"), (F.col(f"d.{BLOCK}") == F.col(f"w.{BLOCK}")) & inside)
         .select("d.*", "w.window_start", "w.window_end")
-        .drop("reach_from", "reach_to")
     )

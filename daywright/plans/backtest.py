@@ -15,31 +15,52 @@ from daywright.operators.calendar import fill_gaps
 from daywright.operators.cleaning import probe_dates
 from daywright.operators.rolling import DEFAULT_KEYS, Keys
 from daywright.operators.scenarios import masked_at_probes
-from daywright.operators.windows import BLOCK, expand_windows
+from daywright.operators.windows import BLOCK, RollingWindows, expand_windows
 from daywright.plans.strategy import Strategy, python_weights
 from daywright.sources.report import write_report
 
 
+Windows = RollingWindows | DataFrame
+
+
+def window_span(windows: Windows) -> tuple[str, str]:
+    """First start and last end of the windows as ISO dates."""
+    if isinstance(windows, RollingWindows):
+        return windows.start, windows.end
+    first, last = windows.agg(F.min("window_start"), F.max("window_end")).first()
+    return first.isoformat(), last.isoformat()
+
+
+def signal_days(
+    features: DataFrame,
+    strategy: Strategy,
+    keys: Keys = DEFAULT_KEYS,
+    span: tuple[str, str] | None = None,
+) -> DataFrame:
+    """(keys, date, price, rate, signals) for every calendar day of each series."""
+    wanted = [c for c in features.columns if c in strategy.gap]
+    price = F.col(strategy.price)
+    slim = features.select(*keys, "date", price.alias("price"), spd.unit_rate(price).alias("rate"), *wanted)
+    return fill_gaps(slim, strategy.gap, keys, span)
+
+
 def multiplier_days(
     features: DataFrame,
     strategy: Strategy,
     keys: Keys = DEFAULT_KEYS,
     span: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """(keys, date, price, multiplier) for every calendar day, ready for expansion.
+    """(keys, date, rate, multiplier) for every calendar day, ready for expansion.
 
-    Only these columns go on, so the expansion carries two numbers per row.
+    Both numbers are made once per day here, not once per window that holds the day.
     """
-    wanted = [c for c in features.columns if c in strategy.gap]
-    slim = features.select(*keys, "date", F.col(strategy.price).alias("price"), *wanted)
-    calendar = fill_gaps(slim, strategy.gap, keys, span)
-    return strategy.multiplier(calendar).select(
-        *keys, "date", "price", "multiplier", "reach_from", "reach_to"
+    return strategy.multiplier(signal_days(features, strategy, keys, span)).select(
+        *keys, "date", "rate", "multiplier", "reach_from", "reach_to"
     )
 
 
 def backtest_features(
-    features: DataFrame, windows: DataFrame, strategy: Strategy, keys: Keys = DEFAULT_KEYS
+    features: DataFrame, windows: Windows, strategy: Strategy, keys: Keys = DEFAULT_KEYS
 ) -> DataFrame:
     """SPD table of a multiplier strategy over precomputed features."""
     expanded = expand_windows(multiplier_days(features, strategy, keys), windows, keys)
@@ -47,36 +68,34 @@ def backtest_features(
 
 
 def backtest(
-    daily: DataFrame, windows: DataFrame, strategy: Strategy, keys: Keys = DEFAULT_KEYS
+    daily: DataFrame, windows: Windows, strategy: Strategy, keys: Keys = DEFAULT_KEYS
 ) -> DataFrame:
     return backtest_features(strategy.features(daily, keys), windows, strategy, keys)
 
 
 def backtest_python(
     features: DataFrame,
-    windows: DataFrame,
+    windows: Windows,
     strategy: Strategy,
     weigh: Callable[[pd.DataFrame], pd.Series],
     keys: Keys = DEFAULT_KEYS,
 ) -> DataFrame:
     """SPD table for a user function; features come from ``strategy``, weights from ``weigh``."""
-    wanted = [c for c in features.columns if c in strategy.gap]
-    slim = features.select(*keys, "date", F.col(strategy.price).alias("price"), *wanted)
-    expanded = expand_windows(fill_gaps(slim, strategy.gap, keys), windows, keys)
+    expanded = expand_windows(signal_days(features, strategy, keys), windows, keys)
     return spd.spd_table(spd.rates_from_weights(python_weights(expanded, weigh, keys), keys=keys), keys)
 
 
 def backtest_weights(
-    features: DataFrame, windows: DataFrame, strategy: Strategy, keys: Keys = DEFAULT_KEYS
+    features: DataFrame, windows: Windows, strategy: Strategy, keys: Keys = DEFAULT_KEYS
 ) -> DataFrame:
-    """(keys, window_start, window_end, date, price, weight) with every day in the past."""
+    """(keys, window_start, window_end, date, rate, weight) with every day in the past."""
     expanded = expand_windows(multiplier_days(features, strategy, keys), windows, keys)
     return allocate(expanded, keys=keys).drop("multiplier")
 
 
 def window_weights(
     features: DataFrame,
-    windows: DataFrame,
+    windows: Windows,
     strategy: Strategy,
     current_date,
     stored: DataFrame | None = None,
@@ -87,10 +106,7 @@ def window_weights(
     Days without data, before, inside or after the history, get placeholder signals. Stored
     weights are used for the past of a window if they cover all of it.
     """
-    bounds = windows.agg(
-        F.date_format(F.min("window_start"), "yyyy-MM-dd"), F.date_format(F.max("window_end"), "yyyy-MM-dd")
-    ).first()
-    days = multiplier_days(features, strategy, keys, span=(bounds[0], bounds[1]))
+    days = multiplier_days(features, strategy, keys, span=window_span(windows))
     expanded = expand_windows(days, windows, keys)
     column = None
     if stored is not None:
@@ -148,7 +164,7 @@ def leakage_check(
 
 def submission_check(
     daily: DataFrame,
-    windows: DataFrame,
+    windows: Windows,
     strategy: Strategy,
     keys: Keys = DEFAULT_KEYS,
     features: DataFrame | None = None,
@@ -204,7 +220,7 @@ def ready(checks: DataFrame, keys: Keys = DEFAULT_KEYS) -> DataFrame:
 
 def run_full_analysis(
     daily: DataFrame,
-    windows: DataFrame,
+    windows: Windows,
     strategy: Strategy,
     output: str,
     keys: Keys = DEFAULT_KEYS,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daywright.functions import signals
-from daywright.functions.numeric import clip
+from daywright.functions.numeric import clip, finite_or, neutral_when_zero
 from daywright.operators import rolling as R
 from daywright.operators.calendar import reindex
 from daywright.operators.cleaning import require_columns
@@ -16,6 +16,7 @@ from daywright.settings import (
     MARKET_TEXT_PATTERN,
     BaselineModel,
     ExtendedModel,
+    expansion_partitions,
 )
 
 BASELINE_SIGNALS = ("price_vs_ma",)
@@ -43,18 +44,22 @@ EXTENDED_GAP = {
 }
 
 
-def _from_date(daily: DataFrame, since: str | None) -> DataFrame:
-    return daily if since is None else daily.where(F.col("date") >= F.lit(since).cast("date"))
+def _by_series(daily: DataFrame, columns: list[str], since: str | None, keys: R.Keys) -> DataFrame:
+    """The wanted columns and days, placed by series for all rolling windows that follow.
+
+    A fixed partition count keeps adaptive coalescing from packing many series into one task:
+    the rows are few bytes but each costs hundreds of frame updates.
+    """
+    days = daily.select(*keys, "date", *columns)
+    if since is not None:
+        days = days.where(F.col("date") >= F.lit(since).cast("date"))
+    return days.repartition(expansion_partitions(daily.sparkSession), *keys)
 
 
 def _price_signals(daily: DataFrame, ma_window: int, keys: R.Keys) -> DataFrame:
-    spec = R.by_date(keys)
-    price = F.col("price")
-    mean = R.rolling_mean(price, spec, ma_window, ma_window // 2)
-    return daily.withColumn("price_ma", mean).withColumn(
-        "price_vs_ma",
-        F.coalesce(clip(R.distance_to_mean(price, F.col("price_ma")), -1.0, 1.0), F.lit(0.0)),
-    )
+    rows = R.with_rolling_mean(daily, "price", "price_ma", ma_window, ma_window // 2, keys)
+    distance = R.distance_to_mean(F.col("price"), F.col("price_ma"))
+    return rows.withColumn("price_vs_ma", F.coalesce(clip(distance, -1.0, 1.0), F.lit(0.0)))
 
 
 def baseline_features(
@@ -66,7 +71,7 @@ def baseline_features(
     """(keys, date, price, price_ma, price_vs_ma); the signal is lagged by one row."""
     require_columns(daily, ["price"])
     spec = R.by_date(keys)
-    rows = _price_signals(_from_date(daily, since).select(*keys, "date", "price"), model.ma_window, keys)
+    rows = _price_signals(_by_series(daily, ["price"], since, keys), model.ma_window, keys)
     return rows.withColumn("price_vs_ma", R.lagged(F.col("price_vs_ma"), spec, 0.0))
 
 
@@ -87,9 +92,8 @@ def extended_features(
     require_columns(daily, ["price"])
     spec = R.by_date(keys)
     has_mvrv = "mvrv" in daily.columns
-    wanted = [*keys, "date", "price", *(["mvrv"] if has_mvrv else [])]
-    rows = _from_date(daily, since).select(*wanted).withColumn("observed_price", F.col("price"))
-    rows = _price_signals(rows, model.ma_window, keys)
+    rows = _by_series(daily, ["price", "mvrv"] if has_mvrv else ["price"], since, keys)
+    rows = _price_signals(rows.withColumn("observed_price", F.col("price")), model.ma_window, keys)
     rows = _valuation_signals(rows, keys, model) if has_mvrv else _neutral_valuation(rows)
     rows = _with_sentiment(rows, markets, pattern, model)
 
@@ -108,23 +112,19 @@ def extended_features(
 
 
 def _valuation_signals(rows: DataFrame, keys: R.Keys, m: ExtendedModel) -> DataFrame:
-    spec = R.by_date(keys)
     z = F.col("mvrv_zscore")
-    rows = rows.withColumn(
-        "mvrv_zscore", clip(R.rolling_zscore(F.col("mvrv"), spec, m.zscore_window), -4.0, 4.0)
-    )
+    rows = R.with_zscore(rows, "mvrv", "mvrv_zscore", m.zscore_window, keys)
+    rows = rows.withColumn("mvrv_zscore", clip(z, -4.0, 4.0))
     rows = _smoothed_trend(rows, "mvrv_zscore", "mvrv_gradient", m.gradient_span, m.gradient_gain, keys)
     rows = _smoothed_trend(
         rows, "mvrv_gradient", "mvrv_acceleration", m.acceleration_span, m.acceleration_gain, keys
     )
-    vol_rows = m.volatility_window
+    span = m.volatility_window
+    rows = R.with_rolling_std(rows, "mvrv_zscore", "_vol", span, span // 4, keys)
+    rows = R.with_percent_rank(rows, "_vol", "mvrv_volatility", 4 * span, span, keys)
     return (
         rows.withColumn("mvrv_zone", signals.valuation_zone(z, m))
-        .withColumn("_vol", R.rolling_std(z, spec, vol_rows, vol_rows // 4))
-        .withColumn(
-            "mvrv_volatility",
-            F.coalesce(R.rolling_percent_rank(F.col("_vol"), spec, 4 * vol_rows, vol_rows), F.lit(0.5)),
-        )
+        .withColumn("mvrv_volatility", F.coalesce("mvrv_volatility", F.lit(0.5)))
         .drop("_vol", "mvrv")
     )
 
@@ -164,24 +164,36 @@ def _with_sentiment(
 
 
 def with_baseline_multiplier(features: DataFrame, model: BaselineModel = BaselineModel()) -> DataFrame:
-    return features.withColumn(
-        "multiplier", signals.baseline_multiplier(F.col("price_vs_ma"), model)
-    )
+    clean = finite_or(F.col("price_vs_ma"), 0.0)
+    return features.withColumn("multiplier", signals.baseline_multiplier(clean, model))
+
+
+# Signals that read an exact 0 as neutral when they are weighed.
+ZERO_IS_NEUTRAL = ("mvrv_volatility", "signal_confidence", "sentiment")
 
 
 def with_extended_multiplier(features: DataFrame, model: ExtendedModel = ExtendedModel()) -> DataFrame:
-    """Multiplier from the signals present; absent optional columns are neutral."""
-    have = {c: F.col(c) if c in features.columns else None for c in EXTENDED_SIGNALS}
-    return features.withColumn(
-        "multiplier",
-        signals.extended_multiplier(
-            have["price_vs_ma"],
-            have["mvrv_zscore"],
-            have["mvrv_gradient"],
-            have["mvrv_acceleration"],
-            have["mvrv_volatility"],
-            have["signal_confidence"],
-            have["sentiment"],
-            model,
-        ),
+    """Multiplier from the signals present; absent optional columns are neutral.
+
+    Signals are cleaned in a step of their own, so the formula refers to plain columns.
+    """
+    order = (
+        "price_vs_ma",
+        "mvrv_zscore",
+        "mvrv_gradient",
+        "mvrv_acceleration",
+        "mvrv_volatility",
+        "signal_confidence",
+        "sentiment",
+    )
+    present = [c for c in order if c in features.columns]
+    clean = features.withColumns(
+        {
+            f"_{c}": neutral_when_zero(F.col(c)) if c in ZERO_IS_NEUTRAL else finite_or(F.col(c), 0.0)
+            for c in present
+        }
+    )
+    values = [F.col(f"_{c}") if c in present else None for c in order]
+    return clean.withColumn("multiplier", signals.extended_multiplier(*values, m=model)).drop(
+        *[f"_{c}" for c in present]
     )

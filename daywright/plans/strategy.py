@@ -57,7 +57,7 @@ def python_weights(
     expanded: DataFrame,
     weigh: Callable[[pd.DataFrame], pd.Series],
     keys: Keys = DEFAULT_KEYS,
-    carry: tuple[str, ...] = ("price",),
+    carry: tuple[str, ...] = ("rate",),
 ) -> DataFrame:
     """Weights from a user function that sees one window as a date-sorted pandas frame.
 
