@@ -46,31 +46,30 @@ def excess_histogram(
     """(bin, bin_start, bin_end, windows, mean_excess) with equal bins from min to max.
 
     The last bin holds the maximum. A series whose values are all equal uses the unit range
-    around them.
+    around them. The limits come from a window over the series, so the SPD table is read once.
     """
+    whole = Window.partitionBy(*keys)
     values = spd.select(*keys, _excess().alias("_x")).where(F.col("_x").isNotNull())
-    limits = values.groupBy(*keys).agg(
-        F.min("_x").alias("_min"), F.max("_x").alias("_max"), F.avg("_x").alias("mean_excess")
-    )
-    flat = F.col("_min") == F.col("_max")
-    limits = limits.select(
-        *keys,
-        "mean_excess",
-        F.when(flat, F.col("_min") - 0.5).otherwise(F.col("_min")).alias("_lo"),
-        F.when(flat, F.col("_max") + 0.5).otherwise(F.col("_max")).alias("_hi"),
+    ranged = values.withColumns(
+        {"_min": F.min("_x").over(whole), "_max": F.max("_x").over(whole), "mean_excess": F.avg("_x").over(whole)}
     )
+    margin = F.when(F.col("_min") == F.col("_max"), 0.5).otherwise(0.0)
+    ranged = ranged.withColumns({"_lo": F.col("_min") - margin, "_hi": F.col("_max") + margin})
     width = (F.col("_hi") - F.col("_lo")) / bins
     bin_no = F.least(F.floor((F.col("_x") - F.col("_lo")) / width), F.lit(bins - 1)).cast("int")
-    counted = values.join(limits, list(keys)).groupBy(*keys, bin_no.alias("bin")).agg(
-        F.count(F.lit(1)).alias("windows")
+    of_series = [*keys, "_lo", "_hi", "mean_excess"]
+    counted = ranged.groupBy(*of_series, bin_no.alias("bin")).agg(F.count(F.lit(1)).alias("windows"))
+    # At most ``bins`` entries per series: looked up again to keep the empty bins.
+    found = counted.groupBy(*of_series).agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "windows"))).alias("_found")
     )
-    every_bin = limits.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    return every_bin.join(counted, [*keys, "bin"], "left").select(
+    every_bin = found.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    return every_bin.select(
         *keys,
         "bin",
         (F.col("_lo") + F.col("bin") * width).alias("bin_start"),
         (F.col("_lo") + (F.col("bin") + 1) * width).alias("bin_end"),
-        F.coalesce("windows", F.lit(0)).alias("windows"),
+        F.coalesce(F.try_element_at("_found", F.col("bin")), F.lit(0)).alias("windows"),
         "mean_excess",
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,14 +20,31 @@ def _present(df: DataFrame, columns: Sequence[str]) -> list[str]:
     return [c for c in columns if c in df.columns]
 
 
-def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(
-        F.inline(
-            F.array(
-                *[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("x")) for c in columns]
-            )
+def _each(columns: Sequence[str], field: Callable[[str], dict[str, Column]]) -> Column:
+    """Turn one row into one row per column, with the given fields."""
+    return F.inline(
+        F.array(
+            *[
+                F.struct(F.lit(c).alias("metric"), *[v.alias(n) for n, v in field(c).items()])
+                for c in columns
+            ]
         )
-    ).where(F.col("x").isNotNull())
+    )
+
+
+def _values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(metric, x), without the missing values."""
+    return df.select(_each(columns, lambda c: {"x": F.col(c).cast("double")})).where(
+        F.col("x").isNotNull()
+    )
+
+
+def _aggregates(df: DataFrame, columns: Sequence[str], fns: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """One row per metric from a single global aggregate."""
+    row = df.agg(
+        *[fn(F.col(c).cast("double")).alias(f"{c}|{name}") for c in columns for name, fn in fns.items()]
+    )
+    return row.select(_each(columns, lambda c: {name: F.col(f"`{c}|{name}`") for name in fns}))
 
 
 def exact_quantiles(
@@ -41,16 +58,17 @@ def exact_quantiles(
     smallest and largest value. After two rounds the bounds hold about n / 16 million of evenly
     spread values; these few are counted by value to finish. Nothing but bin counts is ordered.
     """
-    values = _long(df, columns)
-    limits = values.groupBy("metric").agg(
-        F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")
-    )
-    wanted = limits.select(
-        "metric", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("p"), "lo", "hi", "n"
-    ).select("metric", "p", "lo", "hi", (F.floor(F.col("p") * (F.col("n") - 1) + 0.5) + 1).alias("rank"))
-    for _ in range(ZOOM_ROUNDS):
-        wanted = _narrow(values, wanted)
-    candidates = _inside(values, wanted).groupBy("metric", "p", "rank", "x").agg(
+    values = _values(df, columns)
+    limits = _aggregates(df, columns, {"n": F.count, "lo": F.min, "hi": F.max})
+    ranks = limits.where(F.col("n") > 0).select(
+        "metric", "n", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("p")
+    ).select("metric", "p", (F.floor(F.col("p") * (F.col("n") - 1) + 0.5) + 1).alias("rank"))
+    # All ranks of a metric share the first bins; later each has bounds of its own.
+    first = _bins(_inside(values, limits.select("metric", "lo", "hi")), ["metric"])
+    bounds = _holding(first.join(F.broadcast(ranks), "metric"))
+    for _ in range(ZOOM_ROUNDS - 1):
+        bounds = _holding(_bins(_inside(values, bounds), ["metric", "p", "rank"]))
+    candidates = _inside(values, bounds).groupBy("metric", "p", "rank", "x").agg(
         F.count(F.lit(1)).alias("c")
     )
     upto = F.sum("c").over(
@@ -64,26 +82,28 @@ def exact_quantiles(
     )
 
 
-def _inside(values: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows within the bounds of each wanted rank (a handful of bounds per column)."""
-    return values.join(F.broadcast(wanted), "metric").where(F.col("x").between(F.col("lo"), F.col("hi")))
+def _inside(values: DataFrame, bounds: DataFrame) -> DataFrame:
+    """Rows within given bounds; there is one bound per column and wanted rank."""
+    return values.join(F.broadcast(bounds), "metric").where(F.col("x").between(F.col("lo"), F.col("hi")))
 
 
-def _narrow(values: DataFrame, wanted: DataFrame) -> DataFrame:
+def _bins(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Counts of equal bins with the running count before and up to each bin."""
     share = F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo"))
     bin_no = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * ZOOM_BINS), F.lit(ZOOM_BINS - 1))
-    bins = (
-        _inside(values, wanted)
-        .groupBy("metric", "p", "rank", bin_no.alias("bin"))
-        .agg(F.count(F.lit(1)).alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    counts = rows.groupBy(*by, bin_no.alias("bin")).agg(
+        F.count(F.lit(1)).alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi")
     )
-    order = Window.partitionBy("metric", "p").orderBy("bin")
-    upto = F.sum("c").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        bins.withColumn("_upto", upto)
-        .withColumn("_before", F.col("_upto") - F.col("c"))
-        .where((F.col("_before") < F.col("rank")) & (F.col("rank") <= F.col("_upto")))
-        .select("metric", "p", "lo", "hi", (F.col("rank") - F.col("_before")).alias("rank"))
+    order = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    upto = counts.withColumn("_upto", F.sum("c").over(order))
+    return upto.withColumn("_before", F.col("_upto") - F.col("c"))
+
+
+def _holding(bins: DataFrame) -> DataFrame:
+    """The bin that holds each wanted rank, with the rank counted inside it."""
+    held = (F.col("_before") < F.col("rank")) & (F.col("rank") <= F.col("_upto"))
+    return bins.where(held).select(
+        "metric", "p", "lo", "hi", (F.col("rank") - F.col("_before")).alias("rank")
     )
 
 
@@ -93,19 +113,17 @@ def describe(df: DataFrame, columns: Sequence[str] = DESCRIBE_COLUMNS) -> DataFr
     Quartiles are values that occur in the data, by the nearest position.
     """
     columns = _present(df, columns)
-    basics = df.select(
-        F.inline(
-            F.array(
-                *[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("x")) for c in columns]
-            )
-        )
-    ).groupBy("metric").agg(
-        F.count("x").alias("count"),
-        F.count_if(F.col("x").isNull()).alias("null_count"),
-        F.avg("x").alias("mean"),
-        F.stddev_samp("x").alias("std"),
-        F.min("x").alias("min"),
-        F.max("x").alias("max"),
+    basics = _aggregates(
+        df,
+        columns,
+        {
+            "count": F.count,
+            "null_count": lambda c: F.count_if(c.isNull()),
+            "mean": F.avg,
+            "std": F.stddev_samp,
+            "min": F.min,
+            "max": F.max,
+        },
     )
     quartiles = (
         exact_quantiles(df, columns)

@@ -41,7 +41,7 @@ def spd_table(rates: DataFrame, keys: Keys = DEFAULT_KEYS) -> DataFrame:
         F.col("dynamic_rate").alias("dynamic_sats_per_dollar"),
         percentile("uniform_rate").alias("uniform_percentile"),
         percentile("dynamic_rate").alias("dynamic_percentile"),
-        "weight_sum",
+        *[c for c in ("weight_sum", "negative_weights") if c in rates.columns],
     ).withColumn("excess_percentile", F.col("dynamic_percentile") - F.col("uniform_percentile"))
 
 
@@ -58,15 +58,21 @@ def rates_from_weights(
         F.avg(rate).alias("uniform_rate"),
         F.coalesce(F.sum(F.col("weight") * F.col(rate)), F.lit(0.0)).alias("dynamic_rate"),
         F.sum("weight").alias("weight_sum"),
+        F.count_if(F.col("weight") < 0).alias("negative_weights"),
     )
 
 
+def sums_to_one(total: Column) -> Column:
+    """The strict sum test of the submission check."""
+    return is_close(total, F.lit(1.0), 1e-5, 1e-8)
+
+
 def weight_checks(weights: DataFrame, keys: Keys = DEFAULT_KEYS) -> DataFrame:
     """Per window: sum of weights, count of negative weights, and whether both are right."""
     return (
         weights.groupBy(*keys, "window_start", "window_end")
         .agg(F.sum("weight").alias("weight_sum"), F.count_if(F.col("weight") < 0).alias("negative_weights"))
-        .withColumn("sum_ok", is_close(F.col("weight_sum"), F.lit(1.0), 1e-5, 1e-8))
+        .withColumn("sum_ok", sums_to_one(F.col("weight_sum")))
         .withColumn("passed", F.col("sum_ok") & (F.col("negative_weights") == 0))
     )
 

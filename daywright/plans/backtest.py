@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from daywright.functions.numeric import is_close
@@ -168,15 +168,13 @@ def submission_check(
     strategy: Strategy,
     keys: Keys = DEFAULT_KEYS,
     features: DataFrame | None = None,
-    results: DataFrame | None = None,
 ) -> DataFrame:
     """(keys, check, key, detail, passed): leakage, weights, worse windows, win rate.
 
     Worse windows are listed for information and pass. Ties count as wins in the win rate.
+    The weights are built once; each window row yields the entries of all window checks.
     """
     features = strategy.features(daily, keys) if features is None else features
-    results = backtest_features(features, windows, strategy, keys) if results is None else results
-
     leaks = leakage_check(daily, strategy, keys=keys).select(
         *keys,
         F.lit("forward_leakage").alias("check"),
@@ -184,30 +182,37 @@ def submission_check(
         F.abs(F.col("masked_multiplier") - F.col("full_multiplier")).alias("detail"),
         (~F.col("multiplier_leak")).alias("passed"),
     )
-    sums = spd.weight_checks(backtest_weights(features, windows, strategy, keys), keys)
-    weights = sums.select(
-        *keys,
-        F.lit("weights").alias("check"),
-        F.date_format("window_start", "yyyy-MM-dd").alias("key"),
-        F.col("weight_sum").alias("detail"),
-        "passed",
+    results = spd.spd_table(
+        spd.rates_from_weights(backtest_weights(features, windows, strategy, keys), keys=keys), keys
     )
-    worse = metrics.under_performers(results, keys).select(
-        *keys,
-        F.lit("under_performer").alias("check"),
-        F.col("window").alias("key"),
-        F.col("delta").alias("detail"),
-        F.lit(True).alias("passed"),
+    series = Window.partitionBy(*keys)
+    lost = F.col("dynamic_percentile") < F.col("uniform_percentile")
+    judged = results.withColumn("_lost", F.coalesce(lost, F.lit(False))).withColumns(
+        {
+            "_win_rate": 1 - F.avg(F.col("_lost").cast("double")).over(series),
+            "_nth": F.row_number().over(series.orderBy("window_start", "window_end")),
+        }
     )
-    lost = F.coalesce(F.col("dynamic_percentile") < F.col("uniform_percentile"), F.lit(False))
-    rate = results.groupBy(*keys).agg((1 - F.avg(lost.cast("double"))).alias("detail")).select(
-        *keys,
-        F.lit("win_rate").alias("check"),
-        F.lit("all windows").alias("key"),
-        "detail",
-        (F.col("detail") >= 0.5).alias("passed"),
+
+    def check(name: str, key: Column, detail: Column, passed: Column) -> Column:
+        return F.struct(
+            F.lit(name).alias("check"), key.alias("key"), detail.alias("detail"), passed.alias("passed")
+        )
+
+    right = spd.sums_to_one(F.col("weight_sum")) & (F.col("negative_weights") == 0)
+    found = F.array(
+        check("weights", F.col("window"), F.col("weight_sum"), right),
+        F.when(
+            F.col("_lost"),
+            check("under_performer", F.col("window"), F.col("excess_percentile"), F.lit(True)),
+        ),
+        F.when(
+            F.col("_nth") == 1,
+            check("win_rate", F.lit("all windows"), F.col("_win_rate"), F.col("_win_rate") >= 0.5),
+        ),
     )
-    return leaks.unionByName(weights).unionByName(worse).unionByName(rate)
+    of_windows = judged.select(*keys, F.inline(F.filter(found, lambda c: c.isNotNull())))
+    return leaks.unionByName(of_windows)
 
 
 def ready(checks: DataFrame, keys: Keys = DEFAULT_KEYS) -> DataFrame:
@@ -240,7 +245,7 @@ def run_full_analysis(
     tables = {
         "metrics": scored,
         "spd_summary": metrics.spd_summary(results, keys),
-        "checks": submission_check(daily, windows, strategy, keys, features, results),
+        "checks": submission_check(daily, windows, strategy, keys, features),
         "performance": charts.performance_long(results, keys),
         "excess_histogram": charts.excess_histogram(results, keys=keys),
         "win_loss": metrics.win_loss(results, keys),

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from daywright.operators.rolling import DEFAULT_KEYS, Keys
-from daywright.operators.windows import WINDOW_KEYS
+from daywright.operators.windows import BLOCK, WINDOW_KEYS
 from daywright.plans import features as feat
 
 
@@ -61,16 +62,21 @@ def python_weights(
 ) -> DataFrame:
     """Weights from a user function that sees one window as a date-sorted pandas frame.
 
-    The groups are windows of one series (about 366 rows) and reuse the partitioning of the
-    expansion, so no rows move. Prefer a multiplier strategy where one can be written.
+    Python gets one block of windows of one series at a time (at most ``block_days`` windows),
+    placed there by the expansion already, so no rows move. Prefer a multiplier strategy
+    where one can be written.
     """
     ids = [*keys, *WINDOW_KEYS]
     out = [*ids, "date", *carry]
     schema = T.StructType([expanded.schema[c] for c in out] + [T.StructField("weight", T.DoubleType())])
 
-    def run(window: pd.DataFrame) -> pd.DataFrame:
-        window = window.sort_values("date", ignore_index=True)
-        weights = weigh(window)
-        return window[out].assign(weight=pd.Series(weights).to_numpy(dtype=float))
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        bounds = ["window_start", "window_end"]
+        block = block.sort_values([*bounds, "date"], ignore_index=True)
+        parts = [
+            pd.Series(weigh(window.reset_index(drop=True))).to_numpy(dtype=float)
+            for _, window in block.groupby(bounds, sort=False)
+        ]
+        return block[out].assign(weight=np.concatenate(parts))
 
-    return expanded.groupBy(*ids).applyInPandas(run, schema)
+    return expanded.groupBy(*keys, BLOCK).applyInPandas(run, schema)
