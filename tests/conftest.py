@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import sys
+from fractions import Fraction
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -64,21 +66,20 @@ def daily(spark, walk):
 
 
 def sequential_weights(multipliers, n_past, stored=None) -> np.ndarray:
-    """Day-by-day allocation for one window: the rule the library is checked against."""
-    m = np.asarray(multipliers, dtype=float)
-    n = len(m)
-    if n_past <= 0:
-        return np.full(n, 1 / n)
-    k = min(n_past, n)
-    w = np.full(n, 1 / n)
-    if stored is not None and len(stored) >= k:
-        w[:k] = stored[:k]
+    """Weights of one window in exact fractions: what the library is checked against."""
+    values = [Fraction(float(v)) for v in multipliers]
+    share = Fraction(1, len(values))
+    past = max(0, min(n_past, len(values)))
+    if stored is not None and len(stored) >= past:
+        head = [Fraction(float(v)) for v in stored[:past]]
     else:
-        for i in range(k):
-            mean = m[: i + 1].mean()
-            ratio = m[i] / mean if mean != 0 else np.nan
-            w[i] = (ratio if np.isfinite(ratio) else 1.0) / n
-    if w[:k].sum() > k / n + 1e-10:
-        w[:k] *= (k / n) / w[:k].sum()
-    w[-1] = max(1 - w[:-1].sum(), 0)
-    return w
+        totals = list(accumulate(values))
+        head = [share * (v * i / t if t else 1) for i, (v, t) in enumerate(zip(values, totals), 1)][:past]
+    excess = sum(head) - past * share
+    if past and excess > Fraction(1, 10**10):
+        head = [h * past * share / sum(head) for h in head]
+    tail = [share] * (len(values) - past)
+    if past:
+        body = (head + tail)[:-1]
+        tail, head = [max(1 - sum(body), Fraction(0))], body
+    return np.array([float(w) for w in head + tail])
