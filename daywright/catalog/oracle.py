@@ -54,6 +54,7 @@ calendar AS (
   FROM generate_series(TIMESTAMP '1990-01-01', TIMESTAMP '2003-12-31', INTERVAL 1 DAY) t(s))"""
 
 
+LOG_MA = "CASE WHEN price_ma > 0 THEN ln(price_ma) END"
 BASE_MULTIPLIER = "exp(greatest(-3.0, least(3.0, -2.0 * price_vs_ma)))"
 
 
@@ -160,7 +161,7 @@ def extended_ctes() -> list[str]:
     lag = lambda c, default: (
         f"coalesce(lag({c}) OVER (PARTITION BY series_id ORDER BY date), {default}) AS {c}")
     vol = ("CASE WHEN count(z) OVER (PARTITION BY series_id ORDER BY date ROWS 89 PRECEDING) >= 22 "
-           "THEN stddev_samp(z) OVER (PARTITION BY series_id ORDER BY date ROWS 89 PRECEDING) END")
+           "THEN round(stddev_samp(z) OVER (PARTITION BY series_id ORDER BY date ROWS 89 PRECEDING), 12) END")
     zone = "CASE WHEN z < -2 THEN -2 WHEN z < -1 THEN -1 WHEN z < 1.5 THEN 0 WHEN z < 2.5 THEN 1 ELSE 2 END"
     agree = "1.0 - " + clipped("abs(-z / 4 - (-price_vs_ma)) / 2", 0, 1)
     align = ("CASE WHEN -z / 4 < 0 THEN CASE WHEN grad > 0 THEN 1.0 ELSE 0.5 END "
@@ -338,7 +339,7 @@ b AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orde
 SELECT date, 'common' AS kind FROM (SELECT * FROM a INTERSECT SELECT * FROM b) x
 UNION ALL SELECT date, 'absent' AS kind FROM (SELECT * FROM a EXCEPT SELECT * FROM b) y"""
 
-    feature_select = f"SELECT series_id, date, price, {r('price_ma', 2, 'price_ma')}, {r('price_vs_ma', 7, 'price_vs_ma')}"
+    feature_select = f"SELECT series_id, date, price, {r(LOG_MA, 8, 'log_price_ma')}, {r('price_vs_ma', 7, 'price_vs_ma')}"
     q["features_baseline"] = statement([daily, feat], f"{feature_select}, {r(BASE_MULTIPLIER, 7, 'multiplier')} FROM feat")
     zs = f"scored AS (SELECT series_id, date, {zscore_sql('price', 365)} AS z FROM daily)"
     q["zscore"] = statement([daily, zs], f"SELECT series_id, date, {r('z', 7, 'zscore')} FROM scored")
@@ -355,11 +356,11 @@ UNION ALL SELECT date, 'absent' AS kind FROM (SELECT * FROM a EXCEPT SELECT * FR
     q["activity"] = statement([ACTIVITY], f"SELECT date, market_count, {r('volume', 2, 'volume')} FROM activity")
     q["sentiment"] = statement([ACTIVITY, SENTIMENT], f"SELECT date, {r('sentiment', 9, 'sentiment')} FROM sentiment")
     ext = extended_ctes()
-    q["features_extended"] = statement(ext, f"""SELECT series_id, date, coalesce(price, 0) AS price, {r('coalesce(price_ma, 0)', 2, 'price_ma')},
+    q["features_extended"] = statement(ext, f"""SELECT series_id, date, coalesce(price, 0) AS price, {r(LOG_MA, 8, 'log_price_ma')},
   {r('price_vs_ma', 7, 'price_vs_ma')}, {r('z', 7, 'mvrv_zscore')}, {r('grad', 7, 'mvrv_gradient')},
   {r('acc', 7, 'mvrv_acceleration')}, {r('zone', 7, 'mvrv_zone')}, {r('vrank', 7, 'mvrv_volatility')},
   {r('conf', 7, 'signal_confidence')}, {r('sentiment', 7, 'sentiment')} FROM ext""")
-    q["multiplier_extended"] = statement(ext, f"SELECT series_id, date, {r(exponent_sql(), 6, 'log_multiplier')} FROM ext")
+    q["multiplier_extended"] = statement(ext, f"SELECT series_id, date, {r(f'({exponent_sql()}) / ln(10)', 7, 'log_multiplier')} FROM ext")
     q["signal_parts"] = statement(ext, f"""SELECT series_id, date, {r(BOOST, 7, 'boost')}, {r(TREND, 7, 'trend')},
   {r(ACCEL, 7, 'acceleration')}, {r('conf', 7, 'confidence')} FROM ext""")
     pressure = clipped("tanh(z * 0.5) + CASE WHEN abs(z) > 2 THEN sign(z) * 0.3 * (abs(z) - 2) ELSE 0 END", -1, 1)

@@ -51,6 +51,12 @@ def rounded(df: DataFrame, digits: int, **other: int) -> DataFrame:
     )
 
 
+def features_rounded(features: DataFrame) -> DataFrame:
+    """Means of decimal prices sit on rounding limits; their logarithms do not."""
+    logged = features.withColumn("log_price_ma", F.round(F.ln("price_ma"), 8)).drop("price_ma")
+    return rounded(logged, 7, price=6, log_price_ma=8)
+
+
 SPD_COLUMNS = (
     "series_id",
     "window",
@@ -191,7 +197,7 @@ def date_sets(spark, d):
 @query
 def features_baseline(spark, d):
     out = feat.with_baseline_multiplier(feat.baseline_features(S.daily(spark, d), since=None))
-    return rounded(out, 7, price=6, price_ma=2)
+    return features_rounded(out)
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
@@ -241,14 +247,14 @@ def sentiment(spark, d):
 
 @query
 def features_extended(spark, d):
-    return rounded(_extended(spark, d).drop("observed_price"), 7, price=6, price_ma=2)
+    return features_rounded(_extended(spark, d).drop("observed_price"))
 
 
 @query
 def multiplier_extended(spark, d):
     out = feat.with_extended_multiplier(_extended(spark, d))
     return rounded(
-        out.select("series_id", "date", F.ln("multiplier").alias("log_multiplier")), 6
+        out.select("series_id", "date", F.log10("multiplier").alias("log_multiplier")), 7
     )
 
 
@@ -448,13 +454,13 @@ def scenario_second_half(spark, d):
 @query
 def scenario_mask(spark, d):
     masked = scenarios.mask_after(S.daily(spark, d), PROBE_DAY, ["price"])
-    return rounded(feat.baseline_features(masked, since=None), 7, price=6, price_ma=2)
+    return features_rounded(feat.baseline_features(masked, since=None))
 
 
 @query
 def scenario_truncate(spark, d):
     known = scenarios.truncate_after(S.daily(spark, d), PROBE_DAY)
-    return rounded(feat.baseline_features(known, since=None), 7, price=6, price_ma=2)
+    return features_rounded(feat.baseline_features(known, since=None))
 
 
 @query

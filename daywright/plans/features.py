@@ -30,6 +30,7 @@ EXTENDED_SIGNALS = (
     "signal_confidence",
     "sentiment",
 )
+RANK_DIGITS = 12
 # Placeholder signals of a calendar day without data.
 BASELINE_GAP = {"price_vs_ma": 0.0}
 EXTENDED_GAP = {
@@ -121,6 +122,8 @@ def _valuation_signals(rows: DataFrame, keys: R.Keys, m: ExtendedModel) -> DataF
     )
     span = m.volatility_window
     rows = R.with_rolling_std(rows, "mvrv_zscore", "_vol", span, span // 4, keys)
+    # Equal deviations over different rows differ in their last bits; they must rank equal.
+    rows = rows.withColumn("_vol", F.round("_vol", RANK_DIGITS))
     rows = R.with_percent_rank(rows, "_vol", "mvrv_volatility", 4 * span, span, keys)
     return (
         rows.withColumn("mvrv_zone", signals.valuation_zone(z, m))
