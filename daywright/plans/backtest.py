@@ -232,13 +232,17 @@ def run_full_analysis(
 ) -> dict[str, DataFrame]:
     """Backtest, validate and write every table and the report below ``output``.
 
-    The SPD table is written once and read back, so later steps do not repeat the backtest
-    and a lost executor costs no more than its own tasks.
+    Features and the SPD table are written once and read back, so later steps do not repeat
+    them and a lost executor costs no more than its own tasks.
     """
     spark = daily.sparkSession
-    features = strategy.features(daily, keys)
-    backtest_features(features, windows, strategy, keys).write.mode("overwrite").parquet(f"{output}/spd")
-    results = spark.read.parquet(f"{output}/spd")
+
+    def keep(table: DataFrame, name: str) -> DataFrame:
+        table.write.mode("overwrite").parquet(f"{output}/{name}")
+        return spark.read.parquet(f"{output}/{name}")
+
+    features = keep(strategy.features(daily, keys), "features")
+    results = keep(backtest_features(features, windows, strategy, keys), "spd")
     spd.assert_weight_sums(results)
 
     scored = metrics.score_metrics(results, keys)
@@ -253,8 +257,6 @@ def run_full_analysis(
         "metrics_summary": charts.metrics_summary(scored, keys),
         "windows": charts.window_report(results, keys),
     }
-    for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{output}/{name}")
-    saved = {name: spark.read.parquet(f"{output}/{name}") for name in tables}
+    saved = {name: keep(table, name) for name, table in tables.items()}
     write_report(saved["windows"], saved["metrics"], f"{output}/report", keys)
-    return {"spd": results, **saved}
+    return {"features": features, "spd": results, **saved}

@@ -74,14 +74,3 @@ def expansion_partitions(spark: SparkSession) -> int:
     """
     conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(conf, 4 * spark.sparkContext.defaultParallelism)
-
-
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
-    """Shared checkpoint folder named by the cluster; ``fallback`` only where none is set."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured is None:
-        configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    target = configured or fallback
-    if target and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(target)
-    return target
