@@ -147,7 +147,7 @@ def windows(spark, d):
         F.min("date").alias("first"), F.max("date").alias("last")
     )
     made = W.windows_in_span(spans, "first", "last")
-    return made.withColumn("days", W.window_days(F.col("window_start"), F.col("window_end")))
+    return made.withColumn("days", W.window_days(F.col("window_start"), F.col("window_end")).cast("long"))
 
 
 @query

@@ -99,8 +99,7 @@ def expand_windows(
     Window starts are cut into blocks of ``block_days``; only the *days* are copied to the few
     blocks that need them and shuffled on (keys, block), then expanded in place. Later
     ``partitionBy`` / ``groupBy`` on (keys, block, window) reuse that partitioning. One series
-    is thereby spread over many tasks, and a task never holds more than one block's days of
-    one series at a time.
+    is thereby spread over many tasks; no group of rows grows beyond one block of one series.
 
     ``days`` needs ``reach_from``/``reach_to`` from ``fill_gaps``; ``windows`` is a rolling
     range or a table of (window_start, window_end).
