@@ -21,4 +21,24 @@ SELECT doc_id, source, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHE
 FROM marked GROUP BY doc_id, source
 """
 
-ORACLE: dict[str, str] = {"op7_line_dedup": _OP7}
+_OP8 = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), placed AS (
+  SELECT *, row_number() OVER w AS n, lag(role) OVER w AS before FROM rows
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), sized AS (
+  SELECT *, before IS NULL OR before <> role AS opens,
+         length(text) + len(regexp_extract_all(text, '\\|<\||</?s>|\[/?INST\]')) AS chars,
+         length(role) + len(regexp_extract_all(role, '\\|<\||</?s>|\[/?INST\]')) AS role_chars
+  FROM placed
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       (sum(chars) + sum(CASE WHEN opens THEN 23 + role_chars ELSE 8 END))::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+ORACLE: dict[str, str] = {"op7_line_dedup": _OP7, "op8_chat_format": _OP8}

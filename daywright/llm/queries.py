@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from daywright.llm import decontaminate, jaccard_join, line_dedup, packing, quality_rules
+from daywright.llm import chat_format, decontaminate, jaccard_join, line_dedup, packing, quality_rules, resharding
 from daywright.llm.common import table
 
 
@@ -28,10 +29,27 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "source", "text", "dropped_lines")
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], rows.schema)
+    return chat_format.digests(chat_format.formatted(rows.unionByName(more)))
+
+
+#: The query's layout before and after: documents lie in six shards by a hash of their text, two more are added.
+OLD_SHARDS, SHARDS = 6, 8
+
+
+def op9_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = resharding.reshard(table(spark, sf_dir, "documents"), SHARDS, OLD_SHARDS)
+    none = F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", none, "old_shard")
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_decontaminate, op5_quality_rules, op7_line_dedup, op10_jaccard_join)
+    f.__name__: f for f in (op1_packing, op2_decontaminate, op5_quality_rules, op7_line_dedup, op8_chat_format, op9_resharding, op10_jaccard_join)
 }
