@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daywright.llm import chat_format, decontaminate, jaccard_join, line_dedup, packing, quality_rules, resharding
+from daywright.llm import (
+    chat_format,
+    decontaminate,
+    jaccard_join,
+    line_dedup,
+    packing,
+    pii,
+    quality_classifier,
+    quality_rules,
+    resharding,
+)
 from daywright.llm.common import table
 
 
@@ -20,10 +30,18 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"), dropped="dropped_lines")
     return docs.select("doc_id", "source", "text", "dropped_lines")
@@ -51,5 +69,16 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_decontaminate, op5_quality_rules, op7_line_dedup, op8_chat_format, op9_resharding, op10_jaccard_join)
+    f.__name__: f
+    for f in (
+        op1_packing,
+        op2_decontaminate,
+        op4_quality_classifier,
+        op5_quality_rules,
+        op6_pii,
+        op7_line_dedup,
+        op8_chat_format,
+        op9_resharding,
+        op10_jaccard_join,
+    )
 }
