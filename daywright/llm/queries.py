@@ -13,6 +13,7 @@ from daywright.llm import (
     decontaminate,
     jaccard_join,
     line_dedup,
+    lm_scoring,
     packing,
     pii,
     quality_classifier,
@@ -30,6 +31,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much more a document is like what assistants say in `conversations` than like the documents at large."""
+    target = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), target, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
 
@@ -73,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_packing,
         op2_decontaminate,
+        op3_lm_scoring,
         op4_quality_classifier,
         op5_quality_rules,
         op6_pii,
