@@ -282,18 +282,18 @@ def _leaks(batches: Iterator, index: Index, item_type) -> Iterator:
         )
 
 
-def _clean(batches: Iterator, index: Index) -> Iterator:
+def _clean(batches: Iterator, index: Index, read: str) -> Iterator:
     import pyarrow as pa
 
     vocabulary = Vocabulary(index.terms)
     for batch in batches:
         for k in range(0, batch.num_rows, 2_000):
             part = batch.slice(k, 2_000)
-            texts, bad, before = [vocabulary.encoded(t) for t in part.column("__text").to_pylist()], set(), 0
+            texts, bad, before = [vocabulary.encoded(t) for t in part.column(read).to_pylist()], set(), 0
             for run in _groups(texts):
                 bad |= {before + x[0] for x in index.leaks(run)}
                 before += len(run)
-            yield part.drop_columns(["__text"]).filter(pa.array([n not in bad for n in range(part.num_rows)], pa.bool_()))
+            yield part.drop_columns([read]).filter(pa.array([n not in bad for n in range(part.num_rows)], pa.bool_()))
 
 
 def _summed(batches: Iterator) -> Iterator:
@@ -310,6 +310,8 @@ def _summed(batches: Iterator) -> Iterator:
 
 def _indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[Index, DataFrame]]:
     """For each block of the benchmark its index, fitted on all passages, and the encoded documents."""
+    import numpy as np
+
     items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     blocks = max(1, -(-items.count() // ITEMS))
     for b in range(blocks):
@@ -322,8 +324,6 @@ def _indexes(docs: DataFrame, benchmark: DataFrame) -> Iterator[tuple[Index, Dat
         kind = docs.schema["doc_id"].dataType.simpleString()
         coded = docs.select(col("doc_id"), col("text")).mapInArrow(lambda x, terms=terms: _encode(x, terms), f"doc_id {kind}, n bigint, places binary, ids binary")
         coded = stored(coded, "coded")
-        import numpy as np
-
         df, passages = np.zeros(n), 0
         counts = coded.mapInArrow(lambda x, n=n: _frequencies(x, n), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
         for term, k in counts.collect():  # at most a row a term of the block
@@ -347,12 +347,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     are searched one by one; repeated items count once (by id and text); an item with a null id is
     searched like any other.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     kinds = [docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, lcs_share double, answer_share double, cosine double"
     out = docs.sparkSession.createDataFrame([], schema)
     for index, coded in _indexes(docs, benchmark):
-        from pyspark.sql.pandas.types import to_arrow_type
-
         item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
         out = out.union(coded.mapInArrow(lambda x, index=index, item_type=item_type: _leaks(x, index, item_type), schema))
     return out
@@ -360,7 +360,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents with no leak, all columns unchanged."""
-    out = docs
+    # Arrow functions can't name columns with dots: columns go by number meanwhile.
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    out, text = plain, f"c{docs.columns.index('text')}"
     for index, _ in _indexes(docs, benchmark):
-        out = out.withColumn("__text", F.coalesce(col("text"), F.lit(""))).mapInArrow(lambda x, index=index: _clean(x, index), docs.schema)
-    return out
+        read = out.withColumn("text", F.coalesce(text, F.lit("")))
+        out = read.mapInArrow(lambda x, index=index: _clean(x, index, "text"), plain.schema)
+    return out.toDF(*docs.columns)

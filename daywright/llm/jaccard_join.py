@@ -269,10 +269,10 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHING
     """
     rows = _joined(docs, threshold, size, trees, target).where("root is not null")
     first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    gone = rows.join(first, "root").where(F.col("row") != F.col("first.row")).select(F.col("row").alias("__gone")).distinct()
-    worded = F.coalesce(col("text"), F.lit("")).rlike(r"\S")
-    row, nth = fresh(docs, "__row"), fresh(docs, "__nth")
+    row, nth, out = (fresh(docs, x) for x in ("__row", "__nth", "__gone"))
+    gone = rows.join(first, "root").where(F.col("row") != F.col("first.row")).select(F.col("row").alias(out)).distinct()
+    worded = F.coalesce(col("text"), F.lit("")).rlike(r"(?U)\S")
     named = docs.withColumn(row, F.xxhash64(col("doc_id"), col("text")))
-    left = named.join(gone, F.col(row) == F.col("__gone"), "left_anti")
+    left = named.join(gone, F.col(row) == F.col(out), "left_anti")
     alike = Window.partitionBy(row).orderBy(row)
     return left.withColumn(nth, F.row_number().over(alike)).where((F.col(nth) == 1) | ~worded).select(*map(col, docs.columns))

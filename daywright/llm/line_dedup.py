@@ -61,12 +61,12 @@ def drop_boilerplate(
     names a column for the number of lines that went. A host's documents are joined in `SPLITS`
     parts by doc_id, so that one host doesn't meet in one task.
     """
-    h, part, bad = fresh(docs, "__host"), fresh(docs, "__part"), fresh(docs, "__bad")
+    h, part, of, bad = (fresh(docs, x) for x in ("__host", "__part", "__of_part", "__bad"))
     lists = boilerplate(docs, host, text, max_ratio, min_pages).select(
-        F.col("host").alias(h), F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias(part), F.col("bad").alias(bad)
+        F.col("host").alias(h), F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias(of), F.col("bad").alias(bad)
     )
     spread = docs.withColumn(part, F.pmod(F.xxhash64(col("doc_id")), F.lit(SPLITS)).cast("int"))
-    joined = spread.join(lists.withColumnRenamed(part, part + "2"), col(host).eqNullSafe(F.col(h)) & (F.col(part) == F.col(part + "2")), "left")
+    joined = spread.join(lists, col(host).eqNullSafe(F.col(h)) & (F.col(part) == F.col(of)), "left")
     lines = F.split(col(text), "\n")
     kept = F.filter(lines, lambda x: ~(_has_word(x) & F.array_contains(F.col(bad), _key(x))))
     clean = F.when(F.col(bad).isNull(), col(text)).otherwise(F.array_join(kept, "\n"))

@@ -136,10 +136,11 @@ def safe_cutoffs(
         F.count("*").alias("n"),
         *[F.sum((F.col(f"s.{rule}") > cut).cast("long")).alias(f"{rule}__{i}") for rule, cuts in CUTOFFS.items() for i, cut in enumerate(cuts)],
     )
-    tests = counts.select(
+    # Counted before the cutoffs unfold: strata, not tests.
+    tests = counts.withColumn("strata", F.count("*").over(Window.partitionBy(F.lit(0)))).select(
         "__stratum",
         "n",
-        F.count("*").over(Window.partitionBy(F.lit(0))).alias("strata"),
+        "strata",
         F.inline(
             F.array(
                 *[
