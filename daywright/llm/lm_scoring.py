@@ -35,13 +35,13 @@ def vocabulary_size(tokenizer: str) -> int:
     return Model.from_file(tokenizer).get_vocab_size(with_added_tokens=True)
 
 
-def _blocks(batches: Iterator, tokenizer: str, side: int, id_type, wide: bool) -> Iterator:
+def _blocks(batches: Iterator, tokenizer: str, ranks: str | None, side: int, id_type, wide: bool) -> Iterator:
     """A row a block: ids, token counts and tokens of its texts. The number is (task, block), by side."""
     import numpy as np
     import pyarrow as pa
     from pyspark import TaskContext
 
-    model, kind = Tokenizer(tokenizer), "<u4" if wide else "<u2"
+    model, kind = Tokenizer(tokenizer, ranks), "<u4" if wide else "<u2"
     number = (TaskContext.get().partitionId() << 32) * 2 + side
     ids, sizes, tokens = [], [], []
 
@@ -235,7 +235,7 @@ def _scored(batches: Iterator, vocabulary: int, wide: bool, first, second, id_ty
         yield rows()
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, tokenizer: str) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, tokenizer: str, ranks: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of each row of `docs` (doc_id, text).
 
     The background model counts all of `docs`, the target model all of `target` (text). Null texts count
@@ -252,7 +252,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, tokenizer: str)
         (docs.select(col("doc_id").alias("id"), col("text")), BACKGROUND),
         (target.select(F.lit(None).cast(kind).alias("id"), col("text")), TARGET),
     )
-    parts = [d.mapInArrow(lambda x, side=side: _blocks(x, tokenizer, side, id_type, wide), schema) for d, side in sides]
+    parts = [d.mapInArrow(lambda x, side=side: _blocks(x, tokenizer, ranks, side, id_type, wide), schema) for d, side in sides]
     blocks = stored(parts[0].union(parts[1]), "blocks")
 
     import numpy as np

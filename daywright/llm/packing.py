@@ -13,7 +13,7 @@ next; there is no shuffle, and at most one sequence a task is left unfilled.
 
 from __future__ import annotations
 
-import re
+import base64
 import zlib
 from collections.abc import Iterator
 
@@ -31,46 +31,67 @@ POOL, LEAST_CUT = 512, 16
 TASK_SPAN = 1 << 36
 
 
-class Tokenizer:
+class Tokenizer(dict):
     """Ids of whole texts as little-endian 32-bit bytes, by a tokenizer file of the tokenizers library.
 
-    Byte-level pre-tokens never cross a space before a character that isn't white space, so the text
-    is taken apart there and each distinct chunk is encoded once and remembered (up to `most` chunks).
-    A text that holds a special token's string is encoded as a whole.
+    Byte-level pre-tokens never cross a space before a character that isn't white space, so texts are
+    taken apart there, and each distinct chunk is encoded once and remembered (up to `most` chunks; then
+    anew). `ranks`, if given, is the file of the same vocabulary as ranks, whose encoder makes the same
+    ids faster for short chunks. A text with a special token's string goes to the first file's model whole.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    #: How a text falls into pre-tokens: a fixed value that belongs to the vocabulary.
+    PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+    def __init__(self, path: str, ranks: str | None = None, most: int = 500_000, short: int = 1_000):
         from tokenizers import Tokenizer as Model
 
-        self.model, self.most, self.known = Model.from_file(path), most, {}
-        special = [t.content for t in self.model.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        super().__init__()
+        self.model, self.fast, self.most, self.short = Model.from_file(path), None, most, short
+        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        if ranks:
+            import tiktoken
+
+            with open(ranks, "rb") as f:
+                known = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=self.PRE_TOKENS, mergeable_ranks=known, special_tokens={})
 
     @staticmethod
     def chunks(text: str) -> list[str]:
-        parts = text.split(" ")
-        out = [parts[0]]
-        for p in parts[1:]:
+        out = []
+        for p in text.split(" "):
             if p and not p[0].isspace():
                 out.append(" " + p)
-            else:
+            elif out:
                 out[-1] += " " + p
+            else:
+                out.append(" " + p)
+        out[0] = out[0][1:]
         return out
 
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
+    def __missing__(self, chunk: str) -> bytes:
+        import struct
 
-        if len(self.known) > self.most:
-            self.known = {}
-        whole = [self.special is not None and self.special.search(t) is not None for t in texts]
-        pieces = [[t] if w else self.chunks(t) for t, w in zip(texts, whole, strict=True)]
-        new = list({c for p in pieces for c in p if c not in self.known})
-        for k in range(0, len(new), 5_000):
-            some = new[k : k + 5_000]
-            for c, e in zip(some, self.model.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
-        known = self.known
-        return [b"".join([known[c] for c in p]) for p in pieces]
+        ids = self.fast.encode_ordinary(chunk) if self.fast and len(chunk) <= self.short else self._ids(chunk)
+        self[chunk] = out = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
+    def _ids(self, text: str) -> list[int]:
+        return self.model.encode(text, add_special_tokens=False).ids
+
+    def encoded(self, texts: list[str]) -> list[bytes]:
+        import struct
+
+        if len(self) > self.most:
+            self.clear()
+        out = []
+        for t in texts:
+            if any(s in t for s in self.special):
+                ids = self._ids(t)
+                out.append(struct.pack(f"<{len(ids)}I", *ids))
+            else:
+                out.append(b"".join(map(self.__getitem__, self.chunks(t))))
+        return out
 
 
 class Packer:
@@ -148,12 +169,12 @@ class Packer:
             self._close(placed)
 
 
-def _packed(batches: Iterator, path: str, end_id: int, length: int, segments: int, most_loss: int, id_type) -> Iterator:
+def _packed(batches: Iterator, path: str, ranks: str | None, end_id: int, length: int, segments: int, most_loss: int, id_type) -> Iterator:
     import numpy as np
     import pyarrow as pa
     from pyspark import TaskContext
 
-    tokenizer = Tokenizer(path)
+    tokenizer = Tokenizer(path, ranks)
     packer = Packer((length, segments, most_loss), TaskContext.get().partitionId() * TASK_SPAN)
     end = np.array([end_id], "<u4").tobytes()
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -181,7 +202,13 @@ def _packed(batches: Iterator, path: str, end_id: int, length: int, segments: in
 
 
 def pack(
-    docs: DataFrame, tokenizer: str, end_id: int = 1, length: int = LENGTH, segments: int = MAX_SEGMENTS, most_loss: int | None = None
+    docs: DataFrame,
+    tokenizer: str,
+    ranks: str | None = None,
+    end_id: int = 1,
+    length: int = LENGTH,
+    segments: int = MAX_SEGMENTS,
+    most_loss: int | None = None,
 ) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece of every document.
 
@@ -194,7 +221,7 @@ def pack(
     kind, id_type = docs.schema["doc_id"].dataType.simpleString(), to_arrow_type(docs.schema["doc_id"].dataType)
     schema = f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
     rows = docs.select(col("doc_id"), F.coalesce(col("text"), F.lit("")).alias("text"))
-    return rows.mapInArrow(lambda x: _packed(x, tokenizer, end_id, length, segments, most_loss or length, id_type), schema)
+    return rows.mapInArrow(lambda x: _packed(x, tokenizer, ranks, end_id, length, segments, most_loss or length, id_type), schema)
 
 
 def pack_examples(examples: DataFrame, length: int = LENGTH, segments: int = 16, most_loss: int = LENGTH) -> DataFrame:

@@ -23,8 +23,12 @@ from daywright.llm import (
 from daywright.llm.common import table
 
 
+#: One byte-level vocabulary in two forms, for two encoders.
+TOKENIZER, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, RANKS)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +38,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much more a document is like what assistants say in `conversations` than like the documents at large."""
     target = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), target, public_tokenizers.path("byte_bpe_50k.json"))
+    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), target, TOKENIZER, RANKS)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
