@@ -191,11 +191,12 @@ def find(docs: DataFrame) -> DataFrame:
     added = new.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
     out = rows.select("row", "doc_id", "base").join(added, "row", "left")
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    of = lambda kind: lambda s: F.when(s["kind"] == kind, 1)
     name = lambda k: F.get(F.array(*map(F.lit, KINDS)), k)
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s["kind"]), s["start"], s["end"])), ",")
     return out.select(
         "doc_id",
-        *[F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{n}") for k, n in enumerate(KINDS)],
+        *[F.size(F.array_compact(F.transform("base", of(k)))).cast("long").alias(f"n_{n}") for k, n in enumerate(KINDS)],
         F.sha2(text(F.col("base")), 256).alias("base_sha256"),
         text(F.sort_array(F.concat("base", F.coalesce("added", none)))).alias("spans"),
         F.coalesce(F.size("added"), F.lit(0)).cast("long").alias("n_added"),
