@@ -31,7 +31,7 @@ from daywright.llm.common import col, stored
 HOP, PART, ITEMS = 32, 64, 1_000
 
 #: Dimensions of the latent space at most, cosine of a candidate.
-RANK, MIN_COSINE = 256, 0.35
+RANK, MIN_COSINE = 256, 0.5
 
 LCS_SURE, LCS_LIKELY, ANSWER_SHARE = 0.8, 0.6, 0.8
 
@@ -174,7 +174,7 @@ class Index:
             window = vectors[: len(vectors) - scale + 1].copy()
             for k in range(1, scale):
                 window += vectors[k : len(vectors) - scale + 1 + k]
-            norm = np.linalg.norm(window, axis=1)
+            norm = np.sqrt(np.einsum("ij,ij->i", window, window))
             cosine = window @ items
             hit = np.argwhere(cosine >= MIN_COSINE * norm[:, None] + 1e-9)
             for w, p in hit.tolist():

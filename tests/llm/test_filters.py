@@ -179,7 +179,7 @@ def leak_tables(spark):
             leak = text.split()
             if k % 10 == 0:  # a paraphrase: words left out and put in, not in the last quarter
                 cut = len(leak) - len(leak) // 4
-                leak = [w for w in leak[:cut] if rng.random() > 0.15] + leak[cut:]
+                leak = [w for w in leak[:cut] if rng.random() > 0.3] + leak[cut:]
             at = rng.randrange(len(tokens))
             tokens[at:at] = [w.upper() + "!" for w in leak] if k % 15 == 0 else leak
             want.add((k, item_id))
