@@ -431,7 +431,12 @@ UNION ALL SELECT date, 'absent' AS kind FROM (SELECT * FROM a EXCEPT SELECT * FR
   {r('mw.m', 8, 'masked_multiplier')}, {r('fw.weight', 8, 'full_weight')}, {r('mw.weight', 8, 'masked_weight')},
   {far('mw.m', 'fw.m')} AS multiplier_leak, {far('mw.weight', 'fw.weight')} AS weight_leak
   FROM mw JOIN fw ON fw.series_id = mw.series_id AND fw.date = mw.probe AND mw.date = mw.probe""")
-    q["submission_check"] = statement([*base, probes], """SELECT series_id, 'forward_leakage' AS "check", count(*) AS checked, 0 AS failed FROM probes GROUP BY 1
+    in_range = probes.replace("FROM daily)", f"FROM daily WHERE date BETWEEN DATE '{S.RANGE_START}' AND DATE '{S.RANGE_END}')")
+    checked = [*base, in_range, masked, feature_cte("masked", "mfeat", "pk"), whole, masked_days]
+    q["submission_check"] = statement(checked, f"""SELECT p.series_id, 'forward_leakage' AS "check", count(*) AS checked,
+    count(CASE WHEN {far('d.m', 'f.m')} THEN 1 END) AS failed
+    FROM probes p JOIN full_days f ON f.series_id = p.series_id AND f.date = p.probe
+    JOIN masked_days d ON d.series_id = p.series_id AND d.probe = p.probe AND d.date = p.probe GROUP BY 1
   UNION ALL SELECT series_id, 'weights', count(*), count(CASE WHEN abs(s - 1) > 1e-8 + 1e-5 OR lo < 0 THEN 1 END)
     FROM (SELECT series_id, window_start, sum(weight) AS s, min(weight) AS lo FROM weights GROUP BY 1, 2) t GROUP BY 1
   UNION ALL SELECT series_id, 'under_performer', count(*), 0 FROM spd WHERE dp < up GROUP BY 1
@@ -516,4 +521,10 @@ UNION ALL SELECT date, 'absent' AS kind FROM (SELECT * FROM a EXCEPT SELECT * FR
   (count(*) - count({c})) / CAST(count(*) AS DOUBLE) AS null_share FROM lineitem"""
         for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
                   "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"))
+    q["profile_orders"] = " UNION ALL ".join(
+        f"""SELECT '{c}' AS column_name, '{kind}' AS data_type, count(*) AS row_count, count(*) - count({c}) AS null_count,
+  CAST(min({c}) AS VARCHAR) AS min_value, CAST(max({c}) AS VARCHAR) AS max_value,
+  (count(*) - count({c})) / CAST(count(*) AS DOUBLE) AS null_share, count(DISTINCT {c}) AS distinct_count FROM orders"""
+        for c, kind in (("o_orderkey", "bigint"), ("o_custkey", "bigint"), ("o_orderstatus", "string"), ("o_totalprice", "double"),
+                        ("o_orderdate", "timestamp_ntz"), ("o_orderpriority", "string")))
     return q

@@ -522,7 +522,9 @@ def market_links(spark, d):
 
 @query
 def profile_orders(spark, d):
-    return profile.column_profile(S.table(spark, d, "orders"))
+    """Profile with exact distinct counts."""
+    orders = S.table(spark, d, "orders")
+    return profile.column_profile(orders).drop("distinct_estimate").join(profile.distinct_counts(orders), "column_name")
 
 
 @query

@@ -207,6 +207,14 @@ def last_price(daily: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataFr
     )
 
 
+def distinct_counts(df: DataFrame) -> DataFrame:
+    """(column_name, distinct_count) of the plain columns: values are made distinct before they are counted."""
+    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType, T.BinaryType))]
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in plain])
+    values = df.select(F.inline(cells)).where("value is not null").distinct()
+    return values.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
+
+
 def column_profile(df: DataFrame) -> DataFrame:
     """Per column: type, rows, nulls, null share, min, max, about how many distinct values."""
     stats = []

@@ -162,17 +162,10 @@ def with_ema(
 
 
 def with_softmax(df: DataFrame, column: str, out: str, keys: Keys = DEFAULT_KEYS) -> DataFrame:
-    """exp(x - max) / sum over each key, by aggregates instead of a whole-group window.
-
-    The two small per-key aggregates are combined before the shuffle, so a key that holds a
-    large share of the rows is never gathered in one task.
-    """
-    x = F.col(column)
-    top = df.groupBy(*keys).agg(F.max(x).alias("_top"))
-    shifted = df.join(top, list(keys)).withColumn("_ex", F.exp(x - F.col("_top")))
-    total = shifted.groupBy(*keys).agg(F.sum("_ex").alias("_total"))
+    """exp(x - max) / sum over each key: one shuffle; a key's rows are its days, so the calendar bounds them."""
+    whole = Window.partitionBy(*keys)
     return (
-        shifted.join(total, list(keys))
-        .withColumn(out, F.col("_ex") / F.col("_total"))
-        .drop("_top", "_ex", "_total")
+        df.withColumn("_ex", F.exp(F.col(column) - F.max(column).over(whole)))
+        .withColumn(out, F.col("_ex") / F.sum("_ex").over(whole))
+        .drop("_ex")
     )

@@ -83,6 +83,18 @@ def wrong_sums(windows: DataFrame, total: str = "weight_sum") -> DataFrame:
     return windows.where(~F.coalesce(right, F.lit(False)))
 
 
+def with_right_sums(results: DataFrame, total: str = "weight_sum") -> DataFrame:
+    """The rows as they are; the job fails at a window whose weights do not sum to 1.
+
+    It is a filter, so it holds whichever columns are read, and stays lazy.
+    """
+    right = F.coalesce(is_close(F.col(total), F.lit(1.0), WEIGHT_SUM_RTOL, WEIGHT_SUM_ATOL), F.lit(False))
+    text = F.concat(
+        F.lit("weights do not sum to 1 in "), F.col("window"), F.lit(": "), F.coalesce(F.col(total).cast("string"), F.lit("none"))
+    )
+    return results.where(F.when(right, F.lit(True)).otherwise(F.raise_error(text).cast("boolean")))
+
+
 def assert_weight_sums(windows: DataFrame, total: str = "weight_sum") -> None:
     """Raise on the first few windows with a wrong sum."""
     bad = wrong_sums(windows, total).limit(3).collect()

@@ -60,11 +60,16 @@ def multiplier_days(
 
 
 def backtest_features(
-    features: DataFrame, windows: Windows, strategy: Strategy, keys: Keys = DEFAULT_KEYS
+    features: DataFrame,
+    windows: Windows,
+    strategy: Strategy,
+    keys: Keys = DEFAULT_KEYS,
+    validate: bool = True,
 ) -> DataFrame:
     """SPD table of a multiplier strategy over precomputed features."""
     expanded = expand_windows(multiplier_days(features, strategy, keys), windows, keys)
-    return spd.spd_table(window_totals(expanded, keys=keys), keys)
+    results = spd.spd_table(window_totals(expanded, keys=keys), keys)
+    return spd.with_right_sums(results) if validate else results
 
 
 def backtest(
@@ -79,10 +84,15 @@ def backtest_python(
     strategy: Strategy,
     weigh: Callable[[pd.DataFrame], pd.Series],
     keys: Keys = DEFAULT_KEYS,
+    validate: bool = True,
 ) -> DataFrame:
-    """SPD table for a user function; features come from ``strategy``, weights from ``weigh``."""
+    """SPD table for a user function; features come from ``strategy``, weights from ``weigh``.
+
+    With ``validate`` the job fails at a window whose weights do not sum to 1.
+    """
     expanded = expand_windows(signal_days(features, strategy, keys), windows, keys)
-    return spd.spd_table(spd.rates_from_weights(python_weights(expanded, weigh, keys), keys=keys), keys)
+    results = spd.spd_table(spd.rates_from_weights(python_weights(expanded, weigh, keys), keys=keys), keys)
+    return spd.with_right_sums(results) if validate else results
 
 
 def backtest_weights(
@@ -121,36 +131,50 @@ def window_weights(
 # --- checks ------------------------------------------------------------------------------
 
 
+def _one_window(days: DataFrame) -> DataFrame:
+    no_date = F.lit(None).cast("date")
+    return days.withColumns({BLOCK: F.lit(0), "window_start": no_date, "window_end": no_date})
+
+
 def _span_weights(days: DataFrame, keys: Keys) -> DataFrame:
     """Weights over the whole history of each key as one window."""
-    one = days.withColumns(
-        {BLOCK: F.lit(0), "window_start": F.lit(None).cast("date"), "window_end": F.lit(None).cast("date")}
-    )
-    return allocate(one, keys=keys).select(*keys, "date", "multiplier", "weight")
+    return allocate(_one_window(days), keys=keys).select(*keys, "date", "multiplier", "weight")
 
 
 def leakage_check(
-    daily: DataFrame, strategy: Strategy, probes: DataFrame | None = None, keys: Keys = DEFAULT_KEYS
+    daily: DataFrame,
+    strategy: Strategy,
+    probes: DataFrame | None = None,
+    keys: Keys = DEFAULT_KEYS,
+    features: DataFrame | None = None,
+    weigh: Callable[[pd.DataFrame], pd.Series] | None = None,
 ) -> DataFrame:
     """Does anything about a probe day change when the days after it are blanked?
 
     Features are rebuilt from a masked copy of the series for every probe. The multiplier
     must not move. The weight may: when the past overspends its budget all weights are
     scaled by a sum that includes later days, so ``weight_leak`` is reported but informational.
+
+    A user function ``weigh`` sees the whole history as one window. It has no multiplier: its
+    weight on the probe day takes that place and must not move. ``features`` are those of the
+    unmasked series, if at hand.
     """
     probes = probe_dates(daily, keys=keys) if probes is None else probes
     values = [c for c in daily.columns if c not in (*keys, "date")]
     masked = masked_at_probes(daily, probes, values, keys)
     probe_keys = (*keys, "probe")
 
-    def weighted(rows: DataFrame, by: Keys) -> DataFrame:
-        return _span_weights(multiplier_days(strategy.features(rows, by), strategy, by), by)
+    def weighted(made: DataFrame, by: Keys) -> DataFrame:
+        if weigh is None:
+            return _span_weights(multiplier_days(made, strategy, by), by)
+        days = _one_window(signal_days(made, strategy, by))
+        return python_weights(days, weigh, by).select(*by, "date", F.col("weight").alias("multiplier"), "weight")
 
-    full = weighted(daily, keys).select(
+    full = weighted(strategy.features(daily, keys) if features is None else features, keys).select(
         *keys, F.col("date").alias("probe"), F.col("multiplier").alias("full_multiplier"),
         F.col("weight").alias("full_weight"),
     )
-    seen = weighted(masked, probe_keys).where(F.col("date") == F.col("probe")).select(
+    seen = weighted(strategy.features(masked, probe_keys), probe_keys).where(F.col("date") == F.col("probe")).select(
         *probe_keys, F.col("multiplier").alias("masked_multiplier"), F.col("weight").alias("masked_weight")
     )
     same = lambda a, b: F.coalesce(is_close(F.col(a), F.col(b), 1e-9, 1e-12), F.lit(False))
@@ -168,23 +192,29 @@ def submission_check(
     strategy: Strategy,
     keys: Keys = DEFAULT_KEYS,
     features: DataFrame | None = None,
+    weigh: Callable[[pd.DataFrame], pd.Series] | None = None,
 ) -> DataFrame:
     """(keys, check, key, detail, passed): leakage, weights, worse windows, win rate.
 
     Worse windows are listed for information and pass. Ties count as wins in the win rate.
     The weights are built once; each window row yields the entries of all window checks.
+    Leakage is probed on every k-th day of the windows' range. With ``weigh`` the weights of
+    that user function are checked instead of the strategy's.
     """
     features = strategy.features(daily, keys) if features is None else features
-    leaks = leakage_check(daily, strategy, keys=keys).select(
+    probes = probe_dates(daily.where(F.col("date").between(*map(F.lit, window_span(windows)))), keys=keys)
+    leaks = leakage_check(daily, strategy, probes, keys, features, weigh).select(
         *keys,
         F.lit("forward_leakage").alias("check"),
         F.date_format("probe", "yyyy-MM-dd").alias("key"),
         F.abs(F.col("masked_multiplier") - F.col("full_multiplier")).alias("detail"),
         (~F.col("multiplier_leak")).alias("passed"),
     )
-    results = spd.spd_table(
-        spd.rates_from_weights(backtest_weights(features, windows, strategy, keys), keys=keys), keys
-    )
+    if weigh is None:
+        weights = backtest_weights(features, windows, strategy, keys)
+    else:
+        weights = python_weights(expand_windows(signal_days(features, strategy, keys), windows, keys), weigh, keys)
+    results = spd.spd_table(spd.rates_from_weights(weights, keys=keys), keys)
     series = Window.partitionBy(*keys)
     lost = F.col("dynamic_percentile") < F.col("uniform_percentile")
     judged = results.withColumn("_lost", F.coalesce(lost, F.lit(False))).withColumns(
@@ -229,9 +259,12 @@ def run_full_analysis(
     strategy: Strategy,
     output: str,
     keys: Keys = DEFAULT_KEYS,
+    weigh: Callable[[pd.DataFrame], pd.Series] | None = None,
 ) -> dict[str, DataFrame]:
     """Backtest, validate and write every table and the report below ``output``.
 
+    With ``weigh`` all of it is about that user function, over the strategy's features.
+
     Features and the SPD table are written once and read back, so later steps do not repeat
     them and a lost executor costs no more than its own tasks.
     """
@@ -242,14 +275,18 @@ def run_full_analysis(
         return spark.read.parquet(f"{output}/{name}")
 
     features = keep(strategy.features(daily, keys), "features")
-    results = keep(backtest_features(features, windows, strategy, keys), "spd")
+    if weigh is None:
+        results = backtest_features(features, windows, strategy, keys, validate=False)
+    else:
+        results = backtest_python(features, windows, strategy, weigh, keys, validate=False)
+    results = keep(results, "spd")
     spd.assert_weight_sums(results)
 
     scored = metrics.score_metrics(results, keys)
     tables = {
         "metrics": scored,
         "spd_summary": metrics.spd_summary(results, keys),
-        "checks": submission_check(daily, windows, strategy, keys, features),
+        "checks": submission_check(daily, windows, strategy, keys, features, weigh),
         "performance": charts.performance_long(results, keys),
         "excess_histogram": charts.excess_histogram(results, keys=keys),
         "win_loss": metrics.win_loss(results, keys),

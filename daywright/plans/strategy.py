@@ -54,6 +54,18 @@ def extended_strategy(
     )
 
 
+def aligned(weigh: Callable[[pd.DataFrame], pd.Series], window: pd.DataFrame) -> np.ndarray:
+    """The function's weights in the order of the window's days."""
+    dated = window.set_axis(pd.DatetimeIndex(pd.to_datetime(window["date"]), name=None))
+    result = weigh(dated)
+    if isinstance(result, pd.Series):
+        return result.reindex(dated.index).fillna(0.0).to_numpy(dtype=float)
+    result = np.asarray(result, dtype=float)
+    if result.shape != (len(window),):
+        raise ValueError(f"{result.shape} weights for a window of {len(window)} days")
+    return result
+
+
 def python_weights(
     expanded: DataFrame,
     weigh: Callable[[pd.DataFrame], pd.Series],
@@ -64,7 +76,9 @@ def python_weights(
 
     Python gets one block of windows of one series at a time (at most ``block_days`` windows),
     placed there by the expansion already, so no rows move. Prefer a multiplier strategy
-    where one can be written.
+    where one can be written. The frame is indexed by date, and a Series that comes back is
+    aligned by its index: a day that it leaves out has weight 0, days outside the window are
+    ignored. Anything without an index must have one number a day.
     """
     ids = [*keys, *WINDOW_KEYS]
     out = [*ids, "date", *carry]
@@ -73,10 +87,7 @@ def python_weights(
     def run(block: pd.DataFrame) -> pd.DataFrame:
         bounds = ["window_start", "window_end"]
         block = block.sort_values([*bounds, "date"], ignore_index=True)
-        parts = [
-            pd.Series(weigh(window.reset_index(drop=True))).to_numpy(dtype=float)
-            for _, window in block.groupby(bounds, sort=False)
-        ]
+        parts = [aligned(weigh, window) for _, window in block.groupby(bounds, sort=False, dropna=False)]
         return block[out].assign(weight=np.concatenate(parts))
 
     return expanded.groupBy(*keys, BLOCK).applyInPandas(run, schema)

@@ -13,8 +13,8 @@ from daywright.settings import SERIES
 def read_daily_csv(spark: SparkSession, path: str) -> DataFrame:
     """All columns but ``time`` and ``series_id`` as DOUBLE, plus the file position ``_ord``.
 
-    No inference pass: columns are read as text and converted where they are used. Empty text
-    is missing.
+    No inference pass: columns are read as text and converted where they are used. Text that is
+    no number (empty, NA, null and the like) is missing.
     """
     try:
         raw = spark.read.csv(path, header=True)
@@ -24,7 +24,7 @@ def read_daily_csv(spark: SparkSession, path: str) -> DataFrame:
         raise
     names = raw.columns
     kept = [
-        F.col(f"`{c}`") if c in ("time", SERIES) else F.col(f"`{c}`").cast("double").alias(c)
+        F.col(f"`{c}`") if c in ("time", SERIES) else F.col(f"`{c}`").try_cast("double").alias(c)
         for c in names
     ]
     position = F.struct(

@@ -5,6 +5,8 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from daywright.operators.cleaning import parse_text_timestamps, repair_timestamps
@@ -30,7 +32,7 @@ def load_market_tables(
         path = f"{folder.rstrip('/')}/{MARKET_FILES[name]}"
         try:
             table = spark.read.parquet(path)
-        except Exception as error:  # an absent or unreadable table is left out
+        except (PySparkException, Py4JJavaError) as error:  # an absent or unreadable table is left out
             warnings.warn(f"{name}: cannot read {path}: {str(error).splitlines()[0]}", stacklevel=2)
             continue
         if name == "markets":

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from daywright import catalog
 from tests.conftest import SF_SMALL
 from tools.compare import connect, differences
 
@@ -29,3 +30,7 @@ def test_entry_has_rows(spark):
 
 def test_every_counterpart_has_a_query():
     assert set(SQL) <= set(entry.queries())
+
+
+def test_every_query_of_the_catalog_has_a_counterpart():
+    assert set(catalog.queries()) == set(catalog.oracle_sql())

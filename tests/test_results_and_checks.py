@@ -3,7 +3,9 @@ import math
 from datetime import date
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from daywright.operators import charts, cleaning, metrics, scenarios
@@ -197,3 +199,37 @@ def test_many_series_keep_apart(spark, daily):
     spd = B.backtest(two, RANGE, baseline_strategy())
     pair = spd.groupBy("window_start").agg((F.max("dynamic_percentile") - F.min("dynamic_percentile")).alias("d"), F.count("*").alias("n"))
     assert pair.where("abs(d) > 1e-8 or n <> 2").count() == 0
+
+
+def _shares(window):
+    raw = np.exp(-2 * window["price_vs_ma"])
+    return raw / raw.sum()
+
+
+def test_user_weights_are_aligned_by_date(spark, daily):
+    strategy = baseline_strategy()
+    features = strategy.features(daily, ("series_id",))
+    run = lambda weigh: B.backtest_python(features, RANGE, strategy, weigh).orderBy("window_start").toPandas()
+    straight, backwards = run(_shares), run(lambda w: _shares(w)[::-1])
+    pd.testing.assert_frame_equal(straight, backwards)
+    first_half = run(lambda w: pd.Series(1 / (len(w) // 2), index=w.index[: len(w) // 2]))
+    assert np.allclose(first_half["weight_sum"], 1)
+
+
+@pytest.mark.parametrize("weigh", [lambda w: w["price_vs_ma"] * 0 + 1.0, lambda w: np.ones(3) / 3], ids=["sum", "length"])
+def test_wrong_user_weights_stop_the_backtest(spark, daily, weigh):
+    strategy = baseline_strategy()
+    features = strategy.features(daily, ("series_id",))
+    with pytest.raises(Exception, match="weights"):
+        B.backtest_python(features, RANGE, strategy, weigh).select("window_start").collect()
+
+
+def test_checks_take_a_user_function(spark, daily):
+    strategy = baseline_strategy()
+    probes = daily.select("series_id", F.max("date").over(Window.partitionBy("series_id")).alias("probe")).distinct()
+    probes = probes.withColumn("probe", F.date_sub("probe", 100))
+    steady = lambda w: np.full(len(w), 1 / len(w))
+    assert B.leakage_check(daily, strategy, probes, weigh=steady).where("multiplier_leak").isEmpty()
+    assert not B.leakage_check(daily, strategy, probes, weigh=_shares).where("multiplier_leak").isEmpty()
+    checks = B.submission_check(daily, RANGE, strategy, weigh=steady).where("check = 'weights'")
+    assert checks.count() > 0 and checks.where("not passed").isEmpty()
