@@ -100,10 +100,16 @@ class Index:
     """
 
     def __init__(self, parts: list[tuple]):
+        import numpy as np
+
         self.parts = parts
         self.terms = {w: k for k, w in enumerate(sorted({w for _, tokens in parts for w in tokens}))}
         self.numbered = [[self.terms[w] for w in tokens] for _, tokens in parts]
         self.project = None
+        self.needs = np.array([max(1, math.ceil(LCS_LIKELY * len(ids) - 1e-9)) for ids in self.numbered], np.int64)
+        self.counts = np.zeros((len(parts), len(self.terms)), np.uint8)
+        for k, ids in enumerate(self.numbered):
+            np.add.at(self.counts[k], ids, 1)
 
     def tfidf(self, idf):
         import numpy as np
@@ -161,6 +167,27 @@ class Index:
                 out[p[start]] += np.add.reduceat(self.project[ids[k : k + 20_000]], start, axis=0)
         return out, firsts
 
+    def shared_words(self, ids, lo, hi, part):
+        """For each candidate, how many of the words ids[lo:hi] the part has at most: never less than their common subsequence."""
+        import numpy as np
+
+        out = np.zeros(len(lo), np.int64)
+        long = np.flatnonzero(hi - lo >= self.needs[part])
+        for k in range(0, len(long), 10_000):
+            some = long[k : k + 10_000]
+            n = hi[some] - lo[some]
+            row = np.repeat(np.arange(len(some)), n)
+            word = ids[np.arange(len(row)) + np.repeat(lo[some] - (np.cumsum(n) - n), n)].astype(np.int64)
+            known = self.counts[part[some][row], word]
+            row, word, known = row[known > 0], word[known > 0], known[known > 0]
+            out[some] = np.bincount(row, minlength=len(some))
+            # Of the few left, a word counts as often as both have it.
+            left = (out[some] >= self.needs[part[some]])[row]
+            pair, first, times = np.unique(row[left] * len(self.terms) + word[left], return_index=True, return_counts=True)
+            exact = np.bincount(pair // len(self.terms), np.minimum(times, known[left][first]), len(some)).astype(np.int64)
+            out[some] = np.minimum(out[some], np.where(out[some] >= self.needs[part[some]], exact, out[some]))
+        return out
+
     def leaks(self, texts: list[tuple]) -> list[tuple]:
         """(text number, item_id, share of the item's words in order, of its answer's, cosine) of every leak."""
         import numpy as np
@@ -169,30 +196,30 @@ class Index:
         vectors, firsts = self.passage_vectors(texts, gap)
         best: dict[tuple, tuple] = {}
         done: set[tuple] = set()
-        firsts_at = np.array(firsts)
+        # All texts' places in one row of passages, so that windows are cut from it by number.
+        firsts_at, ids = np.array(firsts), np.concatenate([x for _, _, x in texts])
+        places = np.concatenate([f * HOP + p.astype(np.int64) for f, (_, p, _) in zip(firsts, texts, strict=True)])
+        before = np.cumsum([0] + [len(p) for _, p, _ in texts])
         for scale, (parts, items) in self.scales.items():
             window = vectors[: len(vectors) - scale + 1].copy()
             for k in range(1, scale):
                 window += vectors[k : len(vectors) - scale + 1 + k]
             norm = np.sqrt(np.einsum("ij,ij->i", window, window))
             cosine = window @ items
-            hit = np.argwhere(cosine >= MIN_COSINE * norm[:, None] + 1e-9)
-            for w, p in hit.tolist():
-                part = parts[p]
+            w, p = np.nonzero(cosine >= MIN_COSINE * norm[:, None] + 1e-9)
+            part = np.array(parts)[p]
+            lo, hi = np.searchsorted(places, w * HOP), np.searchsorted(places, (w + scale) * HOP)
+            enough = self.shared_words(ids, lo, hi, part) >= self.needs[part]
+            for w, p, part, lo, hi in np.column_stack([w, p, part, lo, hi])[enough].tolist():
                 t = int(np.searchsorted(firsts_at, w, "right")) - 1
-                n, places, ids = texts[t]
-                at = (w - firsts[t]) * HOP
-                lo, hi = np.searchsorted(places, [at, at + scale * HOP])
-                if hi == lo or (t, part, lo, hi) in done:
+                lo, hi = max(lo, int(before[t])), min(hi, int(before[t + 1]))
+                if hi <= lo or (part, lo, hi) in done:
                     continue
-                done.add((t, part, lo, hi))
+                done.add((part, lo, hi))
                 item = self.numbered[part]
-                need = max(1, math.ceil(LCS_LIKELY * len(item) - 1e-9))
-                if hi - lo < need:
-                    continue
                 inside = ids[lo:hi].tolist()
                 found = lcs(item, inside)
-                if found < need:
+                if found < self.needs[part]:
                     continue
                 answer = item[-max(1, len(item) // 4) :]
                 share, told = found / len(item), lcs(answer, inside) / len(answer)
