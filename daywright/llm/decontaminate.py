@@ -30,6 +30,9 @@ from daywright.llm.common import col, stored
 #: Words of a passage, the most words of an item's part, items of a block.
 HOP, PART, ITEMS = 32, 64, 1_000
 
+#: Windows whose cosines are in memory at a time.
+WINDOWS = 4_096
+
 #: Dimensions of the latent space at most, cosine of a candidate.
 RANK, MIN_COSINE = 256, 0.35
 
@@ -160,11 +163,16 @@ class Index:
         out = np.zeros((at, self.project.shape[1]), np.float32)
         passage = np.concatenate([f + places // HOP for f, (_, places, _) in zip(firsts, texts, strict=True)])
         ids = np.concatenate([x for _, _, x in texts])
-        for k in range(0, len(ids), 20_000):
-            p = passage[k : k + 20_000]
-            if len(p):
-                start = np.flatnonzero(np.diff(p, prepend=-1))
-                out[p[start]] += np.add.reduceat(self.project[ids[k : k + 20_000]], start, axis=0)
+        # Passages with most words first: the k-th words of all that have one are added at a time.
+        start = np.flatnonzero(np.diff(passage, prepend=-1))
+        n = np.diff(start, append=len(ids))
+        for k in range(0, len(start), 4_096):
+            some = k + np.argsort(-n[k : k + 4_096], kind="stable")
+            total = np.zeros((len(some), out.shape[1]), np.float32)
+            having = np.searchsorted(-n[some], -np.arange(n[some[0]]), "left")
+            for j, m in enumerate(having.tolist()):
+                total[:m] += self.project[ids[start[some[:m]] + j]]
+            out[passage[start[some]]] = total
         return out, firsts
 
     def shared_words(self, ids, lo, hi, part):
@@ -201,16 +209,21 @@ class Index:
         places = np.concatenate([f * HOP + p.astype(np.int64) for f, (_, p, _) in zip(firsts, texts, strict=True)])
         before = np.cumsum([0] + [len(p) for _, p, _ in texts])
         for scale, (parts, items) in self.scales.items():
-            window = vectors[: len(vectors) - scale + 1].copy()
-            for k in range(1, scale):
-                window += vectors[k : len(vectors) - scale + 1 + k]
-            norm = np.sqrt(np.einsum("ij,ij->i", window, window))
-            cosine = window @ items
-            w, p = np.nonzero(cosine >= MIN_COSINE * norm[:, None] + 1e-9)
+            hits = []
+            for v in range(0, len(vectors) - scale + 1, WINDOWS):
+                m = min(WINDOWS, len(vectors) - scale + 1 - v)
+                window = vectors[v : v + m].copy()
+                for k in range(1, scale):
+                    window += vectors[v + k : v + k + m]
+                cosine = window @ items
+                cosine /= np.maximum(np.sqrt(np.einsum("ij,ij->i", window, window)), 1e-30)[:, None]
+                w, p = np.nonzero(cosine >= MIN_COSINE)
+                hits.append((v + w, p, cosine[w, p]))
+            w, p, near = (np.concatenate(x) for x in zip(*hits, strict=True))
             part = np.array(parts)[p]
             lo, hi = np.searchsorted(places, w * HOP), np.searchsorted(places, (w + scale) * HOP)
             enough = self.shared_words(ids, lo, hi, part) >= self.needs[part]
-            for w, p, part, lo, hi in np.column_stack([w, p, part, lo, hi])[enough].tolist():
+            for w, part, lo, hi, cosine in zip(*[x[enough].tolist() for x in (w, part, lo, hi, near)], strict=True):
                 t = int(np.searchsorted(firsts_at, w, "right")) - 1
                 lo, hi = max(lo, int(before[t])), min(hi, int(before[t + 1]))
                 if hi <= lo or (part, lo, hi) in done:
@@ -225,7 +238,7 @@ class Index:
                 share, told = found / len(item), lcs(answer, inside) / len(answer)
                 if share >= LCS_SURE or told >= ANSWER_SHARE:
                     key = (t, self.parts[part][0])
-                    best[key] = max(best.get(key, (0.0,)), (share, told, float(cosine[w, p] / norm[w])))
+                    best[key] = max(best.get(key, (0.0,)), (share, told, cosine))
         return [(*key, *value) for key, value in sorted(best.items(), key=lambda x: (x[0][0], str(x[0][1])))]
 
 
