@@ -378,6 +378,13 @@ UNION ALL SELECT date, 'absent' AS kind FROM (SELECT * FROM a EXCEPT SELECT * FR
   abs(sum(weight) - 1) <= 1e-8 + 1e-5 AND count(CASE WHEN weight < 0 THEN 1 END) = 0 AS passed
   FROM weights GROUP BY 1, 2, 3""")
     q["backtest_spd"] = statement(base, SPD_SELECT)
+    both = """windows AS (SELECT * FROM (
+  SELECT c.date AS window_start, CAST(c.date + to_months(m) AS DATE) AS window_end, s.b
+  FROM (SELECT min(date) AS a, max(date) AS b FROM daily) s, (VALUES (12), (6)) v(m), calendar c
+  WHERE c.date BETWEEN s.a AND CAST(s.b - to_months(m) AS DATE)) t WHERE window_end <= b)"""
+    all_days = """calendar AS (SELECT CAST(t.s AS DATE) AS date
+  FROM (SELECT unnest(generate_series(CAST(min(date) AS TIMESTAMP), CAST(max(date) AS TIMESTAMP), INTERVAL 1 DAY)) AS s FROM daily) t)"""
+    q["backtest_window_table"] = statement([all_daily, feat, all_days, both, expanded_cte(), weights_cte(), spd_cte()], SPD_SELECT)
     q["backtest_spd_extended"] = statement(extended_spd_ctes(), SPD_SELECT)
 
     nominal = [all_daily, feat, win]

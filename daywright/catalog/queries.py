@@ -312,6 +312,15 @@ def backtest_spd(spark, d):
     return rounded(_spd(spark, d).select(*SPD_COLUMNS), 4)
 
 
+@query
+def backtest_window_table(spark, d):
+    """Backtest over a table of windows: a year and half a year from every start in the span of the days."""
+    days = S.daily_all(spark, d)
+    span = days.agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    both = W.windows_in_span(span, "first", "last", 12).unionByName(W.windows_in_span(span, "first", "last", 6))
+    return rounded(B.backtest(days, both, S.baseline()).select(*SPD_COLUMNS), 4)
+
+
 @query
 def backtest_spd_extended(spark, d):
     return rounded(_spd_extended(spark, d).select(*SPD_COLUMNS), 4)

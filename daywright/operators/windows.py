@@ -16,13 +16,15 @@ from daywright.settings import (
     WINDOW_BLOCK_DAYS,
     WINDOW_MONTHS,
     expansion_partitions,
-    fits_broadcast,
 )
 
 # Identity of one window of one series after expansion; ``block`` carries the partitioning.
 BLOCK = "block"
 WINDOW_KEYS = (BLOCK, "window_start", "window_end")
 
+# A window as one number: first day times this, plus the days to its end. A power of two.
+WINDOW_SPAN = 1 << 24
+
 
 def _daily_starts(first: Column, last: Column) -> Column:
     """Every day from first to last; nothing when last is before first."""
@@ -140,24 +142,35 @@ def _expand_rolling(days: DataFrame, windows: RollingWindows, block_days: int, p
 
 
 def _expand_table(days: DataFrame, windows: DataFrame, block_days: int, place) -> DataFrame:
-    """Any window table: joined by date to find the blocks, then by block to find the windows.
+    """Any window table: days are joined by date to the blocks that hold them, windows unfold in place.
 
-    The table holds dates only, no series; its size is checked before it is broadcast.
+    A block travels as one array with a number for each of its windows; only those that hold the day
+    stay in it. So nothing is joined by block alone, the plan is the same at every size of the table,
+    and no window row moves.
     """
-    block = F.floor(F.unix_date("window_start") / block_days)
-    lookup = windows.select("window_start", "window_end", block.alias(BLOCK)).distinct()
-    hint = F.broadcast if fits_broadcast(lookup) else (lambda df: df)
-    block_dates = (
-        lookup.groupBy(BLOCK)
-        .agg(F.min("window_start").alias("_a"), F.max("window_end").alias("_b"))
-        .select(BLOCK, F.explode(F.sequence("_a", "_b", F.expr("interval 1 day"))).alias("date"))
+    start = F.unix_date("window_start")
+    number = start.cast("long") * WINDOW_SPAN + F.datediff("window_end", "window_start")
+    blocks = (
+        windows.where(F.col("window_start") <= F.col("window_end"))
+        .groupBy(F.floor(start / block_days).alias(BLOCK))
+        .agg(F.min("window_start").alias("_a"), F.max("window_end").alias("_b"), F.collect_set(number).alias("_windows"))
     )
-    placed = place(days.join(hint(block_dates), "date"))
-    inside = (F.col("w.window_start") <= F.col("d.reach_from")) & (
-        F.col("d.reach_to") <= F.col("w.window_end")
+    block_dates = blocks.select(BLOCK, "_windows", F.explode(F.sequence("_a", "_b", F.expr("interval 1 day"))).alias("date"))
+
+    def first(n: Column) -> Column:
+        return F.shiftright(n, WINDOW_SPAN.bit_length() - 1).cast("int")
+
+    def last(n: Column) -> Column:
+        return first(n) + n.bitwiseAND(F.lit(WINDOW_SPAN - 1)).cast("int")
+
+    holding = F.filter(
+        "_windows", lambda n: (first(n) <= F.unix_date("reach_from")) & (F.unix_date("reach_to") <= last(n))
     )
+    copied = days.join(block_dates, "date").withColumn("_windows", holding).where(F.size("_windows") > 0)
     return (
-        placed.alias("d")
-        .join(hint(lookup).alias("w"), (F.col(f"d.{BLOCK}") == F.col(f"w.{BLOCK}")) & inside)
-        .select("d.*", "w.window_start", "w.window_end")
+        place(copied)
+        .withColumn("_window", F.explode("_windows"))
+        .withColumn("window_start", F.date_from_unix_date(first(F.col("_window"))))
+        .withColumn("window_end", F.date_from_unix_date(last(F.col("_window"))))
+        .drop("_windows", "_window")
     )

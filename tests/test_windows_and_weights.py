@@ -143,6 +143,22 @@ def test_expanded_rows_are_not_shuffled(spark, daily):
     assert plan.count("Exchange hashpartitioning") == 2
 
 
+def test_window_tables_meet_days_by_date_and_unfold_in_place(spark, daily):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        table = explicit_windows(spark, [(date(2020, 6, 1), date(2021, 6, 1)), (date(2020, 6, 1), date(2020, 12, 1))])
+        out = B.backtest(daily, table, baseline_strategy())
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert out.count() == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 1 and "SortMergeJoin [date#" in joins[0] and "block" not in joins[0]
+    # What stands above the unfolding of the windows in the plan has no exchange.
+    assert "Exchange" not in plan[: plan.index("Generate explode(_windows")]
+
+
 @pytest.mark.parametrize("today", ["2022-06-15", "2022-01-01", "2022-12-31", "2021-12-01", "2023-01-15"])
 def test_past_future_split(spark, daily, today):
     features = feat.baseline_features(daily)
