@@ -41,4 +41,13 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM sized GROUP BY conv_id
 """
 
-ORACLE: dict[str, str] = {"op7_line_dedup": _OP7, "op8_chat_format": _OP8}
+_OP12 = r"""
+WITH normal AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER staying AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+       row_number() OVER staying = 1 AS kept, sha256(norm) AS text_sha256
+FROM normal WINDOW staying AS (PARTITION BY norm ORDER BY chars DESC, doc_id NULLS LAST)
+"""
+
+ORACLE: dict[str, str] = {"op7_line_dedup": _OP7, "op8_chat_format": _OP8, "op12_exact_dedup": _OP12}

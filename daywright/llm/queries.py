@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from daywright.llm import (
     chat_format,
     decontaminate,
+    exact_dedup,
     jaccard_join,
     line_dedup,
     lm_scoring,
@@ -79,6 +80,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -92,5 +97,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chat_format,
         op9_resharding,
         op10_jaccard_join,
+        op12_exact_dedup,
     )
 }
