@@ -50,4 +50,25 @@ SELECT doc_id, first_value(doc_id) OVER staying AS keep_id, count(*) OVER (PARTI
 FROM normal WINDOW staying AS (PARTITION BY norm ORDER BY chars DESC, doc_id NULLS LAST)
 """
 
-ORACLE: dict[str, str] = {"op7_line_dedup": _OP7, "op8_chat_format": _OP8, "op12_exact_dedup": _OP12}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_OP13 = f"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS term FROM documents
+), sizes AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM sizes),
+postings AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), whole
+), asked AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_TERM}')) AS term FROM benchmark
+), scores AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * docs) // terms))))::BIGINT AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), whole GROUP BY item_id, doc_id
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 20
+"""
+
+ORACLE: dict[str, str] = {"op7_line_dedup": _OP7, "op8_chat_format": _OP8, "op12_exact_dedup": _OP12, "op13_ranked_search": _OP13}

@@ -19,6 +19,7 @@ from daywright.llm import (
     pii,
     quality_classifier,
     quality_rules,
+    ranked_search,
     resharding,
 )
 from daywright.llm.common import table
@@ -84,6 +85,10 @@ def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -98,5 +103,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_resharding,
         op10_jaccard_join,
         op12_exact_dedup,
+        op13_ranked_search,
     )
 }
