@@ -21,6 +21,7 @@ from daywright.llm import (
     quality_rules,
     ranked_search,
     resharding,
+    spelling,
 )
 from daywright.llm.common import table
 
@@ -81,6 +82,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(table(spark, sf_dir, "documents"))
 
@@ -102,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_chat_format,
         op9_resharding,
         op10_jaccard_join,
+        op11_spelling_variants,
         op12_exact_dedup,
         op13_ranked_search,
     )
