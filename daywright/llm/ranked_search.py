@@ -1,7 +1,7 @@
 """Ranked lexical search over K2-treaps of the term-document grid.
 
 Documents are dealt into blocks as they are read. A block is a square grid of terms (rows, most
-frequent first) and documents (columns, by id), in which a point is a term's impact on a document.
+frequent first) and documents (columns), in which a point is a term's impact on a document.
 The grid is a compressed quadtree: each cell that holds points keeps the greatest impact in it
 together with the place of that point, which is then left out of the cells below; a cell without
 points has no node. So a block has one node a point, stored level by level as four-bit branch masks,
@@ -9,9 +9,9 @@ falls of the maxima from cell to subcell, and places inside the cell.
 
 A search follows, for each term of an item, the path of the term's row, all paths at once, over
 ranges of documents. The maxima of the cells that the paths are in bound the score of every document
-of a range; ranges of the greatest bounds are opened first, a few at a time. A point met on its own
-row names a document, which is then scored in full by one more joint descent. A range is left when
-its bound can't enter the item's best documents, ties included. Nothing is cut off otherwise.
+of a range; ranges of the greatest bounds are opened first, a few at a time, down to single documents, whose bounds
+are their scores. A range is left when its bound can't enter the item's best documents, ties
+included. Nothing is cut off otherwise.
 
 Score, in 64-bit integers: N documents hold a term, L terms in all, n in one document; m is
 75 + (25 n N) div L; a term of weight w adds w * ((10^9 tf) div (1000 tf + 12 m)) for each time it
@@ -34,13 +34,16 @@ from pyspark.sql import functions as F
 from daywright.llm.common import col, stored
 
 #: A block is closed once it has so many points or as many tokens waiting to be counted.
-BLOCK_POINTS = 1_500_000
+BLOCK_POINTS = 600_000
 
 #: Items are searched together until they have so many terms; each such set reads the index once.
 QUERY_TERMS = 200_000
 
+#: Terms lie 2^STRETCH rows apart: a cell over so many documents or fewer is of one term, its maximum not blurred by others.
+STRETCH = 8
+
 #: Ranges of documents opened at a time.
-OPENED = 24
+OPENED = 32
 
 #: Bytes of a text read at a time.
 PIECE = 1 << 20
@@ -140,24 +143,28 @@ class _Points:
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         keys, tf = keys[first], np.add.reduceat(counts, first).astype(np.int64)
         row, column = keys & 0xFFFFFFFF, keys >> 32
+        self.keys, self.counts, keys, counts, order, first = [], [], None, None, None, None
 
         df = np.bincount(row, minlength=len(self.numbers))
         by_df = np.argsort(-df, kind="stable")
         place = np.empty_like(by_df)
         place[by_df] = np.arange(len(by_df))
-        by_id = sorted(range(len(self.ids)), key=lambda d: (self.ids[d] is None, self.ids[d] or 0))
-        rank = np.empty(len(by_id), np.int64)
-        rank[by_id] = np.arange(len(by_id))
+        # documents of one language and length lie together: their most frequent term, then their size
+        frequent = np.maximum.reduceat((tf << 32) | (0xFFFFFFFF - place[row]), np.searchsorted(column, np.arange(len(self.ids))))
+        main = 0xFFFFFFFF - (frequent & 0xFFFFFFFF)
+        alike = np.lexsort((np.array(self.sizes), main))
+        rank = np.empty(len(alike), np.int64)
+        rank[alike] = np.arange(len(alike))
 
         m = np.array([75 + 25 * n * docs // terms for n in self.sizes], np.int64)
         impact = 1_000_000_000 * tf // (1000 * tf + 12 * m[column])
-        levels, branches, falls, rows, columns = _treap(place[row], rank[column], impact, len(df), len(self.ids))
+        levels, branches, falls, rows, columns = _treap(place[row] << STRETCH, rank[column], impact, len(df), len(self.ids))
         names = list(self.numbers)
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([[names[i] for i in by_df]], pa.list_(pa.binary())),
                 pa.array([df[by_df].astype("<u4").tobytes()], pa.binary()),
-                pa.array([[self.ids[d] for d in by_id]], pa.list_(pa.int64())),
+                pa.array([[self.ids[d] for d in alike]], pa.list_(pa.int64())),
                 pa.array([levels], pa.list_(pa.int64())),
                 *[pa.array([x.tobytes()], pa.binary()) for x in (branches, falls, rows, columns)],
             ],
@@ -176,7 +183,7 @@ def _spread(x):
 
 
 def _height(n_rows: int, n_columns: int) -> int:
-    return max(n_rows - 1, n_columns - 1, 1).bit_length()
+    return max((n_rows << STRETCH) - 1, n_columns - 1, 1).bit_length()
 
 
 def _treap(row, column, value, n_rows: int, n_columns: int):
@@ -219,7 +226,7 @@ def _treap(row, column, value, n_rows: int, n_columns: int):
 
 
 class _Treap:
-    """A block as read back: per node its maximum, the row and column of that point, its branches and first subcell."""
+    """A block as read back. Per node: its maximum, `spot` (row and column of that point) and `link` (first subcell and branches)."""
 
     _ONES = bytes(bin(b).count("1") for b in range(16))
 
@@ -230,64 +237,58 @@ class _Treap:
             return np.frombuffer(batch.column(name)[i].as_buffer(), kind)
 
         ids = batch.column("ids")[i].values
-        self.ids = [*ids.to_pylist()]
+        self.ids = ids.to_pylist()
+        self.null = np.array([d is None for d in self.ids])
         self.order = np.array([(1 << 63) - 1 if d is None else d for d in self.ids], np.int64)
         self.terms = batch.column("terms")[i].values
         self.height = _height(len(self.terms), len(self.ids))
+        least = [self.order]  # the least id of each range of 1, 2, 4, ... documents
+        while len(least[-1]) > 1:
+            last = least[-1] if len(least[-1]) % 2 == 0 else np.append(least[-1], least[-1][-1])
+            least.append(np.minimum(last[::2], last[1::2]))
+        self.least, self.least_at = np.concatenate(least), np.cumsum([0, *map(len, least[:-1])])
         self.ones = np.frombuffer(self._ONES, np.uint8)
-        self.branches = of("branches", np.uint8)
-        n_below = self.ones[self.branches]
-        self.first = 1 + np.cumsum(n_below, dtype=np.int64) - n_below
-        self.value, self.row, self.column = (of(c, "<u4").astype(np.int64) for c in ("falls", "rows", "columns"))
+        branches = of("branches", np.uint8)
+        n_below = self.ones[branches]
+        self.link = (1 + np.cumsum(n_below, dtype=np.int64) - n_below) << 4 | branches
+        self.value, row, column = (of(c, "<u4").astype(np.int64) for c in ("falls", "rows", "columns"))
         counts, at = batch.column("levels")[i].values.to_pylist(), 0
         cell_row = cell_column = np.zeros(1, np.int64)
         for level, (count, below) in enumerate(zip(counts, counts[1:])):
             size = self.height - level - 1
-            mask = self.branches[at : at + count]
+            mask = branches[at : at + count]
             child = np.flatnonzero(np.unpackbits(mask[:, None], axis=1, count=4, bitorder="little").ravel())
             up, which = child >> 2, child & 3
             below_at = slice(at + count, at + count + below)
             self.value[below_at] = self.value[at : at + count][up] - self.value[below_at]
             cell_row, cell_column = 2 * cell_row[up] + (which >> 1), 2 * cell_column[up] + (which & 1)
-            self.row[below_at] += cell_row << size
-            self.column[below_at] += cell_column << size
+            row[below_at] += cell_row << size
+            column[below_at] += cell_column << size
             at += count
+        self.spot = row << 32 | column
 
-    def below(self, node, have, which):
-        """Nodes of the subcells `which` of `node`, and which of them there are."""
-        import numpy as np
-
-        mask = self.branches[node]
-        there = have & ((mask >> which.astype(np.uint8)) & 1).astype(bool)
-        before = self.ones[mask & ((1 << which) - 1).astype(np.uint8)]
-        return self.first[node] + before, there
+    def first_ids(self, low, level):
+        """The least id in each range of documents."""
+        return self.least[self.range_number(low, self.height - level)]
 
-    def scores(self, docs, rows, weights):
-        """Whole scores of documents: the paths of all rows to each document's column."""
+    def range_number(self, low, size):
+        """Numbers of the ranges of 2^size documents from `low` on, over all sizes; all that hold every document are one."""
         import numpy as np
 
-        node = np.zeros((len(docs), len(rows)), np.int64)
-        have, total = np.ones(node.shape, bool), np.zeros(len(docs), np.int64)
-        for level in range(self.height + 1):
-            found = have & (self.row[node] == rows) & (self.column[node] == docs[:, None])
-            total += (np.where(found, self.value[node], 0) * weights).sum(axis=1)
-            have &= ~found
-            size = self.height - level - 1
-            if size < 0 or not have.any():
-                break
-            which = 2 * ((rows >> size) & 1) + ((docs[:, None] >> size) & 1)
-            node, have = self.below(node, have, which)
-            node = np.where(have, node, 0)
-        return total
+        size = np.minimum(size, len(self.least_at) - 1)
+        return self.least_at[size] + (low >> size)
 
 
 class _Best:
-    """The best documents of an item so far: scores falling, then ids rising (a null id is last)."""
+    """The best documents of an item so far: scores falling, then ids rising (a null id is last).
 
-    def __init__(self, k: int):
+    `floor` is the score and id of a document that `k` known ones are not worse than.
+    """
+
+    def __init__(self, k: int, floor: tuple[int, int] = (1, (1 << 63) - 1)):
         import numpy as np
 
-        self.k = k
+        self.k, self.floor = k, floor
         self.scores, self.order, self.null = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
 
     def add(self, scores, order, null) -> None:
@@ -297,47 +298,61 @@ class _Best:
         at = np.lexsort((null, order, -scores))
         at = at[scores[at] > 0][: self.k]
         self.scores, self.order, self.null = scores[at], order[at], null[at]
+        if len(at) == self.k:
+            last = int(self.scores[-1]), int(self.order[-1])
+            self.floor = max(self.floor, last, key=lambda f: (f[0], -f[1]))
 
     def may_enter(self, bounds, order):
-        if len(self.scores) < self.k:
-            return bounds > 0
-        return (bounds > self.scores[-1]) | ((bounds == self.scores[-1]) & (order < self.order[-1]))
+        score, last = self.floor
+        return (bounds > score) | ((bounds == score) & (order <= last))
+
 
+def _descend(treap: _Treap, rows, weights, best: _Best) -> None:
+    """Puts the best documents of a block into `best`, opening ranges of documents by their bounds.
 
-def _descend(treap: _Treap, rows, weights, best: _Best, null) -> None:
-    """Puts the best documents of a block into `best`, opening ranges of documents by their bounds."""
+    A point that was met on its own row is no longer in the cells below; `met` keeps, for each range of
+    documents and term, the greatest of these. So a range's bound is the weighted sum, over the terms,
+    of the greater of its cell's maximum and the met one; that of a single document is its score.
+    """
     import numpy as np
 
-    n_docs = len(treap.ids)
-    scored = np.zeros(n_docs, bool)
+    met = np.zeros((len(treap.least), len(rows)), np.int32)
+    sizes = np.arange(len(treap.least_at))
     low, level = np.zeros(1, np.int64), np.zeros(1, np.int64)
     nodes = np.zeros((1, len(rows)), np.int64)  # -1: the path has ended
-    bounds = (treap.value[nodes] * weights).sum(axis=1)
+    bounds = np.array([treap.value[0] * weights.sum()])
     while True:
-        live = best.may_enter(bounds, treap.order[low])
+        live = best.may_enter(bounds, treap.first_ids(low, level))
         low, level, nodes, bounds = low[live], level[live], nodes[live], bounds[live]
         if not len(low):
             return
         order = np.lexsort((low, -bounds))
         now, later = order[:OPENED], order[OPENED:]
+        single = now[level[now] == treap.height]
+        if len(single):
+            best.add(bounds[single], treap.order[low[single]], treap.null[low[single]])
+        now = now[level[now] < treap.height]
         have = nodes[now] >= 0
         node = np.where(have, nodes[now], 0)
-        docs = np.unique(treap.column[node][have & (treap.row[node] == rows)])
-        docs = docs[~scored[docs]]
-        if len(docs):
-            scored[docs] = True
-            best.add(treap.scores(docs, rows, weights), treap.order[docs], null[docs])
+        link, spot = treap.link[node], treap.spot[node]
+        which, term = np.nonzero(have & (spot >> 32 == rows))
+        doc = spot[which, term] & 0xFFFFFFFF
+        held = treap.least_at[:, None] + (doc >> sizes[:, None])
+        np.maximum.at(met, (held, term), treap.value[node[which, term]].astype(np.int32))
+
         size = treap.height - level[now] - 1
-        inner = size >= 0
-        size, node, have = size[inner], node[inner], have[inner]
+        mask, side = link & 15, 2 * (rows >> size[:, None] & 1)
         halves = []
         for half in (0, 1):
-            which = 2 * ((rows >> size[:, None]) & 1) + half
-            below, there = treap.below(node, have, which)
-            below = np.where(there, below, -1)
-            top = (np.where(there, treap.value[np.where(there, below, 0)], 0) * weights).sum(axis=1)
-            some = top > 0
-            halves.append(((low[now][inner] + (half << size))[some], level[now][inner][some] + 1, below[some], top[some]))
+            child = side + half
+            there = have & (mask >> child & 1 > 0)
+            below = np.where(there, (link >> 4) + treap.ones[mask & (1 << child) - 1], 0)
+            start = low[now] + (half << size)
+            some = start < len(treap.ids)
+            at = treap.range_number(np.where(some, start, 0), size)
+            top = (np.maximum(np.where(there, treap.value[below], 0), met[at]) * weights).sum(axis=1)
+            some &= top > 0
+            halves.append((start[some], level[now][some] + 1, np.where(there, below, -1)[some], top[some]))
         low, level, nodes, bounds = (
             np.concatenate([kept[later], *new]) for kept, new in zip((low, level, nodes, bounds), zip(*halves))
         )
@@ -355,16 +370,15 @@ def _searched(items: list, terms: list[bytes], weights: list[int], k: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 treap = _Treap(batch, i)
-                null = np.array([d is None for d in treap.ids])
                 number = pc.index_in(treap.terms, value_set=wanted)
                 row_of = np.full(len(terms), -1, np.int64)
-                rows = np.flatnonzero(number.is_valid().to_numpy(zero_copy_only=False))
+                rows = np.flatnonzero(number.is_valid().to_numpy(zero_copy_only=False)) << STRETCH
                 row_of[number.drop_null().to_numpy()] = rows
                 for n, (numbers, times) in enumerate(items):
                     factor = weight[numbers] * times
                     use = (row_of[numbers] >= 0) & (factor > 0)
                     if use.any():
-                        _descend(treap, row_of[numbers][use], factor[use], best[n], null)
+                        _descend(treap, row_of[numbers][use], factor[use], best[n])
         out = [(n, None if null else int(doc), int(score)) for n, b in enumerate(best) for doc, score, null in zip(b.order, b.scores, b.null)]
         cols = list(zip(*out)) or [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["item", "doc", "score"])
