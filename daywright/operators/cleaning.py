@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from daywright.functions.numeric import null_if_nan
+from daywright.operators.ingest import read_text
 from daywright.operators.rolling import DEFAULT_KEYS, Keys, by_date
 from daywright.settings import BACKTEST_START, TIMESTAMP_NAME_TOKENS, VALID_TIMESTAMP_FROM
 
@@ -20,8 +21,8 @@ def require_columns(df: DataFrame, columns: Sequence[str], error: type[Exception
 
 
 def to_day(c: Column) -> Column:
-    """Calendar date of an ISO text, date or timestamp value."""
-    return F.to_date(c.cast("timestamp_ntz"))
+    """Calendar date of an ISO text, date or timestamp value; missing if the text is no time."""
+    return F.to_date(c.try_cast("timestamp_ntz"))
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -56,14 +57,16 @@ def clean_daily(
 ) -> DataFrame:
     """Day-normalized, de-duplicated daily table with a ``price`` column.
 
-    ``order`` is the row's position in the source; the last row of a day wins.
+    ``order`` is the row's position in the source; the last row of a day wins. Rows without a
+    readable time are left out.
     """
     require_columns(raw, [price], ValueError)
     require_columns(raw, [time, order, *keys])
     days = raw.withColumn("date", to_day(F.col(time)))
     if time != "date":
         days = days.drop(time)
-    return keep_last(nan_to_null(days), order, (*keys, "date")).withColumnRenamed(price, "price")
+    dated = nan_to_null(days.where(F.col("date").isNotNull()))
+    return keep_last(dated, order, (*keys, "date")).withColumnRenamed(price, "price")
 
 
 def missing_prices(
@@ -147,9 +150,9 @@ def repair_timestamps(
 
 
 def parse_text_timestamps(df: DataFrame, columns: Sequence[str] = ("created_at", "end_date")) -> DataFrame:
-    """Parse the named columns to timestamps where they are still text."""
+    """Parse the named columns to timestamps where they are still text; what can't be read is missing."""
     text = {
-        c: F.col(c).cast("timestamp_ntz")
+        c: read_text(F.col(c), "time")
         for c in columns
         if c in df.columns and isinstance(df.schema[c].dataType, T.StringType)
     }
