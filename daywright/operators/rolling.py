@@ -19,8 +19,8 @@ from daywright.settings import SERIES
 Keys = Sequence[str]
 DEFAULT_KEYS: Keys = (SERIES,)
 
-# An older term lighter than this changes no bit of a double.
-NEGLIGIBLE = 1e-18
+# Products of steps in a block of an exponential mean stay above exp of minus this.
+BLOCK_DECAY = 200.0
 
 
 def by_date(keys: Keys, order: str = "date") -> WindowSpec:
@@ -94,71 +94,110 @@ def with_percent_rank(
 
     Missing earlier rows count in the denominator; a missing current value ranks 0. The row
     threshold comes first; a one-row frame ranks 0.5.
+
+    An order statistic by bit counts. Segments of ``2 * rows`` rows overlap by half, so that the second
+    half of one holds whole frames. The values of a segment are numbered by size, and a row's value is
+    the bit of its number. The bits of the rows so far are a running XOR; two such sets, a frame
+    apart, give the set of the frame, and the values below the current one are its bits below the
+    row's number. So a row costs a few words of 64 bits instead of a pass over its frame.
     """
     spec = by_date(keys)
-    frame = trailing(spec, rows)
     x = F.col(column)
-    framed = df.withColumns(
-        {
-            "_earlier": F.collect_list(x).over(spec.rowsBetween(-(rows - 1), -1)),
-            "_rows": F.count(F.lit(1)).over(frame),
-            "_valid": F.count(x).over(frame),
-        }
-    )
-    below = F.size(F.filter("_earlier", lambda v: v < x))
-    rank = F.when(F.col("_rows") == 1, 0.5).otherwise(
-        below / F.greatest(F.col("_rows") - 1, F.lit(1))
-    )
-    return framed.withColumn(out, F.when(F.col("_valid") >= min_rows, rank)).drop(
-        "_earlier", "_rows", "_valid"
+    seen = df.withColumns({"_nth": F.row_number().over(spec) - 1, "_seen": F.count(x).over(running(spec))})
+    valid = F.col("_seen") - F.coalesce(F.lag("_seen", rows).over(spec), F.lit(0))
+    segment = F.floor(F.col("_nth") / rows)
+    # Each row is asked about in the segment it ends and is only context in the next one.
+    placed = seen.withColumn("_valid", valid).withColumn("_segment", F.explode(F.array(segment, segment + 1)))
+    in_segment = Window.partitionBy(*keys, "_segment")
+    by_size = in_segment.orderBy(x.asc_nulls_last())
+    bit = F.row_number().over(by_size) - 1
+    numbered = placed.withColumns({"_bit": F.when(x.isNotNull(), bit), "_below": F.rank().over(by_size) - 1})
+    in_order = in_segment.orderBy("_nth")
+    words = range((2 * rows + 63) // 64)
+
+    def own(w: int) -> Column:
+        place = (F.col("_bit") - 64 * w).cast("int")
+        return F.when(place.between(0, 63), F.call_function("shiftleft", F.lit(1).cast("long"), place))
+
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    summed = numbered.withColumns({f"_set{w}": F.coalesce(F.bit_xor(own(w)).over(before), F.lit(0).cast("long")) for w in words})
+    earlier = summed.withColumns({f"_past{w}": F.coalesce(F.lag(f"_set{w}", rows - 1).over(in_order), F.lit(0).cast("long")) for w in words})
+
+    def count(w: int) -> Column:
+        reach = (F.col("_below") - 64 * w).cast("int")
+        ones = F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), 64 - F.greatest(F.least(reach, F.lit(64)), F.lit(1)))
+        mask = F.when(reach > 0, ones).otherwise(F.lit(0).cast("long"))
+        return F.bit_count(F.col(f"_set{w}").bitwiseXOR(F.col(f"_past{w}")).bitwiseAND(mask))
+
+    below = count(0)
+    for w in words[1:]:
+        below = below + count(w)
+    held = F.least(F.col("_nth") + 1, F.lit(rows))
+    share = F.when(x.isNotNull(), below).otherwise(0) / F.greatest(held - 1, F.lit(1))
+    rank = F.when(F.col("_nth") == 0, 0.5).otherwise(share) if rows > 1 else F.lit(0.5)
+    return (
+        earlier.where(F.col("_segment") == F.floor(F.col("_nth") / rows))
+        .withColumn(out, F.when(F.col("_valid") >= min_rows, rank))
+        .select(*df.columns, out)
     )
 
 
 def with_ema(
     df: DataFrame, column: str, out: str, span: int, keys: Keys = DEFAULT_KEYS, order: str = "date"
 ) -> DataFrame:
-    """Recursive exponential mean ``y = (1-a) y + a x``, started at the first value.
-
-    With r = 1 - a, y_t = r^t * sum(a x_j r^-j): a running sum. r^-j would overflow on a long
-    series, so rows are numbered inside blocks of ``k`` values and each block adds the decayed
-    end of the block before it. ``k`` is chosen so that anything older weighs less than 1e-18.
-    A missing value repeats the last mean and takes no step.
+    """Recursive exponential mean, started at the first value.
+
+    A value x that comes d rows after the last one takes the step y -> a y + b with
+    w = (1 - alpha)^d, a = w / (w + alpha) and b = alpha x / (w + alpha): without a gap that is
+    y -> (1 - alpha) y + alpha x, after missing values the old mean weighs less. A missing
+    value takes no step and repeats the last mean.
+
+    Such steps can be joined, so the rows are scanned in blocks: in a block each mean is a running
+    sum of b over the product of the a that follow, and the end of a block is again one step. Blocks
+    end where that product falls below exp(-BLOCK_DECAY), which keeps it far from the limits of a
+    double; the steps of all blocks before are then folded in order, none left out. There is a block
+    for every BLOCK_DECAY / -ln(1 - alpha) rows, so few of them are in the fold.
     """
     alpha = 2.0 / (span + 1.0)
-    keep = 1.0 - alpha
-    k = math.ceil(math.log(NEGLIGIBLE) / math.log(keep))
+    decay = math.log1p(-alpha) if alpha < 1 else -math.inf
+    if not math.isfinite(decay):  # span 1: the mean is the value itself
+        return df.withColumn(out, F.last(column, ignorenulls=True).over(running(by_date(keys, order))))
     spec = by_date(keys, order)
+    before = spec.rowsBetween(Window.unboundedPreceding, -1)
     x = F.col(column)
-    numbered = df.withColumn("_nth", F.count(x).over(running(spec)))
-    slot = (F.col("_nth") - 1) % k
-    placed = numbered.withColumn("_slot", slot).withColumn(
-        "_block", F.floor((F.col("_nth") - 1) / k)
-    )
-    term = (
-        x
-        * F.when(F.col("_nth") == 1, 1.0).otherwise(alpha)
-        * F.pow(F.lit(keep), -F.col("_slot").cast("double"))
-    )
-    in_block = running(Window.partitionBy(*keys, "_block").orderBy(order))
-    local = placed.withColumn(
-        "_local",
-        F.when(
-            x.isNotNull(),
-            F.sum(term).over(in_block) * F.pow(F.lit(keep), F.col("_slot").cast("double")),
-        ),
+    placed = df.withColumn("_row", F.row_number().over(spec))
+    placed = placed.withColumn("_since", F.col("_row") - F.last(F.when(x.isNotNull(), F.col("_row")), True).over(before))
+    weight = F.exp(F.col("_since") * decay) + alpha
+    steps = placed.withColumns(
+        {
+            # The first value replaces whatever was there.
+            "_b": F.when(F.col("_since").isNull(), x).otherwise(x * alpha / weight),
+            "_log_a": F.when(x.isNotNull(), F.coalesce(F.col("_since") * decay - F.log(weight), F.lit(0.0))),
+        }
     )
-    block_end = F.when(F.col("_slot") == k - 1, F.col("_local"))
-    carry = F.last(block_end, ignorenulls=True).over(
-        spec.rowsBetween(Window.unboundedPreceding, -1)
+    steps = steps.withColumn("_block", F.floor(-F.sum("_log_a").over(running(spec)) / BLOCK_DECAY))
+    in_block = Window.partitionBy(*keys, "_block").orderBy(order)
+    # Products count from the first value of the block: its own step, however small, is kept apart.
+    logs = steps.withColumns(
+        {
+            "_open": F.first("_log_a", True).over(running(in_block)),
+            "_sum": F.sum("_log_a").over(running(in_block)),
+            "_end": F.max(F.when(x.isNotNull(), F.col("_row"))).over(Window.partitionBy(*keys, "_block")),
+        }
     )
-    mean = local.withColumn(
-        "_mean",
-        F.col("_local")
-        + F.coalesce(carry, F.lit(0.0)) * F.pow(F.lit(keep), F.col("_slot").cast("double") + 1),
+    product = F.exp(F.col("_sum") - F.col("_open"))
+    summed = logs.withColumn("_product", product)
+    summed = summed.withColumn("_local", F.col("_product") * F.sum(F.col("_b") / F.col("_product")).over(running(in_block)))
+    step = F.struct((F.exp("_open") * F.col("_product")).alias("a"), F.col("_local").alias("b"))
+    ended = F.collect_list(F.when(F.col("_row") == F.col("_end"), step)).over(before)
+    carry = F.aggregate("_ended", F.lit(0.0), lambda y, s: s["a"] * y + s["b"])
+    carried = summed.withColumn("_ended", ended).withColumn("_carry", F.when(x.isNotNull(), carry))
+    mean = F.col("_local") + F.exp("_open") * F.col("_product") * F.col("_carry")
+    return (
+        carried.withColumn("_mean", F.when(x.isNotNull(), mean))
+        .withColumn(out, F.last("_mean", ignorenulls=True).over(running(spec)))
+        .drop("_row", "_since", "_b", "_log_a", "_block", "_open", "_sum", "_end", "_product", "_local", "_ended", "_carry", "_mean")
     )
-    return mean.withColumn(
-        out, F.last("_mean", ignorenulls=True).over(running(spec))
-    ).drop("_nth", "_slot", "_block", "_local", "_mean")
 
 
 def with_softmax(df: DataFrame, column: str, out: str, keys: Keys = DEFAULT_KEYS) -> DataFrame:

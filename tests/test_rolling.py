@@ -112,8 +112,34 @@ def test_extended_multiplier_neutral_and_limits(spark):
     assert high == pytest.approx(np.exp(5 * 4.3 * 0.64 * 1.15))
 
 
-def test_last_value_fill_for_pandas_nan(spark):
+def test_a_missing_value_lowers_the_weight_of_the_old_mean(spark):
     pdf = pd.DataFrame({"series_id": ["a"] * 3, "date": pd.date_range("2020-01-01", periods=3).date,
                         "price": [1.0, np.nan, 3.0], "mvrv": 1.0})
     got = collected(R.with_ema(as_daily(spark, pdf), "price", "y", 3), "y")
-    np.testing.assert_allclose(got, [1.0, 1.0, 2.0])
+    np.testing.assert_allclose(got, [1.0, 1.0, (0.25 * 1 + 0.5 * 3) / 0.75])
+
+
+@pytest.mark.parametrize("span", [1, 2, 3, 30, 400])
+def test_ema_with_gaps_matches_pandas(spark, span):
+    rng = np.random.default_rng(11)
+    pdf = price_walk("2000-01-01", "2007-12-31")
+    x = pdf.price.to_numpy().copy()
+    x[rng.random(len(x)) < 0.4] = np.nan
+    x[:3], x[700:1600] = np.nan, np.nan  # the last step back weighs less than any double can say
+    pdf["price"] = x
+    got = R.with_ema(as_daily(spark, pdf), "price", "m", span).orderBy("date").toPandas().m.to_numpy(float)
+    np.testing.assert_allclose(got, pd.Series(x).ewm(span=span, adjust=False).mean(), rtol=1e-11)
+
+
+def test_an_outlier_long_ago_is_not_cut_off(spark):
+    """A first value so great that it is still seen after its weight has fallen below 1e-18."""
+    x = np.full(900, 1.0)
+    x[0] = 1e30
+    pdf = price_walk("2000-01-01", "2002-06-18").assign(price=x)
+    got = R.with_ema(as_daily(spark, pdf), "price", "m", 20).orderBy("date").toPandas().m.to_numpy(float)
+    np.testing.assert_allclose(got, pd.Series(x).ewm(span=20, adjust=False).mean(), rtol=1e-10)
+
+
+def test_percent_rank_keeps_no_lists(spark, daily):
+    plan = R.with_percent_rank(daily, "price", "r", 360, 90)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Exchange") == 1
