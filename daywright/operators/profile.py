@@ -12,8 +12,9 @@ from pyspark.sql import types as T
 DESCRIBE_COLUMNS = ("PriceUSD", "CapMrktCurUSD", "HashRate")
 CORRELATION_COLUMNS = ("PriceUSD", "CapMrktCurUSD", "HashRate", "TxCnt")
 QUARTILES = (0.25, 0.5, 0.75)
-ZOOM_BINS = 4096
-ZOOM_ROUNDS = 2
+
+# A double has 64 bits, read 16 at a time.
+RADIX_BITS, RADIX_ROUNDS = 16, 4
 
 
 def _present(df: DataFrame, columns: Sequence[str]) -> list[str]:
@@ -47,63 +48,83 @@ def _aggregates(df: DataFrame, columns: Sequence[str], fns: dict[str, Callable[[
     return row.select(_each(columns, lambda c: {name: F.col(f"`{c}|{name}`") for name in fns}))
 
 
+def with_ordered_bits(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Add a LONG in the order of the doubles, one for one (both zeros are one value; NaN comes last).
+
+    For x > 0 it is the IEEE pattern. The exponent comes from a logarithm, set right by comparison with
+    its power of two; dividing by that power leaves the mantissa without rounding. Each step is a
+    projection of its own, so that nothing is computed twice.
+    """
+    lowest, step = -1022, 1 << 52
+    x, a, guess, power = (F.col(c) for c in (column, "_a", "_guess", "_power"))
+    high = (power > a) & (guess > lowest)
+    low = power * 2 <= a
+    sized = (
+        df.withColumn("_a", F.abs(x))
+        .withColumn("_guess", F.greatest(F.floor(F.log2("_a")), F.lit(lowest)))
+        .withColumn("_power", F.pow(F.lit(2.0), F.col("_guess")))
+        .withColumns(
+            {
+                "_exponent": guess + F.when(high, -1).when(low, 1).otherwise(0),
+                "_unit": power * F.when(high, 0.5).when(low, 2.0).otherwise(1.0),
+            }
+        )
+    )
+    # The bias is 1023, but the mantissa's leading one counts as a step too; subnormals have none.
+    bits = (F.col("_exponent") - lowest) * F.lit(step) + (a / F.col("_unit") * F.lit(float(step))).cast("long")
+    infinite = F.lit(2047 * step)
+    size = F.when(a == 0, F.lit(0).cast("long")).when(a == F.lit(float("inf")), infinite).otherwise(bits)
+    with_size = sized.withColumn("_size", F.when(F.isnan(x), infinite + 1).otherwise(size))
+    return with_size.withColumn(out, F.when(x < 0, -F.col("_size")).otherwise(F.col("_size"))).drop(
+        "_a", "_guess", "_power", "_exponent", "_unit", "_size"
+    )
+
+
 def exact_quantiles(
     df: DataFrame, columns: Sequence[str], probabilities: Sequence[float] = QUARTILES
 ) -> DataFrame:
     """(metric, p, value): the exact value nearest to position p * (n - 1), counting from 0.
 
-    ``percentile`` would gather all distinct values of a column in one task. Here each round
-    counts the rows in 4096 equal bins between the current bounds (combined before the
-    shuffle), keeps the one bin that holds the wanted rank and narrows the bounds to its
-    smallest and largest value. After two rounds the bounds hold about n / 16 million of evenly
-    spread values; these few are counted by value to finish. Nothing but bin counts is ordered.
+    A radix selection. ``percentile`` would gather all distinct values of a column in one task. Here
+    each of four rounds counts 16 bits of the order-preserving image of the values (combined before
+    the shuffle), keeps the digit that holds the wanted rank, and narrows to the values with that
+    digit. After 64 bits one value is left, however the values are spread. No values are ordered,
+    only at most 65,536 counts a metric and rank; later rounds read what is between two values.
     """
     values = _values(df, columns)
-    limits = _aggregates(df, columns, {"n": F.count, "lo": F.min, "hi": F.max})
-    ranks = limits.where(F.col("n") > 0).select(
-        "metric", "n", F.explode(F.array(*[F.lit(float(p)) for p in probabilities])).alias("p")
-    ).select("metric", "p", (F.floor(F.col("p") * (F.col("n") - 1) + 0.5) + 1).alias("rank"))
-    # All ranks of a metric share the first bins; later each has bounds of its own.
-    first = _bins(_inside(values, limits.select("metric", "lo", "hi")), ["metric"])
-    bounds = _holding(first.join(F.broadcast(ranks), "metric"))
-    for _ in range(ZOOM_ROUNDS - 1):
-        bounds = _holding(_bins(_inside(values, bounds), ["metric", "p", "rank"]))
-    candidates = _inside(values, bounds).groupBy("metric", "p", "rank", "x").agg(
-        F.count(F.lit(1)).alias("c")
-    )
-    upto = F.sum("c").over(
-        Window.partitionBy("metric", "p").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return (
-        candidates.withColumn("_upto", upto)
-        .where(F.col("_upto") >= F.col("rank"))
-        .groupBy("metric", "p")
-        .agg(F.min("x").alias("value"))
+    counted = _running(_digits(values, ["metric"], 0), ["metric"])
+    total = Window.partitionBy("metric")
+    wanted = F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
+    ranked = counted.withColumn("_n", F.max("_upto").over(total)).withColumn("p", wanted)
+    bounds = _holding(ranked.withColumn("rank", F.floor(F.col("p") * (F.col("_n") - 1) + 0.5) + 1))
+    for done in range(1, RADIX_ROUNDS):
+        # One row a metric and rank: as few as the arguments name.
+        inside = values.join(F.broadcast(bounds), "metric").where(F.col("x").between(F.col("lo"), F.col("hi")))
+        bounds = _holding(_running(_digits(inside, ["metric", "p", "rank"], done), ["metric", "p"]))
+    return bounds.select("metric", "p", F.col("lo").alias("value"))
+
+
+def _digits(rows: DataFrame, by: list[str], done: int) -> DataFrame:
+    """Rows, least and greatest value of each digit after ``done`` digits."""
+    shift = 64 - RADIX_BITS * (done + 1)
+    digit = F.shiftright("_bits", shift)
+    if done:  # the first digit keeps the sign
+        digit = digit.bitwiseAND(F.lit((1 << RADIX_BITS) - 1))
+    return with_ordered_bits(rows, "x", "_bits").groupBy(*by, digit.alias("digit")).agg(
+        F.count(F.lit(1)).alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi")
     )
 
 
-def _inside(values: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Rows within given bounds; there is one bound per column and wanted rank."""
-    return values.join(F.broadcast(bounds), "metric").where(F.col("x").between(F.col("lo"), F.col("hi")))
+def _running(digits: DataFrame, by: list[str]) -> DataFrame:
+    order = Window.partitionBy(*by).orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
+    return digits.withColumn("_upto", F.sum("c").over(order))
 
 
-def _bins(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Counts of equal bins with the running count before and up to each bin."""
-    share = F.try_divide(F.col("x") - F.col("lo"), F.col("hi") - F.col("lo"))
-    bin_no = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * ZOOM_BINS), F.lit(ZOOM_BINS - 1))
-    counts = rows.groupBy(*by, bin_no.alias("bin")).agg(
-        F.count(F.lit(1)).alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi")
-    )
-    order = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    upto = counts.withColumn("_upto", F.sum("c").over(order))
-    return upto.withColumn("_before", F.col("_upto") - F.col("c"))
-
-
-def _holding(bins: DataFrame) -> DataFrame:
-    """The bin that holds each wanted rank, with the rank counted inside it."""
-    held = (F.col("_before") < F.col("rank")) & (F.col("rank") <= F.col("_upto"))
-    return bins.where(held).select(
-        "metric", "p", "lo", "hi", (F.col("rank") - F.col("_before")).alias("rank")
+def _holding(digits: DataFrame) -> DataFrame:
+    """The digit that holds each wanted rank, with the rank counted inside it."""
+    before = F.col("_upto") - F.col("c")
+    return digits.where((before < F.col("rank")) & (F.col("rank") <= F.col("_upto"))).select(
+        "metric", "p", "lo", "hi", (F.col("rank") - before).alias("rank")
     )
 
 
@@ -207,21 +228,42 @@ def last_price(daily: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataFr
     )
 
 
+def _nested(field: T.StructField) -> bool:
+    """Columns whose values have no order or no text of their own."""
+    return isinstance(field.dataType, (T.MapType, T.ArrayType, T.StructType, T.VariantType, T.BinaryType))
+
+
 def distinct_counts(df: DataFrame) -> DataFrame:
-    """(column_name, distinct_count) of the plain columns: values are made distinct before they are counted."""
-    plain = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType, T.BinaryType))]
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in plain])
+    """(column_name, distinct_count) of the plain columns: values are made distinct before they are counted.
+
+    A column without values counts 0.
+    """
+    plain = [f.name for f in df.schema.fields if not _nested(f)]
+    spark = df.sparkSession
+    names = spark.createDataFrame([(c,) for c in plain], "column_name string")
+    if not plain:
+        return names.withColumn("distinct_count", F.lit(0).cast("long"))
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(_quoted(c)).cast("string").alias("value")) for c in plain])
     values = df.select(F.inline(cells)).where("value is not null").distinct()
-    return values.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
+    counts = values.groupBy("column_name").agg(F.count(F.lit(1)).alias("distinct_count"))
+    return names.join(counts, "column_name", "left").fillna(0, ["distinct_count"])
+
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
-def column_profile(df: DataFrame) -> DataFrame:
-    """Per column: type, rows, nulls, null share, min, max, about how many distinct values."""
+
+def column_profile(df: DataFrame, exact: bool = False) -> DataFrame:
+    """Per column: type, rows, nulls, null share, min, max and the number of distinct values.
+
+    That number is an estimate (``distinct_estimate``), or with ``exact`` counted in one more pass
+    (``distinct_count``: 0 for a column without values, null for a nested one).
+    """
     stats = []
     for field in df.schema.fields:
-        c = F.col(f"`{field.name}`")
-        nested = isinstance(field.dataType, (T.MapType, T.ArrayType, T.StructType, T.BinaryType))
-        low, high = (F.lit(None), F.lit(None)) if nested else (F.min(c), F.max(c))
+        c = F.col(_quoted(field.name))
+        low, high = (F.lit(None), F.lit(None)) if _nested(field) else (F.min(c), F.max(c))
+        about = F.lit(None).cast("long") if exact or _nested(field) else F.approx_count_distinct(c)
         stats.append(
             F.struct(
                 F.lit(field.name).alias("column_name"),
@@ -230,13 +272,14 @@ def column_profile(df: DataFrame) -> DataFrame:
                 F.count_if(c.isNull()).alias("null_count"),
                 low.cast("string").alias("min_value"),
                 high.cast("string").alias("max_value"),
-                F.approx_count_distinct(c).alias("distinct_estimate"),
+                about.alias("distinct_estimate"),
             )
         )
     row = df.agg(F.array(*stats).alias("_stats"))
-    return row.select(F.inline("_stats")).withColumn(
+    out = row.select(F.inline("_stats")).withColumn(
         "null_share", F.try_divide(F.col("null_count"), F.col("row_count"))
     )
+    return out.drop("distinct_estimate").join(distinct_counts(df), "column_name", "left") if exact else out
 
 
 # --- roll-ups of the market tables -------------------------------------------------------

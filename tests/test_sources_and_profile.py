@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from daywright.operators import cleaning, profile
 from daywright.operators.sentiment import activity_sentiment, text_matches
-from daywright.plans.eda import eda_report
+from daywright.plans.eda import eda_report, eda_table
 from daywright.sources.daily_csv import load_daily, read_daily_csv, scan_daily
-from daywright.sources.market_tables import MARKET_FILES, load_market_tables
+from daywright.sources.market_tables import EDA_TABLES, MARKET_FILES, MARKET_SCHEMAS, load_market_tables
+from tests.conftest import SF_SMALL
 
 CSV = """time,PriceUSD,CapMVRVCur,CapMrktCurUSD,HashRate,TxCnt
 2020-01-03T00:00:00Z,30,1.5,300,3,33
@@ -73,7 +74,8 @@ def test_market_tables_are_repaired_and_absent_ones_skipped(spark, tmp_path):
     with warnings.catch_warnings(record=True) as caught:
         warnings.simplefilter("always")
         tables = load_market_tables(spark, str(tmp_path))
-    assert set(tables) == {"markets", "odds_history"} and len(caught) == 4
+    assert set(tables) == {"markets", "odds_history"}
+    assert sum(w.category is UserWarning for w in caught) == 4
     got = {r.market_id: r for r in tables["markets"].collect()}
     assert got["m1"].created_at == datetime(2024, 5, 1, 10) and got["m2"].created_at is None
     assert got["m1"].end_date == datetime(2025, 1, 1) and got["m3"].end_date is None
@@ -85,6 +87,27 @@ def test_market_tables_are_repaired_and_absent_ones_skipped(spark, tmp_path):
     assert audit["odds_history", "timestamp"].valid_rows == 1
 
 
+def test_files_that_drift_and_files_that_are_damaged(spark, tmp_path):
+    folder = tmp_path / MARKET_FILES["trades"]
+    older = "select 'm1' market_id, 't1' token_id, cast(0.5 as float) price, 3 size, '2024-05-01T00:00:00' timestamp"
+    spark.sql(older).coalesce(1).write.mode("append").parquet(str(folder))
+    newer = "select 1.5D size, 'BUY' side, timestamp_ntz'2024-05-02 00:00:00' timestamp, 0.25D price, 7L market_id, 't2' token_id, 'x' venue"
+    spark.sql(newer).coalesce(1).write.mode("append").parquet(str(folder))
+    (folder / "part-broken.parquet").write_bytes(b"PAR1 no table")
+    problems = []
+    with warnings.catch_warnings(record=True) as caught:
+        warnings.simplefilter("always")
+        tables = load_market_tables(spark, str(tmp_path), ["trades", "tokens"], problems=problems)
+    assert set(tables) == {"trades"} and sum(w.category is UserWarning for w in caught) == 2
+    assert [(p.table, p.path.endswith("part-broken.parquet")) for p in problems] == [("trades", True), ("tokens", False)]
+    trades = tables["trades"]
+    declared = spark.createDataFrame([], MARKET_SCHEMAS["trades"]).schema
+    assert [(f.name, f.dataType) for f in trades.schema.fields[:-1]] == [(f.name, f.dataType) for f in declared.fields]
+    got = {r.market_id: r for r in trades.collect()}
+    assert (got["m1"].price, got["m1"]["size"], got["m1"].timestamp, got["m1"].side) == (0.5, 3.0, datetime(2024, 5, 1), None)
+    assert (got["7"].price, got["7"].side, got["7"].venue, got["m1"].venue) == (0.25, "BUY", "x", None)
+
+
 def test_only_timestamp_columns_with_known_names_are_repaired(spark):
     df = spark.sql("select timestamp_ntz'1970-01-20 00:00:00' first_market_start, timestamp_ntz'1970-01-20 00:00:00' last_trade, 5L trade_count")
     assert cleaning.timestamp_columns(df) == ["last_trade"]
@@ -112,7 +135,35 @@ def test_eda_report(spark, csv, tmp_path):
     assert set(eda_report(spark.range(3).toDF("x"), {})) == set()
 
 
-@pytest.mark.parametrize("kind", ["normal", "heavy", "few", "constant", "one"])
+def test_eda_table_equals_the_parts(spark, csv, tmp_path):
+    market_files(spark, str(tmp_path / "markets"))
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        tables = load_market_tables(spark, str(tmp_path / "markets"), EDA_TABLES)
+    daily = scan_daily(spark, csv)
+    whole = eda_table(daily, tables)
+    got = {(r.part, r.name, r.field): r.value for r in whole.collect()}
+    parts = eda_report(daily, tables)
+    for r in parts["describe"].collect():
+        for field in ("count", "null_count", "mean", "std", "min", "p25", "p50", "p75", "max"):
+            assert got["describe", r.metric, field] == pytest.approx(r[field])
+    for r in parts["correlation"].collect():
+        assert got["correlation", r.metric_a, r.metric_b] == pytest.approx(r.correlation, nan_ok=True)
+    assert {k[2]: v for k, v in got.items() if k[0] == "totals"} == {r.name: r.value for r in parts["market_totals"].collect()}
+    assert {(k[1], v) for k, v in got.items() if k[0] == "top_categories"} == {(r.category, r.volume) for r in parts["top_categories"].collect()}
+    assert eda_table() is None
+
+
+def test_eda_table_reads_each_input_once(spark):
+    days = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    markets = spark.read.parquet(f"{SF_SMALL}/part.parquet").selectExpr("p_brand category", "p_retailprice volume", "p_size > 9 active")
+    plan = eda_table(days, {"markets": markets}, ["l_tax"], ["l_tax", "l_discount"])._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert sum("p_brand" in line for line in scans) == 1
+    assert len(scans) == 1 + 1 + 4  # markets, numbers of the days, four rounds of quartiles
+
+
+@pytest.mark.parametrize("kind", ["normal", "heavy", "few", "constant", "one", "log-uniform", "limits"])
 def test_exact_quantiles_on_awkward_data(spark, kind):
     rng = np.random.default_rng(7)
     x = {
@@ -121,6 +172,8 @@ def test_exact_quantiles_on_awkward_data(spark, kind):
         "few": rng.integers(0, 3, size=5000).astype(float),
         "constant": np.full(100, 4.0),
         "one": np.array([2.5]),
+        "log-uniform": 10 ** rng.uniform(-300, 300, size=5000) * rng.choice([-1, 1], size=5000),
+        "limits": np.array([-np.inf, -1.8e308, -5e-324, 0.0, 5e-324, 2.3e-308, 1.7e308, np.inf]),
     }[kind]
     df = spark.createDataFrame(pd.DataFrame({"x": x}))
     probabilities = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
@@ -130,6 +183,23 @@ def test_exact_quantiles_on_awkward_data(spark, kind):
     assert got == want
 
 
+def test_bits_are_in_the_order_of_the_numbers(spark):
+    rng = np.random.default_rng(5)
+    x = rng.integers(-(2**63), 2**63 - 1, 4000).view(np.float64)
+    powers = 2.0 ** np.arange(-1074, 1024)
+    x = np.concatenate([x[~np.isnan(x)], powers, -powers, np.nextafter(powers, np.inf), np.nextafter(powers, 0), [0.0, np.inf, -np.inf]])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double")
+    got = profile.with_ordered_bits(df, "x", "bits").toPandas()
+    size = np.abs(got.x.to_numpy()).view(np.int64)
+    assert (got.bits.to_numpy() == np.where(got.x < 0, -size, size)).all()
+
+
+def test_a_profile_keeps_every_column(spark):
+    df = spark.sql("select * from values (1, cast(null as string), array(1)), (2, null, array(1)), (2, null, null) t(a, b, c)")
+    got = {r.column_name: (r.null_count, r.max_value, r.distinct_count) for r in profile.column_profile(df, exact=True).collect()}
+    assert got == {"a": (0, "2", 2), "b": (3, None, 0), "c": (1, None, None)}
+
+
 def test_correlation_is_pairwise_complete(spark):
     pdf = pd.DataFrame({"a": [1.0, 2, 3, 4, None], "b": [2.0, 1, 4, 3, 9], "c": [5.0, None, 1, 2, 7]})
     rows = [tuple(None if pd.isna(v) else v for v in r) for r in pdf.itertuples(index=False)]
@@ -159,7 +229,7 @@ def test_column_profile(spark, csv):
     assert got["TxCnt"].distinct_estimate == 5 and got["time"].data_type == "timestamp_ntz"
 
 
-def test_stream_locks_each_new_day(spark, daily, tmp_path):
+def test_stream_locks_each_series_day_by_day(spark, daily, tmp_path):
     from datetime import date
 
     from daywright.operators.windows import explicit_windows
@@ -169,13 +239,21 @@ def test_stream_locks_each_new_day(spark, daily, tmp_path):
     from daywright.streaming.daily_lock import lock_on_arrival
 
     days, store = str(tmp_path / "days"), str(tmp_path / "locked")
+    both = daily.unionByName(daily.withColumn("series_id", F.lit("LAG")))
 
     def weights_on(session, day):
         windows = explicit_windows(session, [(date(2022, 1, 1), date(2022, 3, 1))])
-        return B.window_weights(feat.baseline_features(daily), windows, baseline_strategy(), day)
+        return B.window_weights(feat.baseline_features(both), windows, baseline_strategy(), day)
 
-    for last, expected in (("2022-01-03", 3), ("2022-01-05", 5)):
-        daily.where(F.col("date") == last).select("series_id", "date").write.mode("append").parquet(days)
+    def arrive(series, *new):
+        rows = [(series, date.fromisoformat(d)) for d in new]
+        spark.createDataFrame(rows, "series_id string, date date").coalesce(1).write.mode("append").parquet(days)
         stream = spark.readStream.schema("series_id string, date date").parquet(days)
-        lock_on_arrival(stream, weights_on, store, str(tmp_path / "checkpoint")).awaitTermination(120)
-        assert spark.read.parquet(store).count() == expected
+        lock_on_arrival(stream, weights_on, store, str(tmp_path / "checkpoint")).awaitTermination(300)
+        got = spark.read.parquet(store).groupBy("id").agg(F.count("*"), F.max("DCA_date")).collect()
+        return {r[0]: (r[1], str(r[2])) for r in got}
+
+    assert arrive("BTC", "2022-01-03") == {"BTC": (3, "2022-01-03")}
+    # A batch of two days is locked as of each; the series that lags is not touched.
+    assert arrive("BTC", "2022-01-05", "2022-01-04") == {"BTC": (5, "2022-01-05")}
+    assert arrive("LAG", "2022-01-02") == {"BTC": (5, "2022-01-05"), "LAG": (2, "2022-01-02")}
