@@ -26,6 +26,16 @@ def mask_after(daily: DataFrame, day, columns: Sequence[str]) -> DataFrame:
     return daily.withColumns({c: F.when(known, F.col(c)) for c in columns})
 
 
+def known_at_probes(daily: DataFrame, probes: DataFrame, keys: Keys = DEFAULT_KEYS) -> DataFrame:
+    """For each probe date the rows of its series up to it; adds ``probe``.
+
+    The probes of a series are one array row; a day is copied to those that are not before it.
+    """
+    lists = probes.groupBy(*keys).agg(F.collect_set("probe").alias("_probes"))
+    later = F.filter("_probes", lambda p: p >= F.col("date"))
+    return daily.join(lists, list(keys)).withColumn("probe", F.explode(later)).drop("_probes")
+
+
 def masked_at_probes(
     daily: DataFrame, probes: DataFrame, columns: Sequence[str], keys: Keys = DEFAULT_KEYS
 ) -> DataFrame:

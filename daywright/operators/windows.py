@@ -88,12 +88,23 @@ def window_days(start: Column, end: Column) -> Column:
     return F.datediff(end, start) + 1
 
 
+def window_number(start: Column, end: Column) -> Column:
+    """A window as one LONG, in the order of starts."""
+    return F.unix_date(start).cast("long") * WINDOW_SPAN + F.datediff(end, start)
+
+
+def window_block(start: Column, block_days: int = WINDOW_BLOCK_DAYS) -> Column:
+    """The block of starts that a window is expanded in."""
+    return F.floor(F.unix_date(start) / block_days)
+
+
 def expand_windows(
     days: DataFrame,
     windows: RollingWindows | DataFrame,
     keys: Keys = DEFAULT_KEYS,
     partitions: int | None = None,
     block_days: int = WINDOW_BLOCK_DAYS,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """Give every day a row in each window that holds it.
 
@@ -105,16 +116,25 @@ def expand_windows(
 
     ``days`` needs ``reach_from``/``reach_to`` from ``fill_gaps``; ``windows`` is a rolling
     range or a table of (window_start, window_end).
+
+    ``known`` holds a number for windows of a day, packed to one row (keys, block, date, known: map
+    from ``window_number``). It meets the days before they are expanded, so what it holds is moved once
+    and packed; each expanded row then looks its number up in the column ``known``.
     """
     count = partitions or expansion_partitions(days.sparkSession)
 
     def place(copied: DataFrame) -> DataFrame:
+        if known is not None:
+            copied = copied.join(known.withColumnRenamed("known", "_known"), [*keys, BLOCK, "date"], "left")
         return copied.repartition(count, *keys, BLOCK)
 
     if isinstance(windows, RollingWindows):
         rows = _expand_rolling(days, windows, block_days, place)
     else:
         rows = _expand_table(days, windows, block_days, place)
+    if known is not None:
+        number = window_number(F.col("window_start"), F.col("window_end"))
+        rows = rows.withColumn("known", F.try_element_at("_known", number)).drop("_known")
     return rows.drop("reach_from", "reach_to")
 
 
@@ -148,11 +168,10 @@ def _expand_table(days: DataFrame, windows: DataFrame, block_days: int, place) -
     stay in it. So nothing is joined by block alone, the plan is the same at every size of the table,
     and no window row moves.
     """
-    start = F.unix_date("window_start")
-    number = start.cast("long") * WINDOW_SPAN + F.datediff("window_end", "window_start")
+    number = window_number(F.col("window_start"), F.col("window_end"))
     blocks = (
         windows.where(F.col("window_start") <= F.col("window_end"))
-        .groupBy(F.floor(start / block_days).alias(BLOCK))
+        .groupBy(window_block(F.col("window_start"), block_days).alias(BLOCK))
         .agg(F.min("window_start").alias("_a"), F.max("window_end").alias("_b"), F.collect_set(number).alias("_windows"))
     )
     block_dates = blocks.select(BLOCK, "_windows", F.explode(F.sequence("_a", "_b", F.expr("interval 1 day"))).alias("date"))

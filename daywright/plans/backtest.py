@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import pandas as pd
@@ -14,9 +15,10 @@ from daywright.operators.allocation import allocate, past_days, window_totals
 from daywright.operators.calendar import fill_gaps
 from daywright.operators.cleaning import probe_dates
 from daywright.operators.rolling import DEFAULT_KEYS, Keys
-from daywright.operators.scenarios import masked_at_probes
+from daywright.operators.scenarios import known_at_probes, masked_at_probes
 from daywright.operators.windows import BLOCK, RollingWindows, expand_windows
 from daywright.plans.strategy import Strategy, python_weights
+from daywright.sources.manifest import Manifest
 from daywright.sources.report import write_report
 
 
@@ -114,18 +116,28 @@ def window_weights(
     """Weights for full nominal windows with a past/future split at ``current_date``.
 
     Days without data, before, inside or after the history, get placeholder signals. Stored
-    weights are used for the past of a window if they cover all of it.
+    weights are used for the past of a window if they cover all of it; with ``stored`` the table
+    has ``locked_weight``, what the store holds for each row.
     """
     days = multiplier_days(features, strategy, keys, span=window_span(windows))
-    expanded = expand_windows(days, windows, keys)
-    column = None
-    if stored is not None:
-        expanded = locked.join_locked(expanded, stored, keys[0])
-        column = "locked_weight"
+    known = None if stored is None else locked.packed(stored, keys[0])
+    expanded = expand_windows(days, windows, keys, known=known)
+    if known is not None:
+        expanded = expanded.withColumnRenamed("known", locked.LOCKED)
     today = current_date if isinstance(current_date, Column) else F.lit(current_date).cast("date")
     n_past = past_days(F.col("window_start"), F.col("window_end"), today)
-    weights = allocate(expanded, keys=keys, n_past=n_past, locked=column)
-    return weights.select(*keys, "window_start", "window_end", "date", "weight")
+    weights = allocate(expanded, keys=keys, n_past=n_past, locked=None if known is None else locked.LOCKED)
+    kept = [locked.LOCKED] if known is not None else []
+    return weights.select(*keys, "window_start", "window_end", "date", "weight", *kept)
+
+
+def lock_day(
+    daily: DataFrame, windows: Windows, strategy: Strategy, path: str, day, keys: Keys = DEFAULT_KEYS
+) -> int:
+    """The daily job: decide the weights as of ``day`` given the store at ``path``, and store them. Days touched."""
+    stored = locked.read_store(daily.sparkSession, path)
+    weights = window_weights(strategy.features(daily, keys), windows, strategy, day, stored, keys)
+    return locked.append_locked(weights, path, day, keys[0])
 
 
 # --- checks ------------------------------------------------------------------------------
@@ -186,6 +198,31 @@ def leakage_check(
     )
 
 
+def prefix_check(
+    daily: DataFrame,
+    strategy: Strategy,
+    probes: DataFrame,
+    keys: Keys = DEFAULT_KEYS,
+    features: DataFrame | None = None,
+) -> DataFrame:
+    """(keys, probe, multiplier of the whole series, of the days up to the probe, leak).
+
+    The check of ``leakage_check`` where only the multiplier counts: a probe sees the rows up to its
+    day and nothing else, so on average half a series is copied, and no weights are built.
+    """
+    whole = strategy.features(daily, keys) if features is None else features
+    seen = strategy.features(known_at_probes(daily, probes, keys), (*keys, "probe"))
+
+    def at_probe(made: DataFrame, out: str) -> DataFrame:
+        slim = made.select(*dict.fromkeys([*keys, *[c for c in ("probe",) if c in made.columns], "date", *[c for c in made.columns if c in strategy.gap]]))
+        return strategy.multiplier(slim).withColumnRenamed("multiplier", out)
+
+    known = at_probe(seen.where(F.col("date") == F.col("probe")), "seen_multiplier").select(*keys, "probe", "seen_multiplier")
+    full = at_probe(whole, "full_multiplier").select(*keys, F.col("date").alias("probe"), "full_multiplier")
+    same = F.coalesce(is_close(F.col("seen_multiplier"), F.col("full_multiplier"), 1e-9, 1e-12), F.lit(False))
+    return known.join(full, [*keys, "probe"]).withColumn("leak", ~same)
+
+
 def submission_check(
     daily: DataFrame,
     windows: Windows,
@@ -198,17 +235,24 @@ def submission_check(
 
     Worse windows are listed for information and pass. Ties count as wins in the win rate.
     The weights are built once; each window row yields the entries of all window checks.
-    Leakage is probed on every k-th day of the windows' range. With ``weigh`` the weights of
-    that user function are checked instead of the strategy's.
+    Leakage is probed on every k-th day of the windows' range: the multiplier of the series known on
+    that day must be the whole series'. With ``weigh`` the weights of that user function are checked
+    instead of the strategy's, on masked copies, as it sees a whole window.
     """
     features = strategy.features(daily, keys) if features is None else features
     probes = probe_dates(daily.where(F.col("date").between(*map(F.lit, window_span(windows)))), keys=keys)
-    leaks = leakage_check(daily, strategy, probes, keys, features, weigh).select(
+    if weigh is None:
+        probed = prefix_check(daily, strategy, probes, keys, features)
+        gap, leak = F.col("seen_multiplier") - F.col("full_multiplier"), F.col("leak")
+    else:
+        probed = leakage_check(daily, strategy, probes, keys, features, weigh)
+        gap, leak = F.col("masked_multiplier") - F.col("full_multiplier"), F.col("multiplier_leak")
+    leaks = probed.select(
         *keys,
         F.lit("forward_leakage").alias("check"),
         F.date_format("probe", "yyyy-MM-dd").alias("key"),
-        F.abs(F.col("masked_multiplier") - F.col("full_multiplier")).alias("detail"),
-        (~F.col("multiplier_leak")).alias("passed"),
+        F.abs(gap).alias("detail"),
+        (~leak).alias("passed"),
     )
     if weigh is None:
         weights = backtest_weights(features, windows, strategy, keys)
@@ -260,40 +304,58 @@ def run_full_analysis(
     output: str,
     keys: Keys = DEFAULT_KEYS,
     weigh: Callable[[pd.DataFrame], pd.Series] | None = None,
+    version: str = "",
 ) -> dict[str, DataFrame]:
     """Backtest, validate and write every table and the report below ``output``.
 
     With ``weigh`` all of it is about that user function, over the strategy's features.
 
     Features and the SPD table are written once and read back, so later steps do not repeat
-    them and a lost executor costs no more than its own tasks.
+    them and a lost executor costs no more than its own tasks. Each table appears by one rename, after
+    which the manifest names it; a run that was cut off resumes behind the last table that the manifest
+    lists for the same input. Content of days and windows, the strategy's label and ``version`` say
+    what the same input is: functions can't be compared, so a changed one needs another version.
     """
-    spark = daily.sparkSession
+    run = Manifest(daily.sparkSession, output, input_fingerprint(daily, windows, strategy.label, keys, weigh is not None, version))
+    features = run.keep("features", lambda: strategy.features(daily, keys))
 
-    def keep(table: DataFrame, name: str) -> DataFrame:
-        table.write.mode("overwrite").parquet(f"{output}/{name}")
-        return spark.read.parquet(f"{output}/{name}")
+    def spd_results() -> DataFrame:
+        if weigh is None:
+            return backtest_features(features, windows, strategy, keys, validate=False)
+        return backtest_python(features, windows, strategy, weigh, keys, validate=False)
 
-    features = keep(strategy.features(daily, keys), "features")
-    if weigh is None:
-        results = backtest_features(features, windows, strategy, keys, validate=False)
-    else:
-        results = backtest_python(features, windows, strategy, weigh, keys, validate=False)
-    results = keep(results, "spd")
+    results = run.keep("spd", spd_results)
     spd.assert_weight_sums(results)
-
-    scored = metrics.score_metrics(results, keys)
-    tables = {
-        "metrics": scored,
-        "spd_summary": metrics.spd_summary(results, keys),
-        "checks": submission_check(daily, windows, strategy, keys, features, weigh),
-        "performance": charts.performance_long(results, keys),
-        "excess_histogram": charts.excess_histogram(results, keys=keys),
-        "win_loss": metrics.win_loss(results, keys),
-        "cumulative_excess": charts.cumulative_excess(results, keys),
-        "metrics_summary": charts.metrics_summary(scored, keys),
-        "windows": charts.window_report(results, keys),
+    steps: dict[str, Callable[[], DataFrame]] = {
+        "metrics": lambda: metrics.score_metrics(results, keys),
+        "spd_summary": lambda: metrics.spd_summary(results, keys),
+        "checks": lambda: submission_check(daily, windows, strategy, keys, features, weigh),
+        "performance": lambda: charts.performance_long(results, keys),
+        "excess_histogram": lambda: charts.excess_histogram(results, keys=keys),
+        "win_loss": lambda: metrics.win_loss(results, keys),
+        "cumulative_excess": lambda: charts.cumulative_excess(results, keys),
+        "metrics_summary": lambda: charts.metrics_summary(saved["metrics"], keys),
+        "windows": lambda: charts.window_report(results, keys),
     }
-    saved = {name: keep(table, name) for name, table in tables.items()}
+    saved: dict[str, DataFrame] = {}
+    for name, made in steps.items():
+        saved[name] = run.keep(name, made)
     write_report(saved["windows"], saved["metrics"], f"{output}/report", keys)
     return {"features": features, "spd": results, **saved}
+
+
+def input_fingerprint(
+    daily: DataFrame, windows: Windows, label: str, keys: Keys, user_function: bool, version: str = ""
+) -> str:
+    """A digest of what the analysis is made from; the order and the layout of the rows don't matter."""
+
+    def content(table: DataFrame) -> str:
+        columns = sorted(table.columns)
+        row = F.xxhash64(*[F.col(f"`{c}`") for c in columns])
+        # Sums of two independent hashes tell tables apart that hold a row more or less often.
+        sums = [F.sum(h.cast("decimal(38,0)")) for h in (row, F.xxhash64(F.lit("second"), row))]
+        return "|".join(map(str, (columns, *table.agg(F.count(F.lit(1)), *sums).first())))
+
+    span = repr(windows) if isinstance(windows, RollingWindows) else content(windows)
+    text = "\n".join((content(daily), span, label, ",".join(keys), str(user_function), version))
+    return hashlib.sha256(text.encode()).hexdigest()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -66,3 +67,9 @@ def expansion_partitions(spark: SparkSession) -> int:
     """
     conf = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return max(conf, 4 * spark.sparkContext.defaultParallelism)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared one in spark.checkpoint.dir, or below the warehouse where that is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/daywright/{name}-{uuid.uuid4().hex}"

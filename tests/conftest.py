@@ -36,12 +36,13 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-def price_walk(start="2020-01-01", end="2022-12-31", seed=42) -> pd.DataFrame:
+def price_walk(start="2020-01-01", end="2022-12-31", shift=0) -> pd.DataFrame:
+    """A rising price with two seasons and jitter from a multiplicative sequence; no random numbers."""
     dates = pd.date_range(start, end, freq="D")
-    rng = np.random.default_rng(seed)
-    price = 10000 * np.exp(np.cumsum(rng.normal(0.001, 0.03, len(dates))))
-    cycle = 1.5 + 1.2 * np.sin(2 * np.pi * np.arange(len(dates)) / 1461)
-    mvrv = np.clip(cycle + rng.normal(0, 0.15, len(dates)), 0.5, 5)
+    t = np.arange(len(dates)) + 17 * shift
+    jitter = (t * 7919 + 13) % 1009 / 1009 - 0.5
+    price = (240 + 1.7 * t) * (1 + 0.3 * np.cos(t / 41) + 0.12 * np.sin(t / 6.5) + 0.09 * jitter)
+    mvrv = 1.9 + 0.9 * np.sin(t / 83) + 0.4 * ((t * 6101 + 5) % 997 / 997 - 0.5)
     return pd.DataFrame({"series_id": "BTC", "date": dates.date, "price": price, "mvrv": mvrv})
 
 

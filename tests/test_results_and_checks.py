@@ -1,5 +1,6 @@
 import json
 import math
+from dataclasses import replace
 from datetime import date
 
 import numpy as np
@@ -13,6 +14,8 @@ from daywright.operators.windows import RollingWindows
 from daywright.plans import backtest as B
 from daywright.plans import features as feat
 from daywright.plans.strategy import Strategy, baseline_strategy, extended_strategy
+from daywright.sources.manifest import Manifest
+from daywright.sources.report import report_documents
 from tests.conftest import as_daily
 
 RANGE = RollingWindows("2021-01-01", "2022-06-30")
@@ -88,13 +91,55 @@ def test_full_analysis_writes_everything(spark, daily, tmp_path):
     tables = B.run_full_analysis(daily, RANGE, baseline_strategy(), out)
     assert tables["spd"].count() == RANGE.table(spark).count()
     assert B.ready(tables["checks"]).count() == 1
-    files = list((tmp_path / "out" / "report").glob("*.json"))
-    document = json.loads("".join(f.read_text() for f in files))
-    assert set(document) == {"series_id", "timestamp", "summary_metrics", "window_level_data"}
-    assert len(document["window_level_data"]) == tables["spd"].count()
-    assert len(document["summary_metrics"]) == 12
-    first = document["window_level_data"][0]
-    assert first["start_date"] == "2021-01-01T00:00:00" and len(first) == 9
+    documents = [json.loads(line) for f in (tmp_path / "out" / "report").glob("*.txt") for line in f.read_text().splitlines()]
+    (header,) = [x for x in documents if x["chunk"] == "header"]
+    assert set(header) == {"series_id", "chunk", "timestamp", "summary_metrics", "windows", "chunks"}
+    assert len(header["summary_metrics"]) == 12 and header["windows"] == tables["spd"].count()
+    chunks = sorted((x for x in documents if x["chunk"] != "header"), key=lambda x: x["chunk"])
+    entries = [e for x in chunks for e in x["window_level_data"]]
+    assert len(chunks) == header["chunks"] and len(entries) == header["windows"]
+    assert entries[0]["start_date"] == "2021-01-01T00:00:00" and all(len(e) == 9 for e in entries)
+    assert [e["start_date"] for e in entries] == sorted(e["start_date"] for e in entries)
+    manifest = {r.name: r.rows for r in Manifest(spark, out, "").entries().collect()}
+    assert manifest == {name: table.count() for name, table in tables.items()}
+
+
+def test_a_report_of_any_length_is_cut_into_chunks(spark, daily):
+    spd = B.backtest(daily, RANGE, baseline_strategy())
+    made = report_documents(charts.window_report(spd), metrics.score_metrics(spd), chunk_days=10).collect()
+    sizes = [len(json.loads(r.document)["window_level_data"]) for r in made if r.chunk != "header"]
+    assert sum(sizes) == 181 and max(sizes) == 10
+
+
+def test_a_full_analysis_resumes_where_it_stopped(spark, daily, tmp_path, monkeypatch):
+    out, built = str(tmp_path / "out"), []
+
+    def counting(name, fn, fails=False):
+        def call(*args, **kw):
+            built.append(name)
+            if fails:
+                raise RuntimeError("lost")
+            return fn(*args, **kw)
+
+        return call
+
+    plain = baseline_strategy()
+    strategy = replace(plain, features=counting("features", plain.features))
+    with monkeypatch.context() as m:
+        m.setattr(B.metrics, "spd_summary", counting("spd_summary", B.metrics.spd_summary, fails=True))
+        with pytest.raises(RuntimeError):
+            B.run_full_analysis(daily, RANGE, strategy, out)
+    assert built == ["features", "spd_summary"]
+    (tmp_path / "out" / "spd_summary.new").mkdir()  # what a broken write leaves behind
+    tables = B.run_full_analysis(daily, RANGE, strategy, out)
+    # Features are made once more, of prefixes, in the leakage check; the stored ones are read.
+    assert built.count("features") == 2 and len(tables) == 11
+    again = len(built)
+    B.run_full_analysis(daily, RANGE, strategy, out)
+    assert len(built) == again
+    changed = daily.withColumn("price", F.col("price") + (F.col("date") == F.lit("2021-03-01").cast("date")).cast("int"))
+    B.run_full_analysis(changed, RANGE, strategy, out)
+    assert built[again] == "features"
 
 
 def test_constant_price_is_undefined_not_an_error(spark, daily):

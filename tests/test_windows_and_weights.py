@@ -198,6 +198,51 @@ def test_locked_table_is_appended_once(spark, daily, tmp_path):
     assert same.days == 12 and same.all_equal
 
 
+def test_the_daily_job_stores_each_day_once(spark, daily, tmp_path):
+    path, windows = str(tmp_path / "store"), RollingWindows("2021-01-01", "2022-03-31")
+    run = lambda day: B.lock_day(daily, windows, baseline_strategy(), path, day)
+    assert run("2021-01-10") == 10
+    first = {tuple(r) for r in locked.read_store(spark, path).collect()}
+    assert run("2021-01-10") == 0
+    assert {tuple(r) for r in locked.read_store(spark, path).collect()} == first
+    assert run("2021-01-11") == 1
+    stored = locked.read_store(spark, path)
+    # A row for each window that is open on the day; what was stored stays as it was.
+    assert stored.where("DCA_date = date'2021-01-11'").count() == 11
+    assert {tuple(r) for r in stored.where("DCA_date < date'2021-01-11'").collect()} == first
+    assert stored.groupBy(*locked.LOCK_KEYS).count().where("count > 1").isEmpty()
+
+
+def test_a_partly_stored_day_keeps_what_it_holds(spark, daily, tmp_path):
+    path, features = str(tmp_path / "store"), feat.baseline_features(daily)
+    for end in (W1, date(2022, 3, 1)):
+        windows = explicit_windows(spark, [(W0, end)])
+        weights = B.window_weights(features, windows, baseline_strategy(), "2022-01-03", locked.read_store(spark, path))
+        assert locked.append_locked(weights, path, "2022-01-03") == 3
+    assert locked.read_store(spark, path).groupBy("end_date").count().count() == 2
+
+
+def test_stored_weights_move_before_days_are_expanded(spark, daily):
+    windows, features = RollingWindows("2021-01-01", "2022-03-31"), feat.baseline_features(daily)
+    stored = locked.to_locked(B.window_weights(features, windows, baseline_strategy(), "2021-02-01"), "2021-02-01")
+    stored = spark.createDataFrame(stored.collect(), stored.schema)
+    later = B.window_weights(features, windows, baseline_strategy(), "2021-02-05", stored)
+    plan = locked.new_locked(later, "2021-02-05")._jdf.queryExecution().executedPlan().toString()
+    # The plan is read from its end: the expansion comes before any exchange.
+    assert plan.index("Generate explode") < plan.index("Exchange") and "LeftAnti" not in plan
+    by_join = locked.new_locked(later.drop("locked_weight"), "2021-02-05", stored)
+    rows = locked.new_locked(later, "2021-02-05")
+    assert rows.exceptAll(by_join).isEmpty() and by_join.exceptAll(rows).isEmpty() and not rows.isEmpty()
+
+
+def test_two_weights_for_one_key_stop_the_job(spark):
+    rows = [("BTC", W0, W1, W0, 0.1), ("BTC", W0, W1, W0, 0.2)]
+    twice = spark.createDataFrame(rows, "id string, start_date date, end_date date, DCA_date date, weight double")
+    with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
+        locked.packed(twice).collect()
+    assert locked.packed(twice.limit(1).unionByName(twice.limit(1))).count() == 1
+
+
 def test_weight_sum_assertion(spark):
     rows = spark.createDataFrame([("a", 1.0), ("b", 1.1)], "series_id string, weight_sum double")
     with pytest.raises(AssertionError):
