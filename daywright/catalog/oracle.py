@@ -7,7 +7,7 @@ add 0.0, so a negative zero reads as zero.
 from __future__ import annotations
 
 from daywright.catalog import standins as S
-from daywright.catalog.queries import LINE_METRICS, LOCK_DAY, MIDWAY_DAY, NEXT_LOCK_DAY, PROBE_DAY
+from daywright.catalog.queries import ANALYSIS_TABLES, DAY_AFTER_LOCK, LINE_METRICS, LOCK_DAY, MIDWAY_DAY, MISSING_SINCE, NEXT_LOCK_DAY, PROBE_DAY
 
 
 def r(expression: str, digits: int, name: str | None = None) -> str:
@@ -45,13 +45,11 @@ def feature_cte(source: str = "daily", name: str = "feat", key: str = "series_id
 
 
 def windows_cte() -> str:
-    return f"""windows AS (
-  SELECT CAST(s AS DATE) AS window_start, CAST(s + INTERVAL 1 YEAR AS DATE) AS window_end
-  FROM generate_series(TIMESTAMP '{S.RANGE_START}',
-                       CAST(DATE '{S.RANGE_END}' - INTERVAL 1 YEAR AS TIMESTAMP), INTERVAL 1 DAY) t(s)),
-calendar AS (
-  SELECT CAST(s AS DATE) AS date
-  FROM generate_series(TIMESTAMP '1990-01-01', TIMESTAMP '2003-12-31', INTERVAL 1 DAY) t(s))"""
+    return """orders_span AS (SELECT CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders),
+calendar AS (SELECT CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date FROM orders_span),
+windows AS (
+  SELECT date AS window_start, CAST(date + INTERVAL 1 YEAR AS DATE) AS window_end
+  FROM calendar, orders_span WHERE CAST(date + INTERVAL 1 YEAR AS DATE) <= b)"""
 
 
 LOG_MA = "CASE WHEN price_ma > 0 THEN ln(price_ma) END"
@@ -293,7 +291,7 @@ def oracle_sql() -> dict[str, str]:
     q["missing_prices"] = f"""SELECT o_orderpriority AS series_id, count(CASE WHEN o_orderstatus = 'P' THEN 1 END) AS missing_prices,
   min(CASE WHEN o_orderstatus = 'P' THEN CAST(o_orderdate AS DATE) END) AS first_missing,
   max(CAST(o_orderdate AS DATE)) AS latest_date
-  FROM orders WHERE o_orderdate >= DATE '{S.RANGE_START}' GROUP BY 1"""
+  FROM orders WHERE o_orderdate >= DATE '{MISSING_SINCE}' GROUP BY 1"""
     q["calendar_gaps"] = statement([daily, win], """SELECT s.series_id, c.date
   FROM (SELECT series_id, min(date) AS a, max(date) AS b FROM daily GROUP BY 1) s
   JOIN calendar c ON c.date BETWEEN s.a AND s.b
@@ -310,6 +308,12 @@ def oracle_sql() -> dict[str, str]:
     SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS i,
            count(*) OVER (PARTITION BY series_id) AS n FROM daily) t
   WHERE i % greatest(n // 50, 1) = 0)"""
+    q["parse_text_timestamps"] = """SELECT o_orderkey, CASE WHEN o_orderkey % 8 < 6 THEN o_orderdate END AS created_at FROM orders"""
+    q["ingest_rejects"] = """SELECT 'created_at' AS column_name, count(*) AS "rows", count(CASE WHEN o_orderkey % 8 < 6 THEN 1 END) AS "values",
+  count(CASE WHEN o_orderkey % 8 = 6 THEN 1 END) AS unreadable, min(CASE WHEN o_orderkey % 8 = 6 THEN 'soon-' || o_orderkey END) AS first_unreadable FROM orders
+  UNION ALL SELECT 'price', count(*), count(CASE WHEN o_orderstatus <> 'P' THEN 1 END), count(CASE WHEN o_orderstatus = 'P' THEN 1 END),
+  min(CASE WHEN o_orderstatus = 'P' THEN 'about ' || o_custkey END) FROM orders
+  UNION ALL SELECT 'customer', count(*), count(o_custkey), 0, NULL FROM orders UNION ALL SELECT '_corrupt', count(*), 0, 0, NULL FROM orders"""
     q["probe_dates"] = statement([daily, probes], "SELECT * FROM probes")
     q["last_price"] = statement([daily], """SELECT series_id, date AS last_date, price AS last_price FROM daily d
   WHERE date = (SELECT max(date) FROM daily e WHERE e.series_id = d.series_id)""")
@@ -320,6 +324,8 @@ def oracle_sql() -> dict[str, str]:
   FROM (SELECT s.series_id, c.date AS ws, CAST(c.date + INTERVAL 1 YEAR AS DATE) AS we, s.b
         FROM (SELECT series_id, min(date) AS a, max(date) AS b FROM daily GROUP BY 1) s
         JOIN calendar c ON c.date BETWEEN s.a AND CAST(s.b - INTERVAL 1 YEAR AS DATE)) t WHERE we <= b""")
+    q["label_dates"] = q["windows"].replace("SELECT series_id, ws AS window_start, we AS window_end,", "SELECT series_id, ws AS start,").replace(
+        f"""{label} AS "window", datediff('day', ws, we) + 1 AS days""", f"""{label} AS "window\"""")
     q["ranges_by_start"] = statement([all_daily, win], """SELECT ws AS window_start,
   string_agg(strftime(we, '%Y-%m-%d'), ',' ORDER BY we) AS window_ends
   FROM (SELECT c.date AS ws, CAST(c.date + to_months(m) AS DATE) AS we, s.b
@@ -345,6 +351,19 @@ UNION ALL SELECT date, 'absent' AS kind FROM (SELECT * FROM a EXCEPT SELECT * FR
     q["zscore"] = statement([daily, zs], f"SELECT series_id, date, {r('z', 7, 'zscore')} FROM scored")
     q["ema"] = statement([daily], f"""SELECT series_id, date, {r(ema_sql('price', 30, 999), 4, 'ema_30')},
   {r(ema_sql('price', 14, 999), 4, 'ema_14')} FROM daily""")
+    alpha = {span: f"CAST({2.0 / (span + 1)!r} AS DOUBLE)" for span in (30, 3)}
+    step = lambda span: f"""CASE WHEN c.price IS NULL THEN e.y{span} WHEN e.y{span} IS NULL THEN c.price
+      ELSE (pow(1 - {alpha[span]}, e.gap + 1) * e.y{span} + {alpha[span]} * c.price) / (pow(1 - {alpha[span]}, e.gap + 1) + {alpha[span]}) END"""
+    q["ema_gaps"] = f"""WITH RECURSIVE {daily},
+days AS (SELECT s.series_id, c.date, d.price, row_number() OVER (PARTITION BY s.series_id ORDER BY c.date) AS n
+  FROM (SELECT series_id, min(date) AS a, max(date) AS b FROM daily GROUP BY 1) s
+  JOIN (SELECT CAST(unnest(generate_series((SELECT CAST(min(date) AS TIMESTAMP) FROM daily),
+    (SELECT CAST(max(date) AS TIMESTAMP) FROM daily), INTERVAL 1 DAY)) AS DATE) AS date) c ON c.date BETWEEN s.a AND s.b
+  LEFT JOIN daily d ON d.series_id = s.series_id AND d.date = c.date),
+walk AS (SELECT series_id, date, n, price AS y30, price AS y3, 0 AS gap FROM days WHERE n = 1
+  UNION ALL SELECT c.series_id, c.date, c.n, {step(30)}, {step(3)}, CASE WHEN c.price IS NULL THEN e.gap + 1 ELSE 0 END
+  FROM walk e JOIN days c ON c.series_id = e.series_id AND c.n = e.n + 1)
+SELECT series_id, date, {r('y30', 4, 'ema_30')}, {r('y3', 4, 'ema_3')} FROM walk"""
     part = "PARTITION BY series_id"
     q["pct_rank"] = statement([daily], f"""SELECT series_id, date, {r(rank_of('price', 360, 90, part), 9, 'rank_360')},
   {r(rank_of('price', 30, 1, part), 9, 'rank_30')} FROM daily""")
@@ -360,6 +379,13 @@ UNION ALL SELECT date, 'absent' AS kind FROM (SELECT * FROM a EXCEPT SELECT * FR
   {r('price_vs_ma', 7, 'price_vs_ma')}, {r('z', 7, 'mvrv_zscore')}, {r('grad', 7, 'mvrv_gradient')},
   {r('acc', 7, 'mvrv_acceleration')}, {r('zone', 7, 'mvrv_zone')}, {r('vrank', 7, 'mvrv_volatility')},
   {r('conf', 7, 'signal_confidence')}, {r('sentiment', 7, 'sentiment')} FROM ext""")
+    bare = "SELECT *, 0.0 AS z, 0.0 AS grad, 0.0 AS acc, 0.5 AS vrank, 0.5 AS sentiment FROM feat"
+    agree = clipped("1.0 - " + clipped("abs(price_vs_ma) / 2", 0, 1), 0, 1)
+    q["neutral_features"] = statement([daily, feat, f"bare AS ({bare})", f"ext AS (SELECT *, 0.7 * ({agree}) + 0.3 * 0.5 AS conf FROM bare)"],
+        f"""SELECT series_id, date, coalesce(price, 0) AS price, {r(LOG_MA, 8, 'log_price_ma')}, {r('price_vs_ma', 7, 'price_vs_ma')},
+  0.0 AS mvrv_zscore, 0.0 AS mvrv_gradient, 0.0 AS mvrv_acceleration, 0.0 AS mvrv_zone, 0.5 AS mvrv_volatility,
+  {r('conf', 7, 'signal_confidence')}, 0.5 AS sentiment, {r(f'exp({exponent_sql()})', 7, 'multiplier')},
+  {r(f'exp({exponent_sql()})'.replace('conf', '0.5'), 7, 'multiplier_fewer')} FROM ext""")
     q["multiplier_extended"] = statement(ext, f"SELECT series_id, date, {r(f'({exponent_sql()}) / ln(10)', 7, 'log_multiplier')} FROM ext")
     q["signal_parts"] = statement(ext, f"""SELECT series_id, date, {r(BOOST, 7, 'boost')}, {r(TREND, 7, 'trend')},
   {r(ACCEL, 7, 'acceleration')}, {r('conf', 7, 'confidence')} FROM ext""")
@@ -396,6 +422,10 @@ UNION ALL SELECT date, 'absent' AS kind FROM (SELECT * FROM a EXCEPT SELECT * FR
         f"""SELECT series_id AS id, window_start AS start_date, window_end AS end_date, date AS "DCA_date", {r('weight', 9, 'weight')}
   FROM w2 WHERE date <= DATE '{NEXT_LOCK_DAY}' AND NOT EXISTS (SELECT 1 FROM stored s
     WHERE s.window_start = w2.window_start AND s.window_end = w2.window_end AND s.date = w2.date)""")
+    q["locked_rerun"] = statement(
+        [*nominal, *nominal_ctes(LOCK_DAY, "1"), stored, *nominal_ctes(DAY_AFTER_LOCK, "2", "stored")],
+        f"""SELECT series_id AS id, window_start AS start_date, window_end AS end_date, date AS "DCA_date", {r('weight', 9, 'weight')},
+  'day after' AS run FROM w2 WHERE date = DATE '{DAY_AFTER_LOCK}'""")
     q["weights_compare"] = statement(
         [*nominal, *nominal_ctes(LOCK_DAY, "1"), *nominal_ctes(NEXT_LOCK_DAY, "2")],
         f"""SELECT a.series_id, a.window_start, a.window_end, count(*) AS days, {r('max(abs(a.weight - b.weight))', 9, 'max_diff')},
@@ -438,18 +468,30 @@ UNION ALL SELECT date, 'absent' AS kind FROM (SELECT * FROM a EXCEPT SELECT * FR
   {r('mw.m', 8, 'masked_multiplier')}, {r('fw.weight', 8, 'full_weight')}, {r('mw.weight', 8, 'masked_weight')},
   {far('mw.m', 'fw.m')} AS multiplier_leak, {far('mw.weight', 'fw.weight')} AS weight_leak
   FROM mw JOIN fw ON fw.series_id = mw.series_id AND fw.date = mw.probe AND mw.date = mw.probe""")
-    in_range = probes.replace("FROM daily)", f"FROM daily WHERE date BETWEEN DATE '{S.RANGE_START}' AND DATE '{S.RANGE_END}')")
-    checked = [*base, in_range, masked, feature_cte("masked", "mfeat", "pk"), whole, masked_days]
-    q["submission_check"] = statement(checked, f"""SELECT p.series_id, 'forward_leakage' AS "check", count(*) AS checked,
-    count(CASE WHEN {far('d.m', 'f.m')} THEN 1 END) AS failed
+    checked = [*base, probes, masked, feature_cte("masked", "mfeat", "pk"), whole, masked_days]
+    label_of = "strftime(window_start, '%Y-%m-%d') || ' → ' || strftime(window_end, '%Y-%m-%d')"
+    verdicts = lambda digits: f"""SELECT series_id, 'weights' AS "check", {label_of} AS key, {r('s', digits, 'detail')},
+    abs(s - 1) <= 1e-8 + 1e-5 AND lo >= 0 AS passed
+    FROM (SELECT series_id, window_start, window_end, sum(weight) AS s, min(weight) AS lo FROM weights GROUP BY 1, 2, 3) t
+  UNION ALL SELECT series_id, 'under_performer', window_label, {r('dp - up', digits)}, true FROM spd WHERE dp < up
+  UNION ALL SELECT series_id, 'win_rate', 'all windows', {r('1 - avg(CASE WHEN dp < up THEN 1.0 ELSE 0.0 END)', digits)},
+    1 - avg(CASE WHEN dp < up THEN 1.0 ELSE 0.0 END) >= 0.5 FROM spd GROUP BY 1"""
+    q["submission_check"] = statement(checked, f"""SELECT p.series_id, 'forward_leakage' AS "check", strftime(p.probe, '%Y-%m-%d') AS key,
+    {r('abs(d.m - f.m)', 6, 'detail')}, NOT ({far('d.m', 'f.m')}) AS passed
     FROM probes p JOIN full_days f ON f.series_id = p.series_id AND f.date = p.probe
-    JOIN masked_days d ON d.series_id = p.series_id AND d.probe = p.probe AND d.date = p.probe GROUP BY 1
-  UNION ALL SELECT series_id, 'weights', count(*), count(CASE WHEN abs(s - 1) > 1e-8 + 1e-5 OR lo < 0 THEN 1 END)
-    FROM (SELECT series_id, window_start, sum(weight) AS s, min(weight) AS lo FROM weights GROUP BY 1, 2) t GROUP BY 1
-  UNION ALL SELECT series_id, 'under_performer', count(*), 0 FROM spd WHERE dp < up GROUP BY 1
-  UNION ALL SELECT series_id, 'win_rate', 1, CASE WHEN 1 - avg(CASE WHEN dp < up THEN 1.0 ELSE 0.0 END) >= 0.5 THEN 0 ELSE 1 END
-    FROM spd GROUP BY 1""")
-
+    JOIN masked_days d ON d.series_id = p.series_id AND d.probe = p.probe AND d.date = p.probe
+  UNION ALL {verdicts(6)}""")
+    own = "exp(-2 * price_vs_ma)"
+    plain_weights = "weights AS (SELECT *, m / sum(m) OVER (PARTITION BY series_id, window_start, window_end) AS weight FROM expanded)"
+    shares = [f"{n} AS (SELECT *, m / sum(m) OVER (PARTITION BY {k}) AS weight FROM {t})"
+              for n, k, t in (("fw", "series_id", "full_days"), ("mw", "pk", "masked_days"))]
+    q["strategy_udf_check"] = statement(
+        [all_daily, feat, win, expanded_cte(own), plain_weights, spd_cte(), probes, masked, feature_cte("masked", "mfeat", "pk"),
+         whole.replace(BASE_MULTIPLIER, own), masked_days.replace(BASE_MULTIPLIER, own), *shares],
+        f"""SELECT mw.series_id, 'forward_leakage' AS "check", strftime(mw.probe, '%Y-%m-%d') AS key, {r('abs(mw.weight - fw.weight)', 8, 'detail')},
+    NOT ({far('mw.weight', 'fw.weight')}) AS passed
+    FROM mw JOIN fw ON fw.series_id = mw.series_id AND fw.date = mw.probe AND mw.date = mw.probe
+  UNION ALL {verdicts(8)}""")
     q["performance_long"] = statement(base, f"""SELECT series_id, window_start AS date, 'Dynamic DCA' AS strategy, {r('dp', 4, 'spd_percentile')} FROM spd
   UNION ALL SELECT series_id, window_start, 'Uniform DCA', {r('up', 4)} FROM spd""")
     q["excess_histogram"] = statement([*base, """lim AS (SELECT series_id, min(dp - up) AS x0, max(dp - up) AS x1, avg(dp - up) AS mean FROM spd GROUP BY 1)""",
@@ -466,6 +508,47 @@ UNION ALL SELECT date, 'absent' AS kind FROM (SELECT * FROM a EXCEPT SELECT * FR
   {r('dyn', 4, 'dynamic_sats_per_dollar')}, {r('uni', 4, 'uniform_sats_per_dollar')},
   {r('lo', 4, 'min_sats_per_dollar')}, {r('hi', 4, 'max_sats_per_dollar')} FROM spd""")
 
+    def text(x: str) -> str:
+        return f"coalesce(CAST(CAST(round({x}, 4) AS DECIMAL(20, 4)) AS VARCHAR), 'null')"
+
+    def members(pairs: list[tuple[str, str]]) -> str:
+        return " || ',' || ".join(f"""'"{name}":' || {value}""" for name, value in pairs)
+
+    scored = [("score", text("0.5 * win_rate + 0.5 * ed")), ("win_rate", text("win_rate")), ("exp_decay_percentile", text("ed")),
+              ("mean_excess", text("me")), ("median_excess", text("mde")), ("relative_improvement_pct_mean", text("mr")),
+              ("relative_improvement_pct_median", text("mdr")), ("mean_ratio", text("ra")), ("median_ratio", text("mdra")),
+              ("total_windows", "n"), ("wins", "wins"), ("losses", "(n - wins)")]
+    entry = [("window", """'"' || window_label || '"'"""), ("start_date", """'"' || strftime(window_start, '%Y-%m-%dT00:00:00') || '"'"""),
+             ("dynamic_percentile", text("dp")), ("uniform_percentile", text("up")), ("excess_percentile", text("dp - up")),
+             ("dynamic_sats_per_dollar", text("dyn")), ("uniform_sats_per_dollar", text("uni")),
+             ("min_sats_per_dollar", text("lo")), ("max_sats_per_dollar", text("hi"))]
+    q["report_documents"] = statement([*base, DECAY, SCORES, """chunked AS (SELECT *,
+  strftime(DATE '1970-01-01' + CAST(floor(datediff('day', DATE '1970-01-01', window_start) / 256.0) * 256 AS INTEGER), '%Y-%m-%d') AS chunk FROM spd)"""],
+        f"""SELECT s.series_id, 'header' AS chunk, '{{"series_id":"' || s.series_id || '","chunk":"header","summary_metrics":{{' || {members(scored)}
+    || '}},"windows":' || n || ',"chunks":' || (SELECT count(DISTINCT chunk) FROM chunked c WHERE c.series_id = s.series_id) || '}}' AS document FROM scores s
+  UNION ALL SELECT series_id, chunk, '{{"series_id":"' || series_id || '","chunk":"' || chunk || '","window_level_data":[' ||
+    string_agg('{{' || {members(entry)} || '}}', ',' ORDER BY window_start) || ']}}' FROM chunked GROUP BY 1, 2""")
+
+    sources = {"spd": "backtest_spd", "metrics": "score_metrics", "checks": "submission_check", "performance": "performance_long", "windows": "window_report"}
+    numbers = {
+        "spd": ["min_sats_per_dollar", "max_sats_per_dollar", "uniform_sats_per_dollar", "dynamic_sats_per_dollar",
+                "uniform_percentile", "dynamic_percentile", "excess_percentile"],
+        "metrics": ["score", "win_rate", "exp_decay_percentile", "mean_excess", "median_excess", "relative_improvement_pct_mean",
+                    "relative_improvement_pct_median", "mean_ratio", "median_ratio", "total_windows", "wins", "losses"],
+        "spd_summary": [f"{a}_{b}" for a in ("spd", "percentile") for b in ("min", "max", "mean", "median")],
+        "checks": ["detail"],
+        "performance": ["spd_percentile"],
+        "excess_histogram": ["bin_start", "bin_end", "windows", "mean_excess"],
+        "win_loss": ["windows", "percentage"],
+        "cumulative_excess": ["cumulative_excess"],
+        "windows": ["dynamic_percentile", "uniform_percentile", "excess_percentile", "dynamic_sats_per_dollar",
+                    "uniform_sats_per_dollar", "min_sats_per_dollar", "max_sats_per_dollar"],
+    }
+    q["full_analysis"] = " UNION ALL ".join(
+        f"""SELECT '{name}' AS name, series_id, concat_ws('|', '', {", ".join(f'CAST("{k}" AS VARCHAR)' for k in keys) or "NULL"})[2:] AS key,
+  unnest([{", ".join(f"'{c}'" for c in numbers[name])}]) AS field, unnest([{", ".join(f"CAST({c} AS DOUBLE)" for c in numbers[name])}]) AS value
+  FROM ({q[sources.get(name, name)]}) t""" for name, (keys, _) in ANALYSIS_TABLES.items())
+
     def changed(expression: str) -> str:
         return f"changed AS (SELECT series_id, date, {expression} AS price FROM daily d)"
 
@@ -507,6 +590,20 @@ UNION ALL SELECT date, 'absent' AS kind FROM (SELECT * FROM a EXCEPT SELECT * FR
   UNION ALL SELECT 'mean_volume', {r('avg(o_totalprice)', 2)} FROM orders
   UNION ALL SELECT 'odds_records', CAST(count(*) AS DOUBLE) FROM events
   UNION ALL SELECT 'total_trades', CAST(count(*) AS DOUBLE) FROM lineitem JOIN orders ON o_orderkey = l_orderkey"""
+    stats = " UNION ALL ".join(
+        f"""SELECT 'describe' AS part, metric AS name, unnest(['count', 'null_count', 'mean', 'std', 'min', 'max', 'p25', 'p50', 'p75']) AS field,
+  unnest([CAST("count" AS DOUBLE), null_count, mean, std, min, max, p25, p50, p75]) AS value FROM ({line_stats(c)}) t""" for c in LINE_METRICS)
+    pairs = " UNION ALL ".join(
+        f"SELECT 'correlation', '{a}', '{b}', {r(f'corr({a}, {b})', 4)} FROM lineitem" for a in LINE_METRICS for b in LINE_METRICS)
+    q["eda_report"] = f"""{stats} UNION ALL {pairs}
+  UNION ALL SELECT 'totals', 'all', unnest(['total_markets', 'active_markets', 'closed_markets', 'total_volume', 'mean_volume']),
+    unnest([CAST(count(*) AS DOUBLE), count(CASE WHEN p_size > 25 THEN 1 END), count(CASE WHEN p_size <= 25 THEN 1 END),
+    {r('sum(p_retailprice)', 4)}, {r('avg(p_retailprice)', 4)}]) FROM part
+  UNION ALL SELECT 'totals', 'all', 'odds_records', CAST(count(*) AS DOUBLE) FROM events
+  UNION ALL SELECT 'totals', 'all', 'total_trades', CAST(sum(o_custkey % 10) AS DOUBLE) FROM orders
+  UNION ALL SELECT 'top_categories', category, 'volume', {r('volume', 4)} FROM (
+    SELECT CASE WHEN p_brand <> 'Brand#1' THEN p_brand END AS category, sum(p_retailprice) AS volume FROM part GROUP BY 1
+    ORDER BY volume DESC, category NULLS LAST LIMIT 10) t"""
     q["top_categories"] = f"""SELECT category, {r('volume', 2, 'volume')} FROM (
   SELECT CASE WHEN p_brand <> 'Brand#1' THEN p_brand END AS category, sum(p_retailprice) AS volume FROM part GROUP BY 1
   ORDER BY volume DESC, category NULLS LAST LIMIT 10) t"""
@@ -523,6 +620,42 @@ UNION ALL SELECT date, 'absent' AS kind FROM (SELECT * FROM a EXCEPT SELECT * FR
   FROM lineitem l LEFT JOIN (SELECT l_orderkey AS k, l_linenumber AS n, min(l_returnflag) AS outcome FROM lineitem GROUP BY 1, 2) t
     ON t.k = l.l_orderkey AND t.n = l.l_linenumber
   LEFT JOIN orders ON o_orderkey = l.l_orderkey GROUP BY 1, 2, 3"""
+    odds = """odds AS (SELECT event_id + 6000 AS market_id, user_id % 9 AS token_id, ts, CASE WHEN event_type <> 'error' THEN value END AS price FROM events),
+tokens AS (SELECT l_orderkey AS market_id, l_linenumber AS token_id, min(l_returnflag) AS outcome FROM lineitem GROUP BY 1, 2),
+markets AS (SELECT o_orderkey AS market_id, o_orderpriority AS question,
+  CASE WHEN o_orderpriority <> '5-LOW' THEN 'customer-' || o_custkey END AS event_slug, o_totalprice AS volume FROM orders),
+event_stats AS (SELECT 'customer-' || c_custkey AS event_slug, CAST(c_nationkey AS BIGINT) AS market_count, c_acctbal AS total_volume
+  FROM customer, range(2) t(k) WHERE c_mktsegment <> 'MACHINERY' AND (k = 0 OR c_mktsegment = 'HOUSEHOLD'))"""
+    q["odds_links"] = statement([odds], """SELECT o.market_id, o.token_id, count(*) AS records, min(ts) AS first_time, max(ts) AS last_time,
+  min(price) AS low, max(price) AS high, arg_max(price, ts) AS last_odds, any_value(outcome) AS outcome, any_value(question) AS question,
+  any_value(event_slug) AS event_slug
+  FROM odds o LEFT JOIN tokens t ON t.market_id = o.market_id AND t.token_id = o.token_id LEFT JOIN markets m ON m.market_id = o.market_id
+  GROUP BY 1, 2""")
+    q["event_links"] = statement([odds], f"""SELECT coalesce(s.event_slug, m.event_slug) AS event_slug, s.market_count AS stated_markets,
+  {r('s.total_volume', 2, 'stated_volume')}, s.event_slug IS NOT NULL AS known, coalesce(m.n, 0) AS markets, {r('coalesce(m.v, 0)', 2, 'volume')},
+  coalesce(s.market_count = m.n AND abs(s.total_volume - m.v) < 0.005, false) AS agrees
+  FROM event_stats s FULL JOIN (SELECT event_slug, count(*) AS n, sum(volume) AS v FROM markets WHERE event_slug IS NOT NULL GROUP BY 1) m
+    ON m.event_slug = s.event_slug""")
+
+    def audited(name: str, child: str, parent: str, key: str) -> str:
+        same = " AND ".join(f"p.{k} = c.{k}" for k in key.split(", "))
+        null = " OR ".join(f"{k} IS NULL" for k in key.split(", "))
+        has = f"EXISTS (SELECT 1 FROM {parent} p WHERE {same})"
+        keys = f"(SELECT {key}, count(*) AS n FROM {parent} WHERE NOT ({null}) GROUP BY ALL)"
+        return f"""SELECT '{name}' AS link, (SELECT count(*) FROM {child}) AS child_rows, (SELECT count(*) FROM {child} WHERE {null}) AS keyless_rows,
+  (SELECT count(*) FROM {child} c WHERE NOT ({null}) AND NOT {has}) AS orphan_rows,
+  (SELECT count(*) FROM (SELECT DISTINCT {key} FROM {child} c WHERE NOT ({null}) AND NOT {has}) t) AS orphan_keys,
+  (SELECT count(*) FROM {keys} t) AS parent_keys, (SELECT count(*) FROM {keys} t WHERE n > 1) AS duplicate_keys,
+  (SELECT count(*) FROM {keys} c WHERE NOT EXISTS (SELECT 1 FROM {child} p WHERE {same})) AS childless_keys"""
+
+    more = """trades AS (SELECT l_orderkey AS market_id, l_linenumber AS token_id FROM lineitem),
+summary AS (SELECT o_orderkey * 2 AS market_id FROM orders)"""
+    q["link_audit"] = statement([odds, more], " UNION ALL ".join([
+        audited("tokens->markets", "tokens", "markets", "market_id"),
+        audited("trades->tokens", "trades", "tokens", "market_id, token_id"),
+        audited("odds_history->tokens", "odds", "tokens", "market_id, token_id"),
+        audited("summary->markets", "summary", "markets", "market_id"),
+        audited("markets->event_stats", "markets", "event_stats", "event_slug")]))
     q["completeness"] = " UNION ALL ".join(
         f"""SELECT '{c}' AS column_name, count(*) AS row_count, count(*) - count({c}) AS null_count,
   (count(*) - count({c})) / CAST(count(*) AS DOUBLE) AS null_share FROM lineitem"""

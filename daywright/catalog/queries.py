@@ -15,19 +15,24 @@ from pyspark.sql import types as T
 
 from daywright.catalog import standins as S
 from daywright.functions import signals
+from daywright.functions.labels import window_label_start
 from daywright.operators import calendar as C
-from daywright.operators import charts, cleaning, locked, metrics, profile, scenarios, spd
+from daywright.operators import charts, cleaning, ingest, links, locked, metrics, profile, scenarios, spd
 from daywright.operators import rolling as R
 from daywright.operators import windows as W
 from daywright.operators.sentiment import activity_sentiment, daily_activity
 from daywright.plans import backtest as B
 from daywright.plans import features as feat
+from daywright.plans.eda import eda_table
+from daywright.settings import scratch_path
+from daywright.sources import report
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
+MISSING_SINCE = "1996-01-01"
 PROBE_DAY = "1999-03-01"
-LOCK_DAY, NEXT_LOCK_DAY = "2000-01-31", "2000-03-31"
+LOCK_DAY, DAY_AFTER_LOCK, NEXT_LOCK_DAY = "2000-01-31", "2000-02-01", "2000-03-31"
 MIDWAY_DAY = "1999-06-30"
 
 
@@ -71,11 +76,11 @@ SPD_COLUMNS = (
 
 
 def _spd(spark: SparkSession, d: str) -> DataFrame:
-    return B.backtest(S.daily(spark, d), S.windows(), S.baseline())
+    return B.backtest(S.daily(spark, d), S.windows(spark, d), S.baseline())
 
 
 def _spd_extended(spark: SparkSession, d: str) -> DataFrame:
-    return B.backtest(S.daily_mvrv(spark, d), S.windows(), S.extended(spark, d))
+    return B.backtest(S.daily_mvrv(spark, d), S.windows(spark, d), S.extended(spark, d))
 
 
 def _extended(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +92,7 @@ def _extended(spark: SparkSession, d: str) -> DataFrame:
 def _weights_on(spark: SparkSession, d: str, day: str, stored: DataFrame | None = None) -> DataFrame:
     days = S.daily_all(spark, d)
     return B.window_weights(
-        feat.baseline_features(days, since=None), S.windows(), S.baseline(), day, stored
+        feat.baseline_features(days, since=None), S.windows(spark, d), S.baseline(), day, stored
     )
 
 
@@ -107,7 +112,7 @@ def missing_prices(spark, d):
         cleaning.to_day(F.col("o_orderdate")).alias("date"),
         F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("price"),
     )
-    return cleaning.missing_prices(days, S.RANGE_START)
+    return cleaning.missing_prices(days, MISSING_SINCE)
 
 
 @query
@@ -128,6 +133,17 @@ def audit_timestamps(spark, d):
     )
 
 
+@query
+def parse_text_timestamps(spark, d):
+    return cleaning.parse_text_timestamps(S.text_orders(spark, d)).select("o_orderkey", "created_at")
+
+
+@query
+def ingest_rejects(spark, d):
+    kinds = {"created_at": "time", "price": "double", "customer": "long"}
+    return ingest.reject_counts(ingest.typed(S.text_orders(spark, d), kinds), list(kinds))
+
+
 @query
 def probe_dates(spark, d):
     return cleaning.probe_dates(S.daily(spark, d))
@@ -150,6 +166,14 @@ def windows(spark, d):
     return made.withColumn("days", W.window_days(F.col("window_start"), F.col("window_end")).cast("long"))
 
 
+@query
+def label_dates(spark, d):
+    """Starts read back from the labels of a series' windows."""
+    spans = S.daily(spark, d).groupBy("series_id").agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    made = W.windows_in_span(spans, "first", "last")
+    return made.select("series_id", "window", window_label_start(F.col("window")).alias("start"))
+
+
 @query
 def ranges_by_start(spark, d):
     """Every start has two ends: one year and half a year later."""
@@ -216,6 +240,14 @@ def ema(spark, d):
     return rounded(out.select("series_id", "date", "ema_30", "ema_14"), 4)
 
 
+@query
+def ema_gaps(spark, d):
+    """Means over the calendar: the days without an order are missing values."""
+    days = C.fill_gaps(S.daily(spark, d), {}).select("series_id", "date", "price")
+    out = R.with_ema(R.with_ema(days, "price", "ema_30", 30), "price", "ema_3", 3)
+    return rounded(out.select("series_id", "date", "ema_30", "ema_3"), 4)
+
+
 @query
 def pct_rank(spark, d):
     ranked = R.with_percent_rank(S.daily(spark, d), "price", "rank_360", 360, 90)
@@ -250,6 +282,16 @@ def features_extended(spark, d):
     return features_rounded(_extended(spark, d).drop("observed_price"))
 
 
+@query
+def neutral_features(spark, d):
+    """The extended model without its optional inputs, a ratio and market tables, and the multiplier it then gives."""
+    out = feat.extended_features(S.daily(spark, d), since=None)
+    scored = feat.with_extended_multiplier(out).drop("observed_price")
+    fewer = feat.with_extended_multiplier(out.select("series_id", "date", "price_vs_ma", "mvrv_zscore", "mvrv_gradient"))
+    both = scored.join(fewer.select("series_id", "date", F.col("multiplier").alias("multiplier_fewer")), ["series_id", "date"])
+    return features_rounded(both)
+
+
 @query
 def multiplier_extended(spark, d):
     out = feat.with_extended_multiplier(_extended(spark, d))
@@ -291,20 +333,20 @@ def softmax(spark, d):
 @query
 def alloc_weights(spark, d):
     features = feat.baseline_features(S.daily_all(spark, d), since=None)
-    out = B.backtest_weights(features, S.windows(), S.baseline())
+    out = B.backtest_weights(features, S.windows(spark, d), S.baseline())
     return rounded(out.select("series_id", "window_start", "date", "weight"), 9)
 
 
 @query
 def weight_summary(spark, d):
     features = feat.baseline_features(S.daily(spark, d), since=None)
-    return rounded(spd.weight_summary(B.backtest_weights(features, S.windows(), S.baseline())), 8)
+    return rounded(spd.weight_summary(B.backtest_weights(features, S.windows(spark, d), S.baseline())), 8)
 
 
 @query
 def check_weights(spark, d):
     features = feat.baseline_features(S.daily(spark, d), since=None)
-    return rounded(spd.weight_checks(B.backtest_weights(features, S.windows(), S.baseline())), 7)
+    return rounded(spd.weight_checks(B.backtest_weights(features, S.windows(spark, d), S.baseline())), 7)
 
 
 @query
@@ -336,7 +378,16 @@ def locked_update(spark, d):
     """Days decided between two dates, given the weights stored on the first."""
     stored = locked.to_locked(_weights_on(spark, d, LOCK_DAY), LOCK_DAY)
     later = _weights_on(spark, d, NEXT_LOCK_DAY, stored)
-    return rounded(locked.new_locked(later, stored, NEXT_LOCK_DAY), 9)
+    return rounded(locked.new_locked(later, NEXT_LOCK_DAY), 9)
+
+
+@query
+def locked_rerun(spark, d):
+    """The lock job run a second time on its day, which adds nothing, and on the day after: a row for each open window."""
+    stored = locked.to_locked(_weights_on(spark, d, LOCK_DAY), LOCK_DAY)
+    again = locked.new_locked(_weights_on(spark, d, LOCK_DAY, stored), LOCK_DAY).withColumn("run", F.lit("again"))
+    after = locked.new_locked(_weights_on(spark, d, DAY_AFTER_LOCK, stored), DAY_AFTER_LOCK).withColumn("run", F.lit("day after"))
+    return rounded(again.unionByName(after), 9)
 
 
 @query
@@ -354,7 +405,7 @@ def strategy_udf(spark, d):
         return raw / raw.sum()
 
     features = feat.baseline_features(S.daily(spark, d), since=None)
-    out = B.backtest_python(features, S.windows(), S.baseline(), weigh)
+    out = B.backtest_python(features, S.windows(spark, d), S.baseline(), weigh)
     return rounded(out.select(*SPD_COLUMNS), 4)
 
 
@@ -403,11 +454,19 @@ def leakage_check(spark, d):
 
 @query
 def submission_check(spark, d):
-    """Checks and failures by kind."""
-    checks = B.submission_check(S.daily(spark, d), S.windows(), S.baseline())
-    return checks.groupBy("series_id", "check").agg(
-        F.count(F.lit(1)).alias("checked"), F.count_if(~F.col("passed")).alias("failed")
-    )
+    return rounded(B.submission_check(S.daily(spark, d), S.windows(spark, d), S.baseline()), 6)
+
+
+@query
+def strategy_udf_check(spark, d):
+    """The submission check of a user function; it divides by a sum that includes later days, which is found."""
+
+    def weigh(window: pd.DataFrame) -> pd.Series:
+        raw = np.exp(-2 * window["price_vs_ma"])
+        return raw / raw.sum()
+
+    out = B.submission_check(S.daily_all(spark, d), S.windows(spark, d), S.baseline(), weigh=weigh)
+    return rounded(out, 8)
 
 
 @query
@@ -435,13 +494,57 @@ def window_report(spark, d):
     return rounded(charts.window_report(_spd(spark, d)), 4)
 
 
+@query
+def report_documents(spark, d):
+    """The JSON report, numbers to four places, without the time it was made at."""
+    results = _spd(spark, d)
+
+    def fixed(table: DataFrame) -> DataFrame:
+        doubles = [f.name for f in table.schema.fields if isinstance(f.dataType, T.DoubleType)]
+        return table.withColumns({c: F.round(c, 4).cast("decimal(20,4)") for c in doubles})
+
+    documents = report.report_documents(fixed(charts.window_report(results)), fixed(metrics.score_metrics(results)))
+    return documents.withColumn("document", F.regexp_replace("document", '"timestamp":"[^"]*",', ""))
+
+
+# Tables of the full analysis in one: key columns, and the places that numbers are rounded to.
+ANALYSIS_TABLES = {
+    "spd": (("window",), 4),
+    "metrics": ((), 4),
+    "spd_summary": ((), 4),
+    "checks": (("check", "key"), 6),
+    "performance": (("date", "strategy"), 4),
+    "excess_histogram": (("bin",), 4),
+    "win_loss": (("outcome",), 6),
+    "cumulative_excess": (("date",), 3),
+    "windows": (("window",), 4),
+}
+
+
+@query
+def full_analysis(spark, d):
+    """Every table that the full analysis writes, read back, as (name, series, key, field, value)."""
+    folder = scratch_path(spark, "full-analysis")
+    tables = B.run_full_analysis(S.daily(spark, d), S.windows(spark, d), S.baseline(), folder)
+    tables["spd"] = tables["spd"].select(*SPD_COLUMNS)
+    out = None
+    for name, (keys, digits) in ANALYSIS_TABLES.items():
+        table = tables[name]
+        numbers = [f.name for f in table.schema.fields if f.name not in keys and isinstance(f.dataType, T.NumericType)]
+        fields = [F.struct(F.lit(c).alias("field"), F.round(F.col(c).cast("double"), digits).alias("value")) for c in numbers]
+        key = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+        rows = table.select(F.lit(name).alias("name"), "series_id", key.alias("key"), F.inline(F.array(*fields)))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 # --- scenarios ---------------------------------------------------------------------------
 
 
 @query
 def scenario_spike(spark, d):
     days = scenarios.spike(S.daily(spark, d), PROBE_DAY)
-    return rounded(B.backtest(days, S.windows(), S.baseline()).select(*SPD_COLUMNS), 4)
+    return rounded(B.backtest(days, S.windows(spark, d), S.baseline()).select(*SPD_COLUMNS), 4)
 
 
 @query
@@ -452,7 +555,7 @@ def scenario_crash(spark, d):
 @query
 def scenario_constant(spark, d):
     days = scenarios.constant_price(S.daily(spark, d))
-    return rounded(B.backtest(days, S.windows(), S.baseline()).select(*SPD_COLUMNS), 4)
+    return rounded(B.backtest(days, S.windows(spark, d), S.baseline()).select(*SPD_COLUMNS), 4)
 
 
 @query
@@ -529,11 +632,41 @@ def market_links(spark, d):
     return rounded(out, 2)
 
 
+@query
+def eda_report(spark, d):
+    """The exploratory report over line items as the daily table, parts as markets, events as odds and orders as summary."""
+    parts = S.table(spark, d, "part").select(
+        F.when(F.col("p_brand") != "Brand#1", F.col("p_brand")).alias("category"),
+        F.col("p_retailprice").alias("volume"),
+        (F.col("p_size") > 25).alias("active"),
+    )
+    summary = S.table(spark, d, "orders").select((F.col("o_custkey") % 10).alias("trade_count"))
+    tables = {"markets": parts, "odds_history": S.table(spark, d, "events"), "summary": summary}
+    return rounded(eda_table(S.table(spark, d, "lineitem"), tables, LINE_METRICS, LINE_METRICS), 4)
+
+
+@query
+def odds_links(spark, d):
+    """Odds by question, outcome and event over the linked tables."""
+    t = S.market_tables(spark, d)
+    return links.link_odds(t["odds_history"], t["tokens"], t["markets"])
+
+
+@query
+def event_links(spark, d):
+    t = S.market_tables(spark, d)
+    return rounded(links.link_events(t["event_stats"], t["markets"]), 2)
+
+
+@query
+def link_audit(spark, d):
+    return links.link_audit(S.market_tables(spark, d))
+
+
 @query
 def profile_orders(spark, d):
     """Profile with exact distinct counts."""
-    orders = S.table(spark, d, "orders")
-    return profile.column_profile(orders).drop("distinct_estimate").join(profile.distinct_counts(orders), "column_name")
+    return profile.column_profile(S.table(spark, d, "orders"), exact=True)
 
 
 @query

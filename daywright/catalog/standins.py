@@ -16,7 +16,6 @@ from daywright.operators.cleaning import to_day
 from daywright.operators.windows import RollingWindows
 from daywright.plans.strategy import Strategy, baseline_strategy, extended_strategy
 
-RANGE_START, RANGE_END = "1996-01-01", "2001-07-31"
 ACTIVITY_PATTERN = "urgent|high"
 
 
@@ -110,8 +109,67 @@ def small_unit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def windows() -> RollingWindows:
-    return RollingWindows(RANGE_START, RANGE_END)
+def windows(spark: SparkSession, sf_dir: str) -> RollingWindows:
+    """A window on every day of the orders' whole span, read from the table."""
+    first, last = table(spark, sf_dir, "orders").agg(
+        F.to_date(F.min("o_orderdate")), F.to_date(F.max("o_orderdate"))
+    ).first()
+    return RollingWindows(first.isoformat(), last.isoformat())
+
+
+def odds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as odds; some belong to no market, some to no token, errors have no price."""
+    return table(spark, sf_dir, "events").select(
+        (F.col("event_id") + F.lit(6000)).alias("market_id"),
+        (F.col("user_id") % 9).alias("token_id"),
+        F.col("ts").cast("timestamp_ntz").alias("timestamp"),
+        F.when(F.col("event_type") != "error", F.col("value")).alias("price"),
+    )
+
+
+def event_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What customers say of their orders; those of one segment say nothing, those of another twice."""
+    stats = table(spark, sf_dir, "customer").where("c_mktsegment <> 'MACHINERY'")
+    twice = F.when(F.col("c_mktsegment") == "HOUSEHOLD", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return stats.withColumn("_n", F.explode(twice)).select(
+        F.concat(F.lit("customer-"), "c_custkey").alias("event_slug"),
+        F.col("c_nationkey").cast("long").alias("market_count"),
+        F.col("c_acctbal").alias("total_volume"),
+    )
+
+
+def market_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The linked tables; a market of low priority names no event."""
+    orders = table(spark, sf_dir, "orders")
+    slug = F.when(F.col("question") != "5-LOW", F.col("event_slug"))
+    return {
+        "markets": markets(spark, sf_dir).withColumn("event_slug", slug),
+        "tokens": tokens(spark, sf_dir),
+        "trades": trades(spark, sf_dir),
+        "odds_history": odds(spark, sf_dir),
+        "event_stats": event_stats(spark, sf_dir),
+        "summary": orders.select((F.col("o_orderkey") * 2).alias("market_id")),
+    }
+
+
+def text_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as text: times in six layouts, some of them none, some prices no numbers."""
+    kind = F.col("o_orderkey") % 8
+    at = F.col("o_orderdate")
+    time = (
+        F.when(kind == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"))
+        .when(kind == 1, F.date_format(at, "dd.MM.yyyy HH:mm"))
+        .when(kind == 2, F.date_format(at, " MM/dd/yyyy"))
+        .when(kind == 3, F.date_format(at, "yyyy/MM/dd HH:mm:ss"))
+        .when(kind == 4, (F.unix_date(F.to_date(at)).cast("long") * 86400).cast("string"))
+        .when(kind == 5, (F.unix_date(F.to_date(at)).cast("long") * 86400000).cast("string"))
+        .when(kind == 6, F.concat(F.lit("soon-"), F.col("o_orderkey")))
+        .otherwise(F.lit("N/A"))
+    )
+    price = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("about "), F.col("o_custkey"))).otherwise(F.col("o_totalprice").cast("string"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", time.alias("created_at"), price.alias("price"), F.col("o_custkey").cast("string").alias("customer")
+    )
 
 
 def baseline() -> Strategy:

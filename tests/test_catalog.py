@@ -8,8 +8,6 @@ from tests.conftest import SF_SMALL
 from tools.compare import connect, differences
 
 SQL = entry.oracle_sql()
-# Covered by the same code on other entries; their results are large or slow to collect.
-HEAVY = {"alloc_weights", "window_weights_midway", "score_metrics_extended"}
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +15,7 @@ def duck():
     return connect(SF_SMALL)
 
 
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n in SQL and n not in HEAVY])
+@pytest.mark.parametrize("name", [n for n in entry.queries() if n in SQL])
 def test_query_matches_sql(spark, duck, name):
     mine = entry.queries()[name](spark, SF_SMALL).toPandas()
     assert differences(mine, duck.sql(SQL[name]).df()) == ""
