@@ -340,10 +340,10 @@ def oracle_sql() -> dict[str, str]:
     q["reindex_activity"] = statement([daily], f"""SELECT d.series_id, d.date, {r('coalesce(a.volume, 0)', 2, 'volume')}
   FROM daily d LEFT JOIN (SELECT CAST(o_orderdate AS DATE) AS date, sum(o_totalprice) AS volume
     FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) a ON a.date = d.date""")
-    q["date_sets"] = """WITH a AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderpriority = '1-URGENT'),
-b AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderpriority = '5-LOW')
-SELECT date, 'common' AS kind FROM (SELECT * FROM a INTERSECT SELECT * FROM b) x
-UNION ALL SELECT date, 'absent' AS kind FROM (SELECT * FROM a EXCEPT SELECT * FROM b) y"""
+    q["date_sets"] = """WITH a AS (SELECT DISTINCT CAST(left(o_orderpriority, 1) AS INTEGER) AS pair, CAST(o_orderdate AS DATE) AS date FROM orders),
+b AS (SELECT CASE WHEN pair = 1 THEN 5 ELSE pair - 1 END AS pair, date FROM a)
+SELECT pair, date, 'common' AS kind FROM (SELECT * FROM a INTERSECT SELECT * FROM b) x
+UNION ALL SELECT pair, date, 'absent' AS kind FROM (SELECT * FROM a EXCEPT SELECT * FROM b) y"""
 
     feature_select = f"SELECT series_id, date, price, {r(LOG_MA, 8, 'log_price_ma')}, {r('price_vs_ma', 7, 'price_vs_ma')}"
     q["features_baseline"] = statement([daily, feat], f"{feature_select}, {r(BASE_MULTIPLIER, 7, 'multiplier')} FROM feat")

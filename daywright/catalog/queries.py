@@ -205,13 +205,14 @@ def reindex_activity(spark, d):
 
 @query
 def date_sets(spark, d):
-    """Dates of the urgent series that the low series shares or lacks."""
+    """Dates of each series that the next one, in the order of priorities, shares or lacks."""
+    number = F.substring("series_id", 1, 1).cast("int")
     days = S.daily(spark, d)
-    a = days.where(F.col("series_id") == "1-URGENT")
-    b = days.where(F.col("series_id") == "5-LOW")
+    a = days.select(number.alias("pair"), "date")
+    b = days.select(((number + 3) % 5 + 1).alias("pair"), "date")
     return C.union_rows(
-        C.common_dates(a, b, ["date"]).withColumn("kind", F.lit("common")),
-        C.absent_dates(a, b, ["date"]).withColumn("kind", F.lit("absent")),
+        C.common_dates(a, b, ["pair", "date"]).withColumn("kind", F.lit("common")),
+        C.absent_dates(a, b, ["pair", "date"]).withColumn("kind", F.lit("absent")),
     )
 
 

@@ -47,17 +47,19 @@ def new_locked(
     return fresh if stored is None else fresh.join(stored.select(*LOCK_KEYS), list(LOCK_KEYS), "left_anti")
 
 
-def packed(stored: DataFrame, id_column: str = DEFAULT_KEYS[0], block_days: int = WINDOW_BLOCK_DAYS) -> DataFrame:
+def packed(
+    stored: DataFrame, id_column: str = DEFAULT_KEYS[0], rolling: bool = True, block_days: int = WINDOW_BLOCK_DAYS
+) -> DataFrame:
     """Stored weights as one row a series, block of windows and day: a map from the window's number to its weight.
 
-    A block has ``block_days`` starts, which bounds the map. Rows stored twice alike are one; two weights
+    The size of a block bounds the map; blocks are those of a rolling range or of a table of windows. Rows stored twice alike are one; two weights
     for one key fail the job.
     """
     start, end = F.col("start_date"), F.col("end_date")
     entry = F.struct(window_number(start, end).alias("window"), F.col("weight").alias("weight"))
     return (
         stored.where(F.col("weight").isNotNull())
-        .groupBy(F.col("id").alias(id_column), window_block(start, block_days).alias(BLOCK), F.col("DCA_date").alias("date"))
+        .groupBy(F.col("id").alias(id_column), window_block(start, None if rolling else end, block_days).alias(BLOCK), F.col("DCA_date").alias("date"))
         .agg(F.map_from_entries(F.collect_set(entry)).alias("known"))
     )
 

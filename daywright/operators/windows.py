@@ -93,9 +93,14 @@ def window_number(start: Column, end: Column) -> Column:
     return F.unix_date(start).cast("long") * WINDOW_SPAN + F.datediff(end, start)
 
 
-def window_block(start: Column, block_days: int = WINDOW_BLOCK_DAYS) -> Column:
-    """The block of starts that a window is expanded in."""
-    return F.floor(F.unix_date(start) / block_days)
+def window_block(start: Column, end: Column | None = None, block_days: int = WINDOW_BLOCK_DAYS) -> Column:
+    """The block that a window is expanded in: by its start, and in a table of windows by its length too.
+
+    So a block of a table has at most ``block_days`` starts of ``block_days`` lengths, however many ends a
+    start has.
+    """
+    block = F.floor(F.unix_date(start) / block_days)
+    return block if end is None else block * WINDOW_SPAN + F.floor(F.datediff(end, start) / block_days)
 
 
 def expand_windows(
@@ -171,7 +176,7 @@ def _expand_table(days: DataFrame, windows: DataFrame, block_days: int, place) -
     number = window_number(F.col("window_start"), F.col("window_end"))
     blocks = (
         windows.where(F.col("window_start") <= F.col("window_end"))
-        .groupBy(window_block(F.col("window_start"), block_days).alias(BLOCK))
+        .groupBy(window_block(F.col("window_start"), F.col("window_end"), block_days).alias(BLOCK))
         .agg(F.min("window_start").alias("_a"), F.max("window_end").alias("_b"), F.collect_set(number).alias("_windows"))
     )
     block_dates = blocks.select(BLOCK, "_windows", F.explode(F.sequence("_a", "_b", F.expr("interval 1 day"))).alias("date"))

@@ -120,7 +120,7 @@ def window_weights(
     has ``locked_weight``, what the store holds for each row.
     """
     days = multiplier_days(features, strategy, keys, span=window_span(windows))
-    known = None if stored is None else locked.packed(stored, keys[0])
+    known = None if stored is None else locked.packed(stored, keys[0], isinstance(windows, RollingWindows))
     expanded = expand_windows(days, windows, keys, known=known)
     if known is not None:
         expanded = expanded.withColumnRenamed("known", locked.LOCKED)

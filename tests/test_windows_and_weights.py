@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 from datetime import date
 
 import numpy as np
@@ -13,7 +16,7 @@ from daywright.operators.windows import RollingWindows, ends_by_start, expand_wi
 from daywright.plans import backtest as B
 from daywright.plans import features as feat
 from daywright.plans.strategy import baseline_strategy, extended_strategy
-from tests.conftest import as_daily, sequential_weights
+from tests.conftest import SF_SMALL, as_daily, sequential_weights
 
 W0, W1 = date(2022, 1, 1), date(2022, 12, 31)
 
@@ -243,6 +246,33 @@ def test_two_weights_for_one_key_stop_the_job(spark):
     assert locked.packed(twice.limit(1).unionByName(twice.limit(1))).count() == 1
 
 
+def test_many_ends_of_a_start_are_cut_into_blocks(spark, daily):
+    ends = [date(2022, 1, 10 + k) for k in range(20)] + [date(2022, 12, 1)]
+    windows = explicit_windows(spark, [(date(2022, 1, 1 + k), e) for k in range(5) for e in ends])
+    days = B.multiplier_days(feat.baseline_features(daily), baseline_strategy())
+    rows = expand_windows(days, windows, block_days=8).select("window_start", "window_end", "date", "block")
+    assert rows.groupBy("block").agg(F.count_distinct("window_start", "window_end").alias("n")).agg(F.max("n")).first()[0] <= 64
+    assert rows.count() == rows.drop("block").distinct().count() == sum((e - date(2022, 1, 1 + k)).days + 1 for k in range(5) for e in ends)
+
+
+USER_FUNCTION = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+print("rows", entry.queries()["strategy_udf"](spark, {data!r}).count())
+"""
+
+
+def test_workers_need_not_have_the_package(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "driver.py"
+    script.write_text(USER_FUNCTION.format(root=root, data=SF_SMALL))
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, capture_output=True, text=True, timeout=300, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert "rows" in done.stdout, done.stderr[-2000:]
+
+
 def test_weight_sum_assertion(spark):
     rows = spark.createDataFrame([("a", 1.0), ("b", 1.1)], "series_id string, weight_sum double")
     with pytest.raises(AssertionError):
