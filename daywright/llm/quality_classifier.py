@@ -1,7 +1,7 @@
 """Quality classifier: n-gram indicators scaled by class log-count ratios under a linear hinge-loss model.
 
-A document's features are the set of its words, the three-character n-grams of its words, and its
-word pairs, a word that repeats the one before being written as a mark of its own; each is hashed to
+A document's features are the set of its words, the three-character n-grams of its words (with marks
+of where a word begins and ends), and its word pairs, a word that repeats the one before being written as a mark of its own; each is hashed to
 one of `BUCKETS`. The log-count ratio of a feature is its smoothed share among documents of label 1
 over that of label 0; a document is the vector of its features' ratios, scaled to length one. The
 support vector machine is fitted by dual coordinate descent on at most `SAMPLE` labelled documents
@@ -11,7 +11,6 @@ probabilities (Platt's sigmoid). The fit is one bounded task; every document is
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -22,47 +21,72 @@ from daywright.llm.common import col, mixed
 #: Labelled documents that the model is fitted on at most.
 SAMPLE = 20_000
 
-BUCKETS, SMOOTHING, COST, PASSES, CHAR_N = 1 << 18, 1.0, 1.0, 12, 3
+BUCKETS, SMOOTHING, COST, PASSES = 1 << 18, 1.0, 1.0, 12
+
+#: Characters of a text hashed at a time.
+PIECE = 1 << 20
 
 #: A document is predicted to be good from this score on.
 PREDICTED = 0.3
 
 
 class Features:
-    """Sets of bucket numbers; the n-grams of a word are worked out once and remembered (up to `most` words)."""
+    """Sets of bucket numbers, in no order. A text is hashed as one array of code points, a piece at a time."""
+
+    def __init__(self):
+        import numpy as np
 
-    def __init__(self, most: int = 200_000):
-        self.most, self.known = most, {}
+        self.last = np.zeros(BUCKETS, np.int32)
 
-    def _word(self, word: str):
+    def _distinct(self, buckets):
+        """Each number once: the place that is its last one. Linear, and nothing to be cleared."""
         import numpy as np
 
-        marked = f"\x02{word}\x03"
-        grams = {"w" + word} | {marked[k : k + CHAR_N] for k in range(len(marked) - CHAR_N + 1)}
-        return np.array([zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams], np.int32)
+        places = np.arange(len(buckets), dtype=np.int32)
+        self.last[buckets] = places
+        return buckets[self.last[buckets] == places]
 
     def of(self, text: str | None):
         import numpy as np
 
-        tokens = (text or "").split()
-        if not tokens:
+        parts, before = [], None
+        for words in _pieces(text or ""):
+            # Every word between a mark of its begin and one of its end.
+            points = np.frombuffer(("\x02" + "\x03\x02".join(words) + "\x03").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+            starts = np.cumsum(sizes) - sizes
+            first, second, third = points[:-2], points[1:-1], points[2:]
+            inside = (first != 3) & (second != 3)  # not from one word into the next
+            grams = mixed((first[inside] << np.uint64(42)) + (second[inside] << np.uint64(21)) + third[inside])
+            place = np.arange(len(points), dtype=np.uint64) - np.repeat(starts.astype(np.uint64), sizes)
+            word = mixed(np.add.reduceat(mixed(points + (place << np.uint64(21))), starts))
+            chain = word if before is None else np.concatenate([before, word])
+            same = chain[1:] == chain[:-1]
+            pairs = mixed(np.where(same, np.uint64(7), chain[:-1]) * np.uint64(3) + np.where(same, np.uint64(7), chain[1:]))
+            before = word[-1:]
+            # Words, grams and pairs differ by where they start from.
+            hashes = np.concatenate([word, grams + np.uint64(1), pairs + np.uint64(2)])
+            parts.append(self._distinct((hashes % np.uint64(BUCKETS)).astype(np.int32)))
+        if not parts:
             return np.empty(0, np.int32)
-        if len(self.known) > self.most:
-            self.known = {}
-        known, parts = self.known, []
-        for w in set(tokens):
-            grams = known.get(w)
-            if grams is None:
-                grams = known[w] = self._word(w)
-            parts.append(grams)
-        first = np.fromiter((known[w][0] for w in tokens), np.uint64, len(tokens))
-        size = np.fromiter(map(len, tokens), np.uint64, len(tokens))
-        word = mixed(first * np.uint64(64) + size)
-        same = np.fromiter((a == b for a, b in zip(tokens, tokens[1:], strict=False)), bool, len(tokens) - 1)
-        after = np.where(same, np.uint64(7), word[1:])
-        before = np.where(same, np.uint64(7), word[:-1])
-        parts.append((mixed(before * np.uint64(3) + after) % np.uint64(BUCKETS)).astype(np.int32))
-        return np.unique(np.concatenate(parts))
+        return parts[0] if len(parts) == 1 else self._distinct(np.concatenate(parts))
+
+
+def _pieces(text: str) -> Iterator[list[str]]:
+    """The words of a text, a piece at a time; pieces are cut at white space."""
+    import re
+
+    gap = re.compile(r"\s")
+    at = 0
+    while at < len(text):
+        end = len(text)
+        if end - at > PIECE:
+            cut = gap.search(text, at + PIECE)
+            end = cut.start() if cut else end
+        words = text[at:end].split()
+        if words:
+            yield words
+        at = end
 
 
 def log_count_ratios(rows: list, good):
@@ -163,11 +187,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.where(fold(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(col("doc_id"), col("text")).join(F.broadcast(known), "doc_id")  # at most `sample` rows are broadcast
-    rows = rows.dropDuplicates(["doc_id"]).select("text", "quality", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(5)).cast("int").alias("part"), F.lit(0).alias("all"))
+    # Of repeated rows of an id the least text is learnt from, a null one before all.
+    rows = rows.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    rows = rows.select("doc_id", "text", "quality", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(5)).cast("int").alias("part"), F.lit(0).alias("all"))
 
     def fitted(pdf):
         import pandas as pd
 
+        pdf = pdf.sort_values("doc_id", ignore_index=True)  # the solver's steps follow the order of the rows
         w, ratio, bias, a, b = fit(pdf["text"].tolist(), (pdf["quality"] > 0).astype(int).tolist(), pdf["part"].tolist())
         return pd.DataFrame({"w": [w.tobytes()], "ratio": [ratio.tobytes()], "bias": [bias], "a": [a], "b": [b]})
 
@@ -182,7 +209,7 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
     """doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted, for every document by its whole text.
 
     Null and empty texts have no feature and the score of the bias alone. Of repeated labels of an id
-    the highest counts; of repeated rows of a labelled id one is learnt from, all are scored. Ids that
+    the highest counts; of repeated rows of a labelled id the least text is learnt from, all are scored. Ids that
     are null are never held out.
     """
     model = train(docs, labels, sample)
@@ -193,12 +220,13 @@ def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame
         import pyarrow as pa
 
         w, ratio, bias, a, b = model
+        weighted, squared = (w.astype(float) * ratio).astype(np.float64), ratio.astype(np.float64) ** 2
         features = Features()
         for batch in batches:
             margins = np.empty(batch.num_rows)
-            for k, text in enumerate(batch.column("text").to_pylist()):
-                at = features.of(text)
-                margins[k] = bias + (float(w[at] @ _scaled(at, ratio)) if len(at) else 0.0)
+            for k, text in enumerate(batch.column("text")):
+                at = features.of(text.as_py())
+                margins[k] = bias + (weighted[at].sum() / max(float(np.sqrt(squared[at].sum())), 1e-9) if len(at) else 0.0)
             p = 1 / (1 + np.exp(-np.clip(a * margins + b, -700, 700)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(p)], ["doc_id", "held_out", "score"])
 
