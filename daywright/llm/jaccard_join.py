@@ -1,9 +1,16 @@
 """Join of documents on the Jaccard similarity of their word shingles by a MinHash LSH forest.
 
 Equal texts (the same words) are one class and take part once. Each class has a MinHash signature
-cut into trees; in a tree, classes whose signatures start alike stand under one trie node. The
-matched prefix starts at the full depth and is shortened until a pair right at the threshold meets
-in some tree with the target probability (`matched_depth`); all more similar pairs meet more often.
+cut into trees. A tree is a trie of its part of the signatures, held as a sorted table: a subtree is a run
+of rows that begin alike, and the prefix that a row shares with its neighbours in the order is the
+longest it shares with any row, so a class that stands alone at a depth is known before anything is
+grouped there.
+
+Classes match whose signatures share a prefix of some depth in a tree. The depth starts at the full
+length and is shortened one value at a time until the recall, measured on verified pairs, reaches the
+target: of pairs of similarity j a share of 1 - (1 - j^depth)^trees is found, so each pair found stands
+for the inverse of that share (Horvitz-Thompson), and found pairs over what they stand for is the
+recall. All pairs of a sample of nodes measure it; the join at the depth so chosen covers all nodes.
 
 A node's classes aren't paired. They name the node's least class as leader, and those that share a
 leader in any tree are compared once, exactly, on their shingle sets, in blocks of bounded size
@@ -27,17 +34,15 @@ TREES, MAX_DEPTH, TARGET_RECALL = 32, 8, 0.9999
 #: Classes of a block; two blocks are compared at a time.
 BLOCK = 256
 
+#: About so many nodes (all, if there are fewer) measure the recall of a depth.
+MEASURED = 20_000
 
-def matched_depth(threshold: float = THRESHOLD, trees: int = TREES, max_depth: int = MAX_DEPTH, target: float = TARGET_RECALL) -> int:
-    """The longest prefix at which a pair at the threshold still meets in some tree with probability `target`."""
-    depth = max_depth
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
-        depth -= 1
-    return depth
+#: Bytes of a MinHash value in a signature. Values that differ but agree in these only add candidates.
+VALUE = 2
 
 
-def prefix_hashes(shingles, trees: int, depth: int):
-    """For each tree a hash of the first `depth` MinHash values of the shingle set."""
+def signatures(shingles, trees: int, depth: int) -> list[bytes]:
+    """For each tree its number and the `depth` MinHash values of the shingle set, as bytes."""
     import numpy as np
 
     n = trees * depth
@@ -47,31 +52,65 @@ def prefix_hashes(shingles, trees: int, depth: int):
     values = (shingles >> np.uint64(32)).astype(np.uint32)
     for k in range(0, len(values), 1024):
         np.minimum(least, (values[k : k + 1024, None] * factor + shift).min(axis=0), out=least)
-    out = np.arange(trees, dtype=np.uint64)
-    for k in range(depth):
-        out = mixed(out * np.uint64(31) + least.reshape(trees, depth)[:, k])
-    return out.view(np.int64)
+    # The least values have few bits of their own; stirred, any bytes of them will do.
+    short = mixed(least.astype(np.uint64)).astype(f">u{VALUE}").reshape(trees, depth)
+    return [bytes([t]) + short[t].tobytes() for t in range(trees)]
 
 
 def _sketch(batches: Iterator, trees: int, depth: int, size: int) -> Iterator:
-    """(row, doc_id, key, prefixes): key is a 128-bit hash of the words; no key without words."""
+    """(row, doc_id, key, signature): key is a 128-bit hash of the words; no key without words."""
     import pyarrow as pa
     import xxhash
 
     ids = WordIds()
     for batch in batches:
-        keys, prefixes = [], []
+        keys, found = [], []
         for text in batch.column("text").to_pylist():
             tokens = (text or "").split()
             keys.append(xxhash.xxh3_128_digest(" ".join(tokens).encode("utf-8", "surrogatepass")) if tokens else None)
-            prefixes.append(prefix_hashes(shingle_hashes(ids.hashes(tokens), size), trees, depth) if tokens else None)
+            found.append(b"".join(signatures(shingle_hashes(ids.hashes(tokens), size), trees, depth)) if tokens else None)
             ids.trimmed()
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))],
-            ["row", "doc_id", "key", "prefixes"],
+            [batch.column("row"), batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(found, pa.binary())],
+            ["row", "doc_id", "key", "signature"],
         )
 
 
+def _neighbours(batches: Iterator, depth: int) -> Iterator:
+    """Sorted signatures in; `shared`, how many values the longest prefix has that a row shares with a neighbour.
+
+    The neighbours across the edges of a range are elsewhere, so its first and last rows count as sharing all.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    def common(rows):
+        at = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+        differ = at[1:] != at[:-1]
+        same = np.where(differ.any(axis=1), differ.argmax(axis=1), at.shape[1])
+        return np.maximum(same - 1, 0) // VALUE  # the first byte is the tree's number
+
+    held = None  # the last row waits for its neighbour
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch.column("signature").to_pylist()
+        if held is None:
+            before = np.array([depth])
+        else:
+            before = common([held[0], rows[0]])
+            yield held[1].append_column("shared", pa.array([int(max(held[2], before[0]))], pa.int32()))
+        inner = common(rows)
+        up = np.concatenate([before, inner])
+        shared = np.maximum(up[:-1], up[1:]).astype(np.int32)
+        n = batch.num_rows
+        if n > 1:
+            yield batch.slice(0, n - 1).append_column("shared", pa.array(shared))
+        held = rows[-1], batch.slice(n - 1, 1), int(up[-1])
+    if held is not None:
+        yield held[1].append_column("shared", pa.array([depth], pa.int32()))
+
+
 def _shingled(batches: Iterator, size: int) -> Iterator:
     """The shingle sets, as bytes, of the rows whose text is the class's."""
     import pyarrow as pa
@@ -110,8 +149,8 @@ def overlaps(sets: list):
     return out
 
 
-def _links(rows: list[tuple], leader: int, one_block: bool, threshold: float) -> list[tuple]:
-    """(key, other texts linked, other documents linked, root) of each class that has a link counted here."""
+def _links(rows: list[tuple], leader: int, one_block: bool, threshold: float, trees: int, depth: int) -> list[tuple]:
+    """(key, other texts linked, other documents linked, root, texts these stand for) of each class that has a link counted here."""
     import numpy as np
 
     rows = list({r[0]: r for r in rows}.values())  # a repeated row stands for the same class
@@ -133,6 +172,8 @@ def _links(rows: list[tuple], leader: int, one_block: bool, threshold: float) ->
         for k, r in enumerate(rows):
             z[k, [place[x] for x in r[2] if x < leader]] = 1
         linked &= (z @ z.T) == 0
+    similarity = common / np.maximum(sizes[:, None] + sizes[None, :] - common, 1.0)
+    stands_for = np.where(linked, 1 / (1 - (1 - np.minimum(similarity, 1.0) ** depth) ** trees), 0.0) if linked.any() else common
     copies = np.array([r[1] for r in rows], np.int64)
     root, out = np.arange(m), []
     keys = [r[0] for r in rows]
@@ -148,18 +189,18 @@ def _links(rows: list[tuple], leader: int, one_block: bool, threshold: float) ->
                 top = min(seen, key=lambda k: keys[k])
                 for k in seen:
                     root[k] = -1
-                    out.append((keys[k], int(linked[k].sum()), int(copies[linked[k]].sum()), keys[top]))
+                    out.append((keys[k], int(linked[k].sum()), int(copies[linked[k]].sum()), keys[top], float(stands_for[k].sum())))
     return out
 
 
-def _compare(batches: Iterator, threshold: float) -> Iterator:
+def _compare(batches: Iterator, threshold: float, trees: int, depth: int) -> Iterator:
     """Sorted rows of (leader, i, j) in; one group is held at a time, at most two blocks."""
     import pyarrow as pa
 
-    schema = pa.schema([("key", pa.binary()), ("texts", pa.int64()), ("docs", pa.int64()), ("root", pa.binary())])
+    schema = pa.schema([("key", pa.binary()), ("texts", pa.int64()), ("docs", pa.int64()), ("root", pa.binary()), ("stands_for", pa.float64())])
 
     def made(group, rows, out):
-        out.extend(_links(rows, group[0], group[1] == group[2], threshold))
+        out.extend(_links(rows, group[0], group[1] == group[2], threshold, trees, depth))
 
     def packed(out):
         return pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in out], schema=schema)
@@ -205,35 +246,74 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return roots.union(edges.select(F.col("b"), F.col("b")).distinct())
 
 
-def _joined(docs: DataFrame, threshold: float, size: int, trees: int, target: float) -> DataFrame:
-    """(row, doc_id, key, copies, texts, others, root) of each document; row is a hash of doc_id and text."""
-    depth = matched_depth(threshold, trees, MAX_DEPTH, target)
-    rows = docs.select(F.xxhash64(col("doc_id"), col("text")).alias("row"), col("doc_id"), col("text"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    sketch = stored(rows.mapInArrow(lambda b: _sketch(b, trees, depth, size), f"row bigint, doc_id {kind}, key binary, prefixes array<bigint>"), "sketch")
-    classes = sketch.where("key is not null").groupBy("key").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.first("prefixes").alias("prefixes"))
-    classes = stored(classes.withColumn("name", F.xxhash64("key")), "classes")
-    nodes = classes.select("key", "name", F.posexplode("prefixes").alias("tree", "prefix"))
-    crowded = nodes.groupBy("tree", "prefix").agg(F.min("name").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    member = nodes.join(crowded, ["tree", "prefix"]).select("key", "leader").distinct()
-    member = stored(member.groupBy("key").agg(F.sort_array(F.collect_set("leader")).alias("leaders")), "members")
-    taking_part = member.join(classes.select("key", "row", "copies"), "key")
+def _members(forest: DataFrame, depth: int) -> DataFrame:
+    """(key, leaders): the least classes of the nodes at `depth` that a class shares with others."""
+    node = F.substring("signature", 1, 1 + VALUE * depth).alias("node")
+    rows = forest.where(F.col("shared") >= depth).select("key", "name", node)
+    crowded = rows.groupBy("node").agg(F.min("name").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    member = rows.join(crowded, "node").select("key", "leader").distinct()
+    return member.groupBy("key").agg(F.sort_array(F.collect_set("leader")).alias("leaders"))
+
+
+def _found(rows: DataFrame, classes: DataFrame, member: DataFrame, threshold: float, size: int, trees: int, depth: int, every: int) -> DataFrame:
+    """(key, texts, docs, root, stands_for) of the classes linked, under the leaders whose name `every` divides."""
+    chosen = F.pmod(F.col("leader"), F.lit(every)) == 0
+    asked = member.where(F.exists("leaders", lambda x: F.pmod(x, F.lit(every)) == 0)) if every > 1 else member
+    taking_part = asked.join(classes.select("key", "row", "copies"), "key")
     texts = rows.select("row", "text").join(taking_part, "row").select("text", "key", "copies", "leaders")
     sets = texts.mapInArrow(lambda b: _shingled(b, size), "key binary, copies bigint, leaders array<bigint>, shingles binary")
-    blocks = member.select(F.explode("leaders").alias("leader")).groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = sets.withColumn("leader", F.explode("leaders")).join(blocks, "leader")
+    blocks = member.select(F.explode("leaders").alias("leader")).where(chosen)
+    blocks = blocks.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = sets.withColumn("leader", F.explode("leaders")).where(chosen).join(blocks, "leader")
     placed = placed.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "key"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select(
         "leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "copies", "leaders", "shingles", "block"
     )
     grouped = placed.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
-    found = stored(grouped.mapInArrow(lambda b: _compare(b, threshold), "key binary, texts bigint, docs bigint, root binary"), "links")
+    links = "key binary, texts bigint, docs bigint, root binary, stands_for double"
+    return grouped.mapInArrow(lambda b: _compare(b, threshold, trees, depth), links)
+
+
+def measured_recall(links: DataFrame) -> float:
+    """Pairs found over the pairs that they stand for; 1 where none is found."""
+    found, stood_for = links.agg(F.sum("texts"), F.sum("stands_for")).first()
+    return found / stood_for if found else 1.0
+
+
+def _joined(docs: DataFrame, threshold: float, size: int, trees: int, target: float) -> DataFrame:
+    """(row, doc_id, key, copies, texts, others, root) of each document; row is a hash of doc_id and text."""
+    rows = docs.select(F.xxhash64(col("doc_id"), col("text")).alias("row"), col("doc_id"), col("text"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sketched = rows.mapInArrow(lambda b: _sketch(b, trees, MAX_DEPTH, size), f"row bigint, doc_id {kind}, key binary, signature binary")
+    sketch = stored(sketched, "sketch")
+    classes = sketch.where("key is not null").groupBy("key").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
+    classes = stored(classes.withColumn("name", F.xxhash64("key")), "classes")
+    width = 1 + VALUE * MAX_DEPTH
+    part = F.expr(f"substring(signature, {width} * tree + 1, {width})")
+    grown = classes.select("key", "name", "signature", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    grown = grown.select("key", "name", part.alias("signature")).repartitionByRange("signature", "name").sortWithinPartitions("signature", "name")
+    forest = stored(grown.mapInArrow(lambda b: _neighbours(b, MAX_DEPTH), "key binary, name bigint, signature binary, shared int").where("shared > 0"), "forest")
+
+    depth = MAX_DEPTH
+    while True:
+        member = stored(_members(forest, depth), "members")
+        if depth == 1:
+            break
+        # Names are hashes, so those that a number divides are a sample of the nodes.
+        every = max(1, member.select(F.explode("leaders").alias("leader")).distinct().count() // MEASURED)
+        found = _found(rows, classes, member, threshold, size, trees, depth, every)
+        found = stored(found, "links") if every == 1 else found
+        if measured_recall(found) >= target:
+            break
+        depth -= 1
+    if depth == 1 or every > 1:  # not all nodes have been compared yet
+        found = stored(_found(rows, classes, member, threshold, size, trees, depth, 1), "links")
     counts = found.groupBy("key").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("others"))
     roots = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     known = classes.select("key", "copies").join(counts, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
     known = stored(known.withColumn("root", F.coalesce("root", "key")), "known")
-    return sketch.drop("prefixes").join(known, "key", "left")
+    return sketch.drop("signature").join(known, "key", "left")
 
 
 def jaccard_join(
@@ -246,7 +326,7 @@ def jaccard_join(
     doc_id of those connected by links; n_links counts the other documents linked, copies included,
     n_text_links the different texts linked, n_copies the documents with the same words, itself
     included. Null and wordless texts have no shingle: no links, their own doc_id as class. Repeated
-    rows are documents of their own. Of a pair at the threshold the forest misses at most 1 - `target`.
+    rows are documents of their own. Prefixes are shortened until the measured recall is `target`.
     """
     rows = _joined(docs, threshold, size, trees, target)
     first = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"))
@@ -269,10 +349,12 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHING
     """
     rows = _joined(docs, threshold, size, trees, target).where("root is not null")
     first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    row, nth, out = (fresh(docs, x) for x in ("__row", "__nth", "__gone"))
-    gone = rows.join(first, "root").where(F.col("row") != F.col("first.row")).select(F.col("row").alias(out)).distinct()
+    row, nth, out, out_id = (fresh(docs, x) for x in ("__row", "__nth", "__gone", "__gone_id"))
+    gone = rows.join(first, "root").where(F.col("row") != F.col("first.row"))
+    gone = gone.select(F.col("row").alias(out), F.col("doc_id").alias(out_id)).distinct()
     worded = F.coalesce(col("text"), F.lit("")).rlike(r"(?U)\S")
     named = docs.withColumn(row, F.xxhash64(col("doc_id"), col("text")))
-    left = named.join(gone, F.col(row) == F.col(out), "left_anti")
+    # The id goes along, so that equal hashes of two documents can't take one of them away.
+    left = named.join(gone, (F.col(row) == F.col(out)) & col("doc_id").eqNullSafe(F.col(out_id)), "left_anti")
     alike = Window.partitionBy(row).orderBy(row)
     return left.withColumn(nth, F.row_number().over(alike)).where((F.col(nth) == 1) | ~worded).select(*map(col, docs.columns))

@@ -154,10 +154,52 @@ def test_one_of_each_keeps_the_least_of_every_group(spark, clashing, no_docs):
     assert jaccard_join.one_of_each(no_docs).count() == 0 and jaccard_join.jaccard_join(no_docs).count() == 0
 
 
-def test_depth_is_the_longest_that_reaches_the_target():
-    d = jaccard_join.matched_depth(0.8, 32, 8, 0.9999)
-    reach = lambda k: 1 - (1 - 0.8**k) ** 32
-    assert reach(d) >= 0.9999 > reach(d + 1) and jaccard_join.matched_depth(0.8, 1, 8, 0.99) == 1
+def test_neighbours_in_the_order_share_the_longest_prefix():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    rows = sorted(bytes([t]) + rng.integers(0, 3, 8).astype(">u2").tobytes() for t in range(3) for _ in range(60))
+    batches = [pa.RecordBatch.from_pydict({"signature": pa.array(rows[k : k + 7], pa.binary())}) for k in range(0, len(rows), 7)]
+    out = [x for b in jaccard_join._neighbours(iter(batches), 8) for x in b.to_pylist()]
+    assert [x["signature"] for x in out] == rows
+
+    def longest(k):
+        prefix = lambda a, b: max(d for d in range(9) if a[: 1 + 2 * d] == b[: 1 + 2 * d]) if a[0] == b[0] else 0
+        return max(prefix(rows[k], r) for i, r in enumerate(rows) if i != k)
+
+    assert [x["shared"] for x in out[1:-1]] == [longest(k) for k in range(1, len(rows) - 1)]
+    assert out[0]["shared"] == out[-1]["shared"] == 8  # what lies beyond a range is not known
+
+
+def test_prefixes_are_shortened_until_the_recall_is_reached(spark, monkeypatch):
+    """Few trees: at the full depth most pairs near the threshold are missed, and the measure says so."""
+    depths = []
+    found = jaccard_join._found
+    monkeypatch.setattr(jaccard_join, "_found", lambda *a: depths.append(a[6]) or found(*a))
+    rows = [(k, t) for k, t in near_copies(random.Random(8), 300)]
+    docs = documents(spark, rows)
+    want = collections.Counter(brute_join(rows))
+
+    def links(**kw):
+        return collections.Counter(tuple(r)[:3] for r in jaccard_join.jaccard_join(docs, **kw).collect())
+
+    total = sum(n * c for (_, _, n), c in want.items())
+    few = sum(n * c for (_, _, n), c in links(trees=6, target=0.0).items())
+    assert few < 0.9 * total and depths == [8]
+    depths.clear()
+    most = sum(n * c for (_, _, n), c in links(trees=6, target=0.97).items())
+    assert most >= 0.95 * total and depths == list(range(8, depths[-1] - 1, -1)) and depths[-1] < 8
+    assert links() == want
+
+
+def test_recall_against_all_pairs_of_a_few_thousand_documents(spark):
+    rows = near_copies(random.Random(11), 2400, words=40)
+    want = brute_join(rows)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_join(documents(spark, rows)).collect()}
+    total, found = sum(n for _, _, n in want), sum(n for _, n in got.values())
+    assert total > 3000 and found >= 0.999 * total
+    assert sum(got[d] == (c, n) for d, c, n in want) >= 0.995 * len(want)
 
 
 def test_components_of_a_long_chain(spark):
