@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daywright.settings import scratch_path
+
 #: White space that parts words: space and the ASCII controls tab to carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -16,10 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder in spark.checkpoint.dir; a folder of one's own only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{tempfile.gettempdir()}/checkpoints"
-    return f"{base.rstrip('/')}/daywright/{name}-{uuid.uuid4().hex}"
+def byte_bpe() -> tuple[str, str]:
+    """One public byte-level vocabulary in two forms, for two encoders."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,15 +22,11 @@ from daywright.llm import (
     resharding,
     spelling,
 )
-from daywright.llm.common import table
-
-
-#: One byte-level vocabulary in two forms, for two encoders.
-TOKENIZER, RANKS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+from daywright.llm.common import byte_bpe, table
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER, RANKS)
+    return packing.pack(table(spark, sf_dir, "documents"), *byte_bpe())
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +36,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much more a document is like what assistants say in `conversations` than like the documents at large."""
     target = table(spark, sf_dir, "conversations").where("role = 'assistant'")
-    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), target, TOKENIZER, RANKS)
+    return lm_scoring.cross_entropy_difference(table(spark, sf_dir, "documents"), target, *byte_bpe())
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
