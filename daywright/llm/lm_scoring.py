@@ -24,11 +24,18 @@ from daywright.llm.common import col, mixed, stored
 from daywright.llm.packing import Tokenizer
 
 #: Smoothing, ranges of pair keys, and tokens and texts of a block (a longer text is a block of its own).
-D, K, RANGES, BLOCK_TOKENS, BLOCK_TEXTS = 0.5, 4.0, 512, 2_000_000, 4_000
+D, K, RANGES, BLOCK_TOKENS, BLOCK_TEXTS = 0.5, 4.0, 512, 400_000, 2_000
 
 BACKGROUND, TARGET = 0, 1
 
 
+def _rows(batch, *names: str) -> Iterator[tuple]:
+    """The rows of a batch one by one: a row may be a block, and a batch many of them."""
+    columns = [batch.column(c) for c in names]
+    for i in range(batch.num_rows):
+        yield tuple(c[i].as_py() for c in columns)
+
+
 def vocabulary_size(tokenizer: str) -> int:
     from tokenizers import Tokenizer as Model
 
@@ -97,7 +104,7 @@ def _counted(batches: Iterator, vocabulary: int, wide: bool) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        for block, side, sizes, tokens in zip(*[batch.column(c).to_pylist() for c in ("block", "side", "sizes", "tokens")], strict=True):
+        for block, side, sizes, tokens in _rows(batch, "block", "side", "sizes", "tokens"):
             keys, counts = np.unique(_pairs(sizes, tokens, vocabulary, wide)[2], return_counts=True)
             order, at = _split(keys)
             keys, counts = keys[order].astype("<i8" if wide else "<u4"), counts[order].astype("<u4")
@@ -121,7 +128,7 @@ def _singles(batches: Iterator, vocabulary: int, wide: bool) -> Iterator:
 
     first, second = np.zeros((2, vocabulary + 1), np.int64), np.zeros((2, vocabulary + 1), np.int64)
     for batch in batches:
-        for side, sizes, tokens in zip(*[batch.column(c).to_pylist() for c in ("side", "sizes", "tokens")], strict=True):
+        for side, sizes, tokens in _rows(batch, "side", "sizes", "tokens"):
             a, b, _, _ = _pairs(sizes, tokens, vocabulary, wide)
             first[side] += np.bincount(a, minlength=vocabulary + 1)
             second[side] += np.bincount(b, minlength=vocabulary + 1)
@@ -149,7 +156,7 @@ def _totals(batches: Iterator, wide: bool) -> Iterator:
         return pa.RecordBatch.from_pylist([{"range": at, "keys": keys.tobytes(), "counts": counts.astype("<f8").tobytes()}], schema)
 
     for batch in batches:
-        for r, side, keys, counts in zip(*[batch.column(c).to_pylist() for c in ("range", "side", "keys", "counts")], strict=True):
+        for r, side, keys, counts in _rows(batch, "range", "side", "keys", "counts"):
             if r != at:
                 if waiting:
                     yield row()
@@ -174,7 +181,7 @@ def _answers(batches: Iterator, wide: bool) -> Iterator:
     known = None
     for batch in batches:
         out = [[], [], []]
-        for r, block, keys, counts in zip(*[batch.column(c).to_pylist() for c in ("range", "block", "keys", "counts")], strict=True):
+        for r, block, keys, counts in _rows(batch, "range", "block", "keys", "counts"):
             if block is None:
                 known = np.frombuffer(keys, kind), np.frombuffer(counts, "<f8").reshape(2, -1)
                 continue
@@ -218,7 +225,7 @@ def _scored(batches: Iterator, vocabulary: int, wide: bool, first, second, id_ty
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "target_loss", "background_loss"])
 
     for batch in batches:
-        for r, ids, sizes, tokens, counts in zip(*[batch.column(c).to_pylist() for c in ("range", "ids", "sizes", "tokens", "counts")], strict=True):
+        for r, ids, sizes, tokens, counts in _rows(batch, "range", "ids", "sizes", "tokens", "counts"):
             if r < 0:
                 if block:
                     yield rows()
