@@ -1,6 +1,7 @@
 """SQL counterparts of the queries that SQL can express on whole tables."""
 
 from daywright.llm.line_dedup import MAX_RATIO, MIN_PAGES
+from daywright.llm.spelling import FORM_RATIO, MIN_COUNT, MIN_LENGTH, SLIP
 
 _OP7 = f"""
 WITH lines AS (
@@ -71,4 +72,43 @@ SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, do
 FROM scores WHERE score > 0 QUALIFY rank <= 20
 """
 
-ORACLE: dict[str, str] = {"op7_line_dedup": _OP7, "op8_chat_format": _OP8, "op12_exact_dedup": _OP12, "op13_ranked_search": _OP13}
+# CRC-32 byte by byte: the table is made from the polynomial, bits reversed.
+_OP11 = f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS t
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[a-zÀ-ÿ]+')) AS run FROM documents
+), texts AS (
+  SELECT run, count(*) AS n, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s FROM runs WHERE length(run) >= {MIN_LENGTH} GROUP BY doc_id, run
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(strlen(s)), lambda k:
+      CAST(16 * (instr('0123456789ABCDEF', hex(encode(s))[2 * k + 1]) - 1) + instr('0123456789ABCDEF', hex(encode(s))[2 * k + 2]) - 1 AS BIGINT))),
+    lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) AS h
+  FROM texts, crc
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT n, CASE WHEN h % {SLIP} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= {MIN_LENGTH} GROUP BY word HAVING sum(n) >= {MIN_COUNT}
+), less AS (
+  SELECT word, k, left(word, k) || substr(word, k + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS k FROM words)
+), near AS (
+  SELECT a.word, b.word AS other FROM less a JOIN less b ON a.k = b.k AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, w.word FROM less a JOIN words w ON w.word = a.rest
+  UNION SELECT w.word, a.word FROM less a JOIN words w ON w.word = a.rest
+), best AS (
+  SELECT r.word, r.other, o.n, count(*) OVER (PARTITION BY r.word) AS n_near,
+         row_number() OVER (PARTITION BY r.word ORDER BY o.n DESC, r.other) AS place
+  FROM near r JOIN words o ON o.word = r.other
+), formed AS (
+  SELECT w.word, CASE WHEN b.n >= {FORM_RATIO} * w.n THEN b.other END AS form, w.n, coalesce(b.n_near, 0) AS n_near,
+         CASE WHEN b.n >= {FORM_RATIO} * w.n THEN b.n END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word AND b.place = 1
+), walk AS (
+  SELECT word, word AS at FROM formed UNION ALL SELECT w.word, f.form FROM walk w JOIN formed f ON f.word = w.at WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, w.at AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN walk w ON w.word = f.word JOIN formed e ON e.word = w.at AND e.form IS NULL
+"""
+
+ORACLE: dict[str, str] = {"op7_line_dedup": _OP7, "op8_chat_format": _OP8, "op11_spelling_variants": _OP11, "op12_exact_dedup": _OP12, "op13_ranked_search": _OP13}
