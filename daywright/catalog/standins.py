@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from daywright.operators.cleaning import to_day
 from daywright.operators.windows import RollingWindows
 from daywright.plans.strategy import Strategy, baseline_strategy, extended_strategy
+from daywright.settings import expansion_partitions
 
 ACTIVITY_PATTERN = "urgent|high"
 
@@ -80,11 +81,12 @@ def markets_with_end(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("market_id"), F.col("l_linenumber").alias("token_id"))
-        .agg(F.min("l_returnflag").alias("outcome"))
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("market_id"), F.col("l_linenumber").alias("token_id"), "l_returnflag"
     )
+    # Nearly every row is a pair of its own: pairs are formed behind the shuffle, in parts that don't grow by coalescing.
+    dealt = lines.repartition(expansion_partitions(spark), "market_id", "token_id")
+    return dealt.groupBy("market_id", "token_id").agg(F.min("l_returnflag").alias("outcome"))
 
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:

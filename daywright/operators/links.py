@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from daywright.settings import expansion_partitions
+
 
 @dataclass(frozen=True)
 class Link:
@@ -39,39 +41,59 @@ def _key(columns: Sequence[str]) -> Column:
     return F.concat(*[x for p in parts for x in (F.length(p).cast("string"), F.lit(":"), p)]) if len(parts) > 1 else parts[0]
 
 
+def _counted(batches: Iterator) -> Iterator:
+    """Rows (columns, key, side) in; each batch's different rows with their number `n` out."""
+    import pyarrow as pa
+
+    for batch in batches:
+        met = pa.Table.from_batches([batch]).group_by(batch.schema.names, use_threads=False).aggregate([([], "count_all")])
+        yield from met.rename_columns([*batch.schema.names, "n"]).to_batches()
+
+
 def link_audit(tables: dict[str, DataFrame], links: Sequence[Link] = LINKS) -> DataFrame:
     """Per link whose two tables are there: what doesn't hold together.
 
     ``child_rows``, those without a key, ``orphan_rows`` (no such parent) and ``orphan_keys``;
     ``parent_keys``, ``duplicate_keys`` (more than one parent row) and ``childless_keys``.
 
-    No join: each table is read once and gives a tagged key for every link it takes part in; one
-    aggregate by (link, key), combined before the shuffle, meets both sides. A market with a third of
-    all trades is one row a task by then.
+    No join: each table is read once and gives a key for each set of key columns it is linked by; one
+    aggregate by (columns, key) counts the rows of all tables with that key, which serves every link on
+    these columns. Equal keys of a batch are counted before the shuffle, so a market with a third of
+    all trades is one row a batch by then, and no task holds the keys of its whole input.
     """
     links = [e for e in links if e.child in tables and e.parent in tables]
+    sides: dict[tuple[str, ...], list[str]] = {}  # the tables that meet on these columns
+    for e in links:
+        met = sides.setdefault(tuple(e.key), [])
+        met.extend(t for t in dict.fromkeys((e.child, e.parent)) if t not in met)
+    if not links:
+        raise ValueError(f"no link between {sorted(tables)}")
+    numbers = {key: k for k, key in enumerate(sides)}
     tagged = None
     for name, table in tables.items():
-        sides = [(e, side) for e in links for side in ("child", "parent") if getattr(e, side) == name]
-        if not sides:
-            continue
-        cells = F.array(
-            *[
-                F.struct(
-                    F.lit(e.name).alias("link"),
-                    _key(e.key).alias("key"),
-                    F.lit(int(side == "child")).cast("long").alias("child"),
-                    F.lit(int(side == "parent")).cast("long").alias("parent"),
-                )
-                for e, side in sides
-            ]
+        cells = [
+            F.struct(F.lit(numbers[key]).alias("columns"), _key(key).alias("key"), F.lit(met.index(name)).alias("side"))
+            for key, met in sides.items()
+            if name in met
+        ]
+        if cells:
+            rows = table.select(F.inline(F.array(*cells)))
+            tagged = rows if tagged is None else tagged.unionByName(rows)
+    counted = tagged.mapInArrow(_counted, "columns int, key string, side int, n bigint")
+    # A task keeps a row for each of its keys, of which a small shuffled block holds many.
+    dealt = counted.repartition(expansion_partitions(tagged.sparkSession), "columns", "key")
+    rows_of = [f"n{k}" for k in range(max(map(len, sides.values())))]
+    met = dealt.groupBy("columns", "key").agg(*[F.sum(F.when(F.col("side") == k, F.col("n")).otherwise(0)).alias(c) for k, c in enumerate(rows_of)])
+    ends = [
+        F.struct(
+            F.lit(numbers[tuple(e.key)]).alias("of"),
+            F.lit(e.name).alias("link"),
+            *[F.col(rows_of[sides[tuple(e.key)].index(t)]).alias(c) for t, c in ((e.child, "child"), (e.parent, "parent"))],
         )
-        rows = table.select(F.inline(cells))
-        tagged = rows if tagged is None else tagged.unionByName(rows)
-    if tagged is None:
-        raise ValueError(f"no link between {sorted(tables)}")
-    met = tagged.groupBy("link", "key").agg(F.sum("child").alias("child"), F.sum("parent").alias("parent"))
+        for e in links
+    ]
     known, child, parent = F.col("key").isNotNull(), F.col("child"), F.col("parent")
+    met = met.select("columns", "key", F.inline(F.array(*ends))).where((F.col("columns") == F.col("of")) & (child + parent > 0))
     orphan = known & (child > 0) & (parent == 0)
     return met.groupBy("link").agg(
         F.sum("child").alias("child_rows"),

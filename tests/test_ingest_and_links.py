@@ -3,6 +3,7 @@
 import json
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,21 @@ def test_the_audit_joins_nothing(tables):
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 2
 
 
+def test_no_task_of_the_audit_holds_the_keys_of_its_input(tables):
+    plan = links.link_audit(tables)._jdf.queryExecution().executedPlan().toString()
+    before = plan[plan.index("REPARTITION_BY") :]
+    assert "Aggregate" not in before and "MapInArrow" in before
+
+
+def test_a_common_key_is_counted_before_the_shuffle(spark):
+    batch = pa.RecordBatch.from_pydict({"columns": [0] * 6, "key": ["a", "a", None, "b", None, "a"], "side": [0, 0, 1, 0, 1, 2]})
+    got = [tuple(r.values()) for out in links._counted(iter([batch])) for r in out.to_pylist()]
+    assert sorted(got, key=str) == [(0, "a", 0, 2), (0, "a", 2, 1), (0, "b", 0, 1), (0, None, 1, 2)]
+    child = spark.range(30_000).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 7, id)) AS x")
+    got = links.link_audit({"c": child, "p": spark.createDataFrame([(7,), (7,), (8,)], "x long")}, [links.Link("c", "p", ("x",)), links.Link("c", "c", ("x",))]).collect()
+    assert {tuple(r) for r in got} == {("c->p", 30_000, 10_000, 9_999, 9_999, 2, 1, 0), ("c->c", 30_000, 10_000, 0, 0, 10_001, 1, 0)}
+
+
 def test_odds_and_events_are_linked(tables):
     odds = {(r.market_id, r.token_id): r for r in links.link_odds(tables["odds_history"], tables["tokens"], tables["markets"].dropDuplicates(["market_id"])).collect()}
     one = odds["m1", "t1"]
