@@ -10,7 +10,7 @@ Classes match whose signatures share a prefix of some depth in a tree. The depth
 length and is shortened one value at a time until the recall, measured on verified pairs, reaches the
 target: of pairs of similarity j a share of 1 - (1 - j^depth)^trees is found, so each pair found stands
 for the inverse of that share (Horvitz-Thompson), and found pairs over what they stand for is the
-recall. All pairs of a sample of nodes measure it; the join at the depth so chosen covers all nodes.
+recall. The pairs of all nodes measure it: each depth tried is the whole join at that depth.
 
 A node's classes aren't paired. They name the node's least class as leader, and those that share a
 leader in any tree are compared once, exactly, on their shingle sets, in blocks of bounded size
@@ -34,8 +34,8 @@ TREES, MAX_DEPTH, TARGET_RECALL = 32, 8, 0.9999
 #: Classes of a block; two blocks are compared at a time.
 BLOCK = 256
 
-#: About so many nodes (all, if there are fewer) measure the recall of a depth.
-MEASURED = 20_000
+#: Bits of a bitmap of row hashes (4 MB), and of one of the maps it is cut into.
+BITS, MAP = 1 << 25, 1 << 15
 
 #: Bytes of a MinHash value in a signature. Values that differ but agree in these only add candidates.
 VALUE = 2
@@ -255,16 +255,32 @@ def _members(forest: DataFrame, depth: int) -> DataFrame:
     return member.groupBy("key").agg(F.sort_array(F.collect_set("leader")).alias("leaders"))
 
 
-def _found(rows: DataFrame, classes: DataFrame, member: DataFrame, threshold: float, size: int, trees: int, depth: int, every: int) -> DataFrame:
-    """(key, texts, docs, root, stands_for) of the classes linked, under the leaders whose name `every` divides."""
-    chosen = F.pmod(F.col("leader"), F.lit(every)) == 0
-    asked = member.where(F.exists("leaders", lambda x: F.pmod(x, F.lit(every)) == 0)) if every > 1 else member
-    taking_part = asked.join(classes.select("key", "row", "copies"), "key")
-    texts = rows.select("row", "text").join(taking_part, "row").select("text", "key", "copies", "leaders")
+def row_bits(rows: DataFrame) -> DataFrame:
+    """(map, bits): a bitmap of the hashes in `row`, cut into maps; of bounded size, whatever the rows."""
+    bit = F.pmod("row", F.lit(BITS))
+    return rows.groupBy(F.floor(bit / MAP).alias("map")).agg(F.bitmap_construct_agg(bit % MAP).alias("bits"))
+
+
+def with_mark(rows: DataFrame, row: str, bits: DataFrame, mark: str) -> DataFrame:
+    """The rows with `mark`, true where the bit of their hash is set: for all hashes put into `bits`, and a few others."""
+    at, held = fresh(rows, "__map"), fresh(rows, "__bits")
+    bit = F.pmod(F.col(row), F.lit(BITS))
+    # At most BITS / MAP rows of MAP bits.
+    joined = rows.join(F.broadcast(bits.select(F.col("map").alias(at), F.col("bits").alias(held))), F.floor(bit / MAP) == F.col(at), "left")
+    byte = F.conv(F.hex(F.substring(F.col(held), (F.floor(bit % MAP / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return joined.withColumn(mark, F.coalesce(F.getbit(byte, (bit % 8).cast("int")) == 1, F.lit(False))).drop(at, held)
+
+
+def _found(rows: DataFrame, classes: DataFrame, member: DataFrame, threshold: float, size: int, trees: int, depth: int) -> DataFrame:
+    """(key, texts, docs, root, stands_for) of the classes linked, under all leaders."""
+    taking_part = stored(member.join(classes.select("key", "row", "copies"), "key"), "taking-part")
+    # Most texts stand alone and needn't move: the bitmap leaves out what surely takes no part, the join decides.
+    asked = with_mark(rows.select("row", "text"), "row", row_bits(taking_part), "asked").where("asked")
+    texts = asked.join(taking_part, "row").select("text", "key", "copies", "leaders")
     sets = texts.mapInArrow(lambda b: _shingled(b, size), "key binary, copies bigint, leaders array<bigint>, shingles binary")
-    blocks = member.select(F.explode("leaders").alias("leader")).where(chosen)
+    blocks = member.select(F.explode("leaders").alias("leader"))
     blocks = blocks.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = sets.withColumn("leader", F.explode("leaders")).where(chosen).join(blocks, "leader")
+    placed = sets.withColumn("leader", F.explode("leaders")).join(blocks, "leader")
     placed = placed.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "key"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select(
@@ -295,20 +311,11 @@ def _joined(docs: DataFrame, threshold: float, size: int, trees: int, target: fl
     grown = grown.select("key", "name", part.alias("signature")).repartitionByRange("signature", "name").sortWithinPartitions("signature", "name")
     forest = stored(grown.mapInArrow(lambda b: _neighbours(b, MAX_DEPTH), "key binary, name bigint, signature binary, shared int").where("shared > 0"), "forest")
 
-    depth = MAX_DEPTH
-    while True:
+    for depth in range(MAX_DEPTH, 0, -1):
         member = stored(_members(forest, depth), "members")
-        if depth == 1:
-            break
-        # Names are hashes, so those that a number divides are a sample of the nodes.
-        every = max(1, member.select(F.explode("leaders").alias("leader")).distinct().count() // MEASURED)
-        found = _found(rows, classes, member, threshold, size, trees, depth, every)
-        found = stored(found, "links") if every == 1 else found
+        found = stored(_found(rows, classes, member, threshold, size, trees, depth), "links")
         if measured_recall(found) >= target:
             break
-        depth -= 1
-    if depth == 1 or every > 1:  # not all nodes have been compared yet
-        found = stored(_found(rows, classes, member, threshold, size, trees, depth, 1), "links")
     counts = found.groupBy("key").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("others"))
     roots = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     known = classes.select("key", "copies").join(counts, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
@@ -348,13 +355,15 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, size: int = SHING
     no n-gram, belong to no group and all stay.
     """
     rows = _joined(docs, threshold, size, trees, target).where("root is not null")
-    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    row, nth, out, out_id = (fresh(docs, x) for x in ("__row", "__nth", "__gone", "__gone_id"))
-    gone = rows.join(first, "root").where(F.col("row") != F.col("first.row"))
-    gone = gone.select(F.col("row").alias(out), F.col("doc_id").alias(out_id)).distinct()
+    first = rows.groupBy("root").agg(F.min(F.struct("doc_id", "row")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    grouped = stored(rows.select("row", "doc_id", "root").join(first, "root").select("row", "doc_id", F.col("first.row").alias("first")), "grouped")
+    row, nth, out, out_id, mark = (fresh(docs, x) for x in ("__row", "__nth", "__gone", "__gone_id", "__mark"))
+    gone = grouped.where("row != first").select(F.col("row").alias(out), F.col("doc_id").alias(out_id)).distinct()
     worded = F.coalesce(col("text"), F.lit("")).rlike(r"(?U)\S")
-    named = docs.withColumn(row, F.xxhash64(col("doc_id"), col("text")))
+    # Documents of no group of two or more stay where they are; the others, and a few that share a bit, are looked up.
+    named = with_mark(docs.withColumn(row, F.xxhash64(col("doc_id"), col("text"))), row, row_bits(grouped), mark)
     # The id goes along, so that equal hashes of two documents can't take one of them away.
-    left = named.join(gone, (F.col(row) == F.col(out)) & col("doc_id").eqNullSafe(F.col(out_id)), "left_anti")
+    left = named.where(F.col(mark)).join(gone, (F.col(row) == F.col(out)) & col("doc_id").eqNullSafe(F.col(out_id)), "left_anti")
     alike = Window.partitionBy(row).orderBy(row)
-    return left.withColumn(nth, F.row_number().over(alike)).where((F.col(nth) == 1) | ~worded).select(*map(col, docs.columns))
+    left = left.withColumn(nth, F.row_number().over(alike)).where((F.col(nth) == 1) | ~worded)
+    return named.where(~F.col(mark)).select(*map(col, docs.columns)).unionAll(left.select(*map(col, docs.columns)))
