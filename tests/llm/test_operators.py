@@ -256,6 +256,31 @@ def test_shards_are_even_and_slots_gapless(spark, odd, no_docs, monkeypatch):
     assert resharding.reshard(odd, 8, 6).count() == odd.count() and resharding.reshard(no_docs, 8, 6).count() == 0
 
 
+def test_documents_move_with_all_their_columns(spark, odd, clashing, no_docs):
+    for docs in (odd, clashing):
+        out = resharding.resharded(docs, 8, 6)
+        plain = lambda rows: collections.Counter(map(repr, rows))
+        assert plain(r["whole"] for r in out.collect()) == plain(docs.collect())
+        laid = collections.Counter(tuple(r) for r in resharding.reshard(docs, 8, 6).select("doc_id", "old_shard", "shard", "slot").collect())
+        assert collections.Counter(tuple(r) for r in out.select("whole.doc_id", "old_shard", "shard", "slot").collect()) == laid
+        assert out.inputFiles() and all("shard=" in f for f in out.inputFiles() if "/shards-" in f)
+    assert resharding.resharded(no_docs, 8, 6).count() == 0
+
+
+def test_op9_rows_come_from_the_files_of_the_new_shards(spark):
+    out = queries.op9_resharding(spark, SF_SMALL)
+    assert any("/shards-" in f for f in out.inputFiles())
+    assert out.count() == spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
+
+
+def test_equal_texts_that_a_shard_can_hold_stay_together(spark):
+    rows = [(k, f"{k:04}" + "w" * 95) for k in range(800)] + [(5000 + k, "same " * 20) for k in range(106)]
+    out = resharding.reshard(documents(spark, rows), 8, 6).toPandas()
+    sizes = out.groupby("shard")["size"].sum()
+    assert out[out.doc_id >= 5000]["size"].sum() > 0.9 * out["size"].sum() / 8
+    assert out[out.doc_id >= 5000]["shard"].nunique() == 1 and sizes.max() <= 1.02 * sizes.min()
+
+
 def test_only_changed_shards_are_written(spark, tmp_path):
     docs = documents(spark, [(k, "t" * (k % 50)) for k in range(400)])
     placed = resharding.reshard(docs, 8, 6).cache()
