@@ -17,6 +17,10 @@ leader in any tree are compared once, exactly, on their shingle sets, in blocks
 (two blocks a task), so a crowded node is spread over tasks. A pair that shares more leaders is
 counted under the least of them. What leaves a block is a row a class, not a row a pair: its number
 of links and the root of its group. Roots are joined into components by alternating star steps.
+
+What moves is kept small: a tree's row is a 64-bit name and its part of the signature; the texts move
+twice a depth, to their leaders and to their blocks, and are made into shingle sets, which are larger,
+where they are compared.
 """
 
 from __future__ import annotations
@@ -31,6 +35,9 @@ from daywright.llm.common import WordIds, col, fresh, mixed, shingle_hashes, sto
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, MAX_DEPTH, TARGET_RECALL = 32, 8, 0.9999
 
+#: Rows that share fewer values than this with their neighbours are stored only once a depth below it is tried.
+STORED_DEPTH = 4
+
 #: Classes of a block; two blocks are compared at a time.
 BLOCK = 256
 
@@ -111,23 +118,6 @@ def _neighbours(batches: Iterator, depth: int) -> Iterator:
         yield held[1].append_column("shared", pa.array([depth], pa.int32()))
 
 
-def _shingled(batches: Iterator, size: int) -> Iterator:
-    """The shingle sets, as bytes, of the rows whose text is the class's."""
-    import pyarrow as pa
-    import xxhash
-
-    ids = WordIds()
-    for batch in batches:
-        sets, mask = [], []
-        for text, key in zip(batch.column("text").to_pylist(), batch.column("key").to_pylist(), strict=True):
-            tokens = (text or "").split()
-            mask.append(xxhash.xxh3_128_digest(" ".join(tokens).encode("utf-8", "surrogatepass")) == key)
-            sets.append(shingle_hashes(ids.hashes(tokens), size).tobytes() if mask[-1] else None)
-            ids.trimmed()
-        out = batch.select(["key", "copies", "leaders"]).append_column("shingles", pa.array(sets, pa.binary()))
-        yield out.filter(pa.array(mask))
-
-
 def overlaps(sets: list):
     """Matrix of the intersection sizes of the sets, by products of 0/1 matrices over bounded spans of values."""
     import numpy as np
@@ -153,11 +143,10 @@ def _links(rows: list[tuple], leader: int, one_block: bool, threshold: float, tr
     """(key, other texts linked, other documents linked, root, texts these stand for) of each class that has a link counted here."""
     import numpy as np
 
-    rows = list({r[0]: r for r in rows}.values())  # a repeated row stands for the same class
     m = len(rows)
     if m < 2:
         return []
-    sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+    sets = [r[3] for r in rows]
     sizes = np.array([len(s) for s in sets], np.float64)
     common = overlaps(sets).astype(np.float64)
     linked = common * (1 + threshold) >= threshold * (sizes[:, None] + sizes[None, :]) - 1e-9
@@ -193,27 +182,34 @@ def _links(rows: list[tuple], leader: int, one_block: bool, threshold: float, tr
     return out
 
 
-def _compare(batches: Iterator, threshold: float, trees: int, depth: int) -> Iterator:
-    """Sorted rows of (leader, i, j) in; one group is held at a time, at most two blocks."""
+def _compare(batches: Iterator, threshold: float, size: int, trees: int, depth: int) -> Iterator:
+    """Sorted rows of (leader, i, j) in; the shingle sets of one group are held at a time, at most two blocks."""
     import pyarrow as pa
+    import xxhash
 
     schema = pa.schema([("key", pa.binary()), ("texts", pa.int64()), ("docs", pa.int64()), ("root", pa.binary()), ("stands_for", pa.float64())])
 
     def made(group, rows, out):
-        out.extend(_links(rows, group[0], group[1] == group[2], threshold, trees, depth))
+        out.extend(_links(list(rows.values()), group[0], group[1] == group[2], threshold, trees, depth))
 
     def packed(out):
         return pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in out], schema=schema)
 
-    at, rows, out = None, [], []
+    ids = WordIds()
+    at, rows, out = None, {}, []
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("leader", "i", "j", "key", "copies", "leaders", "shingles", "block")]
-        for leader, i, j, *rest in zip(*cols, strict=True):
+        cols = [batch.column(c).to_pylist() for c in ("leader", "i", "j", "key", "copies", "leaders", "text", "block")]
+        for leader, i, j, key, copies, leaders, text, block in zip(*cols, strict=True):
             if (leader, i, j) != at:
                 if at:
                     made(at, rows, out)
-                at, rows = (leader, i, j), []
-            rows.append(tuple(rest))
+                at, rows = (leader, i, j), {}
+            if key in rows:  # a repeated row stands for the same class
+                continue
+            tokens = (text or "").split()
+            if xxhash.xxh3_128_digest(" ".join(tokens).encode("utf-8", "surrogatepass")) == key:  # not another text of the same row hash
+                rows[key] = key, copies, leaders, shingle_hashes(ids.hashes(tokens), size), block
+                ids.trimmed()
         if len(out) > 10_000:
             yield packed(out)
             out = []
@@ -246,13 +242,26 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return roots.union(edges.select(F.col("b"), F.col("b")).distinct())
 
 
+def _forest(sketch: DataFrame, trees: int, least: int) -> DataFrame:
+    """(name, signature, shared): of the sorted trees the rows that share at least `least` values with a neighbour, stored."""
+    classes = sketch.where("key is not null").groupBy("key").agg(F.first("signature").alias("signature"))
+    width = 1 + VALUE * MAX_DEPTH
+    part = F.expr(f"substring(signature, {width} * tree + 1, {width})")
+    grown = classes.select(F.xxhash64("key").alias("name"), "signature", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    grown = grown.select("name", part.alias("signature")).repartitionByRange("signature", "name").sortWithinPartitions("signature", "name")
+    ranked = grown.mapInArrow(lambda b: _neighbours(b, MAX_DEPTH), "name bigint, signature binary, shared int")
+    return stored(ranked.where(F.col("shared") >= least), "forest")
+
+
 def _members(forest: DataFrame, depth: int) -> DataFrame:
-    """(key, leaders): the least classes of the nodes at `depth` that a class shares with others."""
+    """(name, leaders): the least classes of the nodes at `depth` that a class shares with others, and the blocks of each."""
     node = F.substring("signature", 1, 1 + VALUE * depth).alias("node")
-    rows = forest.where(F.col("shared") >= depth).select("key", "name", node)
+    rows = forest.where(F.col("shared") >= depth).select("name", node)
     crowded = rows.groupBy("node").agg(F.min("name").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    member = rows.join(crowded, "node").select("key", "leader").distinct()
-    return member.groupBy("key").agg(F.sort_array(F.collect_set("leader")).alias("leaders"))
+    member = rows.join(crowded, "node").select("name", "leader").distinct()
+    # Counted here, where no text has to come along.
+    blocks = member.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    return member.join(blocks, "leader").groupBy("name").agg(F.sort_array(F.collect_set(F.struct("leader", "blocks"))).alias("leaders"))
 
 
 def row_bits(rows: DataFrame) -> DataFrame:
@@ -273,22 +282,21 @@ def with_mark(rows: DataFrame, row: str, bits: DataFrame, mark: str) -> DataFram
 
 def _found(rows: DataFrame, classes: DataFrame, member: DataFrame, threshold: float, size: int, trees: int, depth: int) -> DataFrame:
     """(key, texts, docs, root, stands_for) of the classes linked, under all leaders."""
-    taking_part = stored(member.join(classes.select("key", "row", "copies"), "key"), "taking-part")
+    # Classes of one name, if ever, have each other's leaders too: more is compared, nothing else changes.
+    taking_part = stored(member.join(classes, "name").drop("name"), "taking-part")
     # Most texts stand alone and needn't move: the bitmap leaves out what surely takes no part, the join decides.
     asked = with_mark(rows.select("row", "text"), "row", row_bits(taking_part), "asked").where("asked")
-    texts = asked.join(taking_part, "row").select("text", "key", "copies", "leaders")
-    sets = texts.mapInArrow(lambda b: _shingled(b, size), "key binary, copies bigint, leaders array<bigint>, shingles binary")
-    blocks = member.select(F.explode("leaders").alias("leader"))
-    blocks = blocks.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = sets.withColumn("leader", F.explode("leaders")).join(blocks, "leader")
+    texts = asked.join(taking_part, "row")
+    placed = texts.select("text", "key", "copies", F.col("leaders.leader").alias("leaders"), F.explode("leaders").alias("at"))
+    placed = placed.select("text", "key", "copies", "leaders", "at.leader", "at.blocks")
     placed = placed.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "key"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     placed = placed.select(
-        "leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "copies", "leaders", "shingles", "block"
+        "leader", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "copies", "leaders", "text", "block"
     )
     grouped = placed.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
     links = "key binary, texts bigint, docs bigint, root binary, stands_for double"
-    return grouped.mapInArrow(lambda b: _compare(b, threshold, trees, depth), links)
+    return grouped.mapInArrow(lambda b: _compare(b, threshold, size, trees, depth), links)
 
 
 def measured_recall(links: DataFrame) -> float:
@@ -303,15 +311,12 @@ def _joined(docs: DataFrame, threshold: float, size: int, trees: int, target: fl
     kind = docs.schema["doc_id"].dataType.simpleString()
     sketched = rows.mapInArrow(lambda b: _sketch(b, trees, MAX_DEPTH, size), f"row bigint, doc_id {kind}, key binary, signature binary")
     sketch = stored(sketched, "sketch")
-    classes = sketch.where("key is not null").groupBy("key").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.first("signature").alias("signature"))
+    classes = sketch.where("key is not null").groupBy("key").agg(F.min("row").alias("row"), F.count("*").alias("copies"))
     classes = stored(classes.withColumn("name", F.xxhash64("key")), "classes")
-    width = 1 + VALUE * MAX_DEPTH
-    part = F.expr(f"substring(signature, {width} * tree + 1, {width})")
-    grown = classes.select("key", "name", "signature", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    grown = grown.select("key", "name", part.alias("signature")).repartitionByRange("signature", "name").sortWithinPartitions("signature", "name")
-    forest = stored(grown.mapInArrow(lambda b: _neighbours(b, MAX_DEPTH), "key binary, name bigint, signature binary, shared int").where("shared > 0"), "forest")
 
     for depth in range(MAX_DEPTH, 0, -1):
+        if depth in (MAX_DEPTH, STORED_DEPTH - 1):
+            forest = _forest(sketch, trees, STORED_DEPTH if depth >= STORED_DEPTH else 1)
         member = stored(_members(forest, depth), "members")
         found = stored(_found(rows, classes, member, threshold, size, trees, depth), "links")
         if measured_recall(found) >= target:

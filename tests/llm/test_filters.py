@@ -232,6 +232,48 @@ def test_texts_that_stand_alone_are_not_shuffled(spark):
     assert plan.count("LocalRelation") + plan.count("LogicalRDD") == 2 and "Union" in plan.splitlines()[0]
 
 
+def test_what_moves_and_is_stored_is_small(spark, monkeypatch):
+    """To the blocks go texts, not shingle sets; signatures are stored once, and of the trees only rows of long prefixes."""
+    kept = collections.defaultdict(list)
+    stored = jaccard_join.stored
+    monkeypatch.setattr(jaccard_join, "stored", lambda df, name: kept[name].append((df, stored(df, name))) or kept[name][-1][1])
+    rng = random.Random(6)
+    rows = near_copies(rng, 60) + [(1000 + k, " ".join(f"a{k}w{j}" for j in range(30))) for k in range(400)]
+    got = collections.Counter(tuple(r)[:3] for r in jaccard_join.jaccard_join(documents(spark, rows)).collect())
+    assert got == collections.Counter(brute_join(rows))
+    for df, _ in kept["links"]:
+        plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        dealt = plan[next(k for k, line in enumerate(plan) if "RepartitionByExpression [leader" in line) + 1]
+        assert " text#" in dealt and "shingles" not in dealt
+        assert sum("Join Inner" in line for line in plan) == 1  # no second join that texts go through
+    classes = {"row", "key", "copies", "name"}
+    assert [set(out.columns) for _, out in kept["classes"]] == [classes]
+    ((_, forest),) = kept["forest"]
+    assert forest.columns == ["name", "signature", "shared"]
+    # 400 documents of nothing but their own words have 32 rows each; only those at the edge of a range can be there.
+    assert 0 < forest.count() < 32 * 100
+
+
+def test_short_prefixes_come_from_trees_made_anew(spark, monkeypatch):
+    """Whatever part of the trees is stored at first, every depth sees all rows that it needs."""
+    rows = near_copies(random.Random(8), 300)
+    docs = documents(spark, rows)
+    made, depths = [], []
+    forest, found = jaccard_join._forest, jaccard_join._found
+    monkeypatch.setattr(jaccard_join, "_forest", lambda *a: made.append(a[2]) or forest(*a))
+    monkeypatch.setattr(jaccard_join, "_found", lambda *a: depths.append(a[6]) or found(*a))
+
+    def links(**kw):
+        made.clear(), depths.clear()
+        return collections.Counter(tuple(r)[:3] for r in jaccard_join.jaccard_join(docs, trees=6, target=0.97, **kw).collect())
+
+    monkeypatch.setattr(jaccard_join, "STORED_DEPTH", 1)
+    want, steps = links(), [*depths]
+    assert made == [1] and steps[-1] < 8
+    monkeypatch.setattr(jaccard_join, "STORED_DEPTH", 8)
+    assert links() == want and made == [8, 1] and depths == steps
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(f"n{k:03}", f"n{k + 1:03}") for k in range(60)] + [("x", "y"), ("z", "z")], "a string, b string")
     got = {r["node"]: r["root"] for r in jaccard_join.components(edges).collect()}
