@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,11 @@ def col(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def each(batch, name: str) -> Iterator:
+    """The values of a column of an Arrow batch, made one at a time: a list of them would hold the whole batch again."""
+    return (x.as_py() for x in batch.column(name))
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null counts as empty."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
@@ -60,7 +67,7 @@ class WordIds(dict):
     which bounds memory and changes no result.
     """
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most, self._hashes, self._table = most, [], None
 

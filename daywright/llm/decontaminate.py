@@ -14,24 +14,25 @@ item's words, or, as paraphrases do, of `LCS_LIKELY` and in it `ANSWER_SHARE` of
 (its last quarter). Words are compared in lower case without punctuation around them.
 
 The benchmark is a query set: it is taken in blocks of `ITEMS` items, each against all rows, so what
-a task holds is bounded by the block and not by the benchmark.
+a task holds is bounded by the block and not by the benchmark. Texts are taken from a batch one by one
+and searched in runs of bounded size, so beside the batch itself a task holds one run.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daywright.llm.common import col, stored
+from daywright.llm.common import col, each, stored
 
 #: Words of a passage, the most words of an item's part, items of a block.
 HOP, PART, ITEMS = 32, 64, 1_000
 
-#: Windows whose cosines are in memory at a time.
-WINDOWS = 4_096
+#: Windows whose cosines are in memory at a time, candidates whose words are.
+WINDOWS, CANDIDATES = 1_024, 2_000
 
 #: Dimensions of the latent space at most, cosine of a candidate.
 RANK, MIN_COSINE = 256, 0.35
@@ -49,7 +50,7 @@ def plain_words(text: str | None) -> list[str]:
 class Vocabulary(dict):
     """Written word -> number of its plain form: -1 outside the benchmark, -2 for no word. Remembers up to `most` forms."""
 
-    def __init__(self, terms: dict[str, int], most: int = 400_000):
+    def __init__(self, terms: dict[str, int], most: int = 50_000):
         super().__init__()
         self.terms, self.most = terms, most
 
@@ -181,8 +182,8 @@ class Index:
 
         out = np.zeros(len(lo), np.int64)
         long = np.flatnonzero(hi - lo >= self.needs[part])
-        for k in range(0, len(long), 10_000):
-            some = long[k : k + 10_000]
+        for k in range(0, len(long), CANDIDATES):
+            some = long[k : k + CANDIDATES]
             n = hi[some] - lo[some]
             row = np.repeat(np.arange(len(some)), n)
             word = ids[np.arange(len(row)) + np.repeat(lo[some] - (np.cumsum(n) - n), n)].astype(np.int64)
@@ -242,7 +243,7 @@ class Index:
         return [(*key, *value) for key, value in sorted(best.items(), key=lambda x: (x[0][0], str(x[0][1])))]
 
 
-def _groups(texts: list[tuple], most: int = 60_000) -> Iterator[list[tuple]]:
+def _groups(texts: Iterable[tuple], most: int = 60_000) -> Iterator[list[tuple]]:
     """Texts in runs of some `most` words, so that matrices stay small; a longer text is a run of its own."""
     run, n = [], 0
     for t in texts:
@@ -260,23 +261,25 @@ def _encode(batches: Iterator, terms: dict[str, int]) -> Iterator:
 
     vocabulary = Vocabulary(terms)
     for batch in batches:
-        rows = [vocabulary.encoded(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                pa.array([r[0] for r in rows], pa.int64()),
-                pa.array([r[1].tobytes() for r in rows], pa.binary()),
-                pa.array([r[2].tobytes() for r in rows], pa.binary()),
-            ],
-            ["doc_id", "n", "places", "ids"],
-        )
-
-
-def _decoded(batch) -> list[tuple]:
+        before = 0
+        for rows in _groups(map(vocabulary.encoded, each(batch, "text"))):
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id").slice(before, len(rows)),
+                    pa.array([r[0] for r in rows], pa.int64()),
+                    pa.array([r[1].tobytes() for r in rows], pa.binary()),
+                    pa.array([r[2].tobytes() for r in rows], pa.binary()),
+                ],
+                ["doc_id", "n", "places", "ids"],
+            )
+            before += len(rows)
+
+
+def _decoded(batch) -> Iterator[tuple]:
     import numpy as np
 
-    cols = [batch.column(c).to_pylist() for c in ("n", "places", "ids")]
-    return [(n, np.frombuffer(p, np.int32), np.frombuffer(i, np.int32)) for n, p, i in zip(*cols, strict=True)]
+    for n, p, i in zip(*(each(batch, c) for c in ("n", "places", "ids")), strict=True):
+        yield n, np.frombuffer(p, np.int32), np.frombuffer(i, np.int32)
 
 
 def _frequencies(batches: Iterator, terms: int) -> Iterator:
@@ -311,8 +314,8 @@ def _leaks(batches: Iterator, index: Index, item_type) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        texts, out, before = _decoded(batch), [], 0
-        for run in _groups(texts):
+        out, before = [], 0
+        for run in _groups(_decoded(batch)):
             out += [(before + t, *rest) for t, *rest in index.leaks(run)]
             before += len(run)
         rows = pa.array([x[0] for x in out], pa.int64())
@@ -327,13 +330,11 @@ def _clean(batches: Iterator, index: Index, read: str) -> Iterator:
 
     vocabulary = Vocabulary(index.terms)
     for batch in batches:
-        for k in range(0, batch.num_rows, 2_000):
-            part = batch.slice(k, 2_000)
-            texts, bad, before = [vocabulary.encoded(t) for t in part.column(read).to_pylist()], set(), 0
-            for run in _groups(texts):
-                bad |= {before + x[0] for x in index.leaks(run)}
-                before += len(run)
-            yield part.drop_columns([read]).filter(pa.array([n not in bad for n in range(part.num_rows)], pa.bool_()))
+        before = 0
+        for run in _groups(map(vocabulary.encoded, each(batch, read))):
+            bad = {x[0] for x in index.leaks(run)}
+            yield batch.slice(before, len(run)).filter(pa.array([n not in bad for n in range(len(run))], pa.bool_()))
+            before += len(run)
 
 
 def _summed(batches: Iterator) -> Iterator:
@@ -404,6 +405,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
     out, text = plain, f"c{docs.columns.index('text')}"
     for index, _ in _indexes(docs, benchmark):
-        read = out.withColumn("text", F.coalesce(text, F.lit("")))
-        out = read.mapInArrow(lambda x, index=index: _clean(x, index, "text"), plain.schema)
+        out = out.mapInArrow(lambda x, index=index: _clean(x, index, text), plain.schema)
     return out.toDF(*docs.columns)

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from daywright.llm.common import WordIds, col, fresh, mixed, shingle_hashes, stored
+from daywright.llm.common import WordIds, col, each, fresh, mixed, shingle_hashes, stored
 
 SHINGLE, THRESHOLD = 5, 0.8
 TREES, MAX_DEPTH, TARGET_RECALL = 32, 8, 0.9999
@@ -72,7 +72,7 @@ def _sketch(batches: Iterator, trees: int, depth: int, size: int) -> Iterator:
     ids = WordIds()
     for batch in batches:
         keys, found = [], []
-        for text in batch.column("text").to_pylist():
+        for text in each(batch, "text"):
             tokens = (text or "").split()
             keys.append(xxhash.xxh3_128_digest(" ".join(tokens).encode("utf-8", "surrogatepass")) if tokens else None)
             found.append(b"".join(signatures(shingle_hashes(ids.hashes(tokens), size), trees, depth)) if tokens else None)
@@ -198,7 +198,7 @@ def _compare(batches: Iterator, threshold: float, size: int, trees: int, depth:
     ids = WordIds()
     at, rows, out = None, {}, []
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("leader", "i", "j", "key", "copies", "leaders", "text", "block")]
+        cols = [each(batch, c) for c in ("leader", "i", "j", "key", "copies", "leaders", "text", "block")]
         for leader, i, j, key, copies, leaders, text, block in zip(*cols, strict=True):
             if (leader, i, j) != at:
                 if at:

@@ -5,7 +5,9 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -315,6 +317,50 @@ def test_blocks_of_the_benchmark_give_the_same(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items).collect()} == want
 
 
+@pytest.fixture(scope="module")
+def wide_batch():
+    """1,000 texts of 500 words, no word twice."""
+    import pyarrow as pa
+
+    texts = [" ".join(f"w{k:07d}" for k in range(500 * t, 500 * t + 500)) for t in range(1_000)]
+    return pa.RecordBatch.from_pydict({"row": list(range(1_000)), "doc_id": list(range(1_000)), "text": texts})
+
+
+def small_index():
+    index = decontaminate.Index(decontaminate.item_parts([(1, " ".join(f"w{k:07d}" for k in range(100, 140))), (2, "w0001000 other words")]))
+    rank = index.range_from(np.ones(len(index.terms)), 10_000).project.shape[1]
+    return index.scaled_by(np.eye(rank), 1)
+
+
+@pytest.mark.parametrize("step", ["encode", "clean", "sketch"])
+def test_a_worker_holds_little_beside_its_batch(wide_batch, monkeypatch, step):
+    read = []
+    encoded = decontaminate.Vocabulary.encoded
+    monkeypatch.setattr(decontaminate.Vocabulary, "encoded", lambda self, text: read.append(1) or encoded(self, text))
+    index = small_index()
+    steps = {
+        "encode": lambda: decontaminate._encode(iter([wide_batch]), index.terms),
+        "clean": lambda: decontaminate._clean(iter([wide_batch]), index, "text"),
+        "sketch": lambda: jaccard_join._sketch(iter([wide_batch]), 4, 8, 5),
+    }
+    tracemalloc.start()
+    try:
+        rows = steps[step]()
+        n = next(rows).num_rows
+        assert len(read) <= 200, "the whole batch was read before its first rows came out"
+        n += sum(b.num_rows for b in rows)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == (999 if step == "clean" else 1_000)
+    assert peak < 32e6
+
+
+def test_a_text_goes_once_to_the_search(spark):
+    docs, items, *_ = leak_tables(spark)
+    assert "coalesce" not in decontaminate.without_leaks(docs, items)._jdf.queryExecution().analyzed().toString()
+
+
 def test_lcs_against_the_table_method():
     rng = random.Random(5)
     for _ in range(300):
