@@ -35,18 +35,20 @@ class Tokenizer(dict):
     """Ids of whole texts as little-endian 32-bit bytes, by a tokenizer file of the tokenizers library.
 
     Byte-level pre-tokens never cross a space before a character that isn't white space, so texts are
-    taken apart there, and each distinct chunk is encoded once and remembered (up to `most` chunks; then
-    anew). `ranks`, if given, is the file of the same vocabulary as ranks, whose encoder makes the same
-    ids faster for short chunks. A text with a special token's string goes to the first file's model whole.
+    taken apart there, and each distinct chunk is encoded once and remembered: of each `most` chunks those
+    that the next `most` have again. `ranks`, if given, is the file of the same vocabulary as ranks, whose
+    encoder makes the same ids faster for short chunks. A text with a special token's string goes to the
+    first file's model whole.
     """
 
     #: How a text falls into pre-tokens: a fixed value that belongs to the vocabulary.
     PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-    def __init__(self, path: str, ranks: str | None = None, most: int = 500_000, short: int = 1_000):
+    def __init__(self, path: str, ranks: str | None = None, most: int = 50_000, short: int = 1_000):
         from tokenizers import Tokenizer as Model
 
         super().__init__()
+        self.before: dict[str, bytes] = {}
         self.model, self.fast, self.most, self.short = Model.from_file(path), None, most, short
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         if ranks:
@@ -72,8 +74,14 @@ class Tokenizer(dict):
     def __missing__(self, chunk: str) -> bytes:
         import struct
 
-        ids = self.fast.encode_ordinary(chunk) if self.fast and len(chunk) <= self.short else self._ids(chunk)
-        self[chunk] = out = struct.pack(f"<{len(ids)}I", *ids)
+        out = self.before.pop(chunk, None)
+        if out is None:
+            ids = self.fast.encode_ordinary(chunk) if self.fast and len(chunk) <= self.short else self._ids(chunk)
+            out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self) >= self.most:
+            self.before = dict(self)
+            self.clear()
+        self[chunk] = out
         return out
 
     def _ids(self, text: str) -> list[int]:
@@ -82,8 +90,6 @@ class Tokenizer(dict):
     def encoded(self, texts: list[str]) -> list[bytes]:
         import struct
 
-        if len(self) > self.most:
-            self.clear()
         out = []
         for t in texts:
             if any(s in t for s in self.special):

@@ -44,6 +44,14 @@ def test_remembered_chunks_make_the_same_ids(model):
             assert mine.encoded([text])[0] == np.array(encode(model, text), "<u4").tobytes(), repr(text)
 
 
+def test_remembered_chunks_are_few_and_those_in_use_stay(model):
+    mine = packing.Tokenizer(TOKENIZER, RANKS)
+    for k in range(0, 150_000, 1_000):
+        mine.encoded(["often " + " ".join(f"q{n}" for n in range(k, k + 1_000))])
+        assert len(mine) + len(mine.before) <= 100_000
+    assert "often" in {**mine, **mine.before}
+
+
 def check_packing(rows, length, segments):
     """Pieces in place; no limit broken. Returns the sequences' sizes."""
     by_sequence = collections.defaultdict(list)
