@@ -24,8 +24,8 @@ def byte_bpe() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written once to the shared folder and read back.
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """The rows written once to the shared folder, with these options of the writer, and read back.
 
     It cuts the lineage: after the loss of an executor the readers start from the files, and what
     was decided from one reading holds for every later one. The folder belongs to the cluster,
@@ -33,7 +33,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

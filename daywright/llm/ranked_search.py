@@ -50,10 +50,41 @@ PIECE = 1 << 20
 
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
-_INDEX = (
-    "terms array<binary>, dfs binary, ids array<bigint>, levels array<bigint>, "
-    "branches binary, falls binary, rows binary, columns binary"
-)
+_INDEX = "terms binary, lengths binary, dfs binary, ids binary, nulls binary, levels binary, branches binary, falls binary, rows binary, columns binary"
+
+#: A block is packed, so it is neither compressed again nor put in a dictionary; a file's writer and its readers hold two or three blocks.
+_FILES = {
+    "compression": "uncompressed",
+    "parquet.enable.dictionary": "false",
+    "parquet.block.size": str(4 << 20),
+    "parquet.block.size.row.check.min": "1",
+    "parquet.page.size.row.check.min": "1",
+}
+
+
+def _packed(x) -> bytes:
+    """Numbers with the first bytes of all before the second ones, compressed, behind their size."""
+    import numpy as np
+
+    data = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return data.nbytes.to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(data, asbytes=True)
+
+
+def _unpacked(batch: pa.RecordBatch, i: int, name: str, kind):
+    import numpy as np
+
+    held, kind = batch.column(name)[i].as_buffer(), np.dtype(kind)
+    data = pa.Codec("zstd").decompress(held[8:], decompressed_size=int.from_bytes(held[:8], "little"))
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
+def _names(batch: pa.RecordBatch, i: int) -> pa.Array:
+    """The terms of a block."""
+    import numpy as np
+
+    ends = np.cumsum(_unpacked(batch, i, "lengths", "<u4"), dtype=np.int64)
+    offsets = np.concatenate([[0], ends]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(_unpacked(batch, i, "terms", np.uint8))])
 
 
 def _pieces(data: bytes) -> Iterator[list[bytes]]:
@@ -121,11 +152,13 @@ class _Points:
         import numpy as np
 
         if self.waiting:
-            keys, counts = np.unique(np.concatenate(self.waiting), return_counts=True)
-            self.keys.append(keys)
-            self.counts.append(counts)
-            self.n_points += len(keys)
+            keys = np.concatenate(self.waiting)
             self.waiting, self.n_waiting = [], 0
+            keys.sort()
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            self.counts.append(np.diff(first, append=len(keys)).astype(np.uint32))
+            self.keys.append(keys[first])
+            self.n_points += len(first)
 
     @property
     def full(self) -> bool:
@@ -133,43 +166,55 @@ class _Points:
             self.count()
         return self.n_points >= BLOCK_POINTS
 
-    def block(self, docs: int, terms: int) -> pa.RecordBatch:
+    def points(self):
+        """Terms, documents and frequencies of the points, by document and then term."""
         import numpy as np
 
         self.count()
-        keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
-        order = np.argsort(keys, kind="stable")
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        keys, tf = keys[first], np.add.reduceat(counts, first).astype(np.int64)
-        row, column = keys & 0xFFFFFFFF, keys >> 32
-        self.keys, self.counts, keys, counts, order, first = [], [], None, None, None, None
+        keys, tf = (np.concatenate(x) if len(x) > 1 else x[0] for x in (self.keys, self.counts))
+        self.keys, self.counts = [], []
+        if not (keys[1:] > keys[:-1]).all():  # a document was counted in parts
+            order = np.argsort(keys, kind="stable")
+            keys, tf = keys[order], tf[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            keys, tf = keys[first], np.add.reduceat(tf, first)
+        return (keys & 0xFFFFFFFF).astype(np.uint32), (keys >> 32).astype(np.uint32), tf
+
+    def block(self, docs: int, terms: int) -> pa.RecordBatch:
+        """The block of these points, which are given away."""
+        import numpy as np
 
+        row, column, tf = self.points()
         df = np.bincount(row, minlength=len(self.numbers))
         by_df = np.argsort(-df, kind="stable")
-        place = np.empty_like(by_df)
+        names = list(self.numbers)
+        self.numbers = None
+        names = [names[i] for i in by_df]
+        lengths = np.fromiter(map(len, names), np.uint32, len(names))
+        packed = {"terms": _packed(np.frombuffer(b"".join(names), np.uint8)), "lengths": _packed(lengths), "dfs": _packed(df[by_df].astype(np.uint32))}
+        place = np.empty(len(by_df), np.uint32)
         place[by_df] = np.arange(len(by_df))
+        n_rows, names, lengths, df, by_df = len(df), None, None, None, None
+        row = place[row]
+
         # documents of one language and length lie together: their most frequent term, then their size
-        frequent = np.maximum.reduceat((tf << 32) | (0xFFFFFFFF - place[row]), np.searchsorted(column, np.arange(len(self.ids))))
+        frequent = np.maximum.reduceat((tf.astype(np.int64) << 32) | (0xFFFFFFFF - row), np.searchsorted(column, np.arange(len(self.ids))))
         main = 0xFFFFFFFF - (frequent & 0xFFFFFFFF)
         alike = np.lexsort((np.array(self.sizes), main))
-        rank = np.empty(len(alike), np.int64)
+        rank = np.empty(len(alike), np.uint32)
         rank[alike] = np.arange(len(alike))
 
         m = np.array([75 + 25 * n * docs // terms for n in self.sizes], np.int64)
-        impact = 1_000_000_000 * tf // (1000 * tf + 12 * m[column])
-        levels, branches, falls, rows, columns = _treap(place[row] << STRETCH, rank[column], impact, len(df), len(self.ids))
-        names = list(self.numbers)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([[names[i] for i in by_df]], pa.list_(pa.binary())),
-                pa.array([df[by_df].astype("<u4").tobytes()], pa.binary()),
-                pa.array([[self.ids[d] for d in alike]], pa.list_(pa.int64())),
-                pa.array([levels], pa.list_(pa.int64())),
-                *[pa.array([x.tobytes()], pa.binary()) for x in (branches, falls, rows, columns)],
-            ],
-            ["terms", "dfs", "ids", "levels", "branches", "falls", "rows", "columns"],
-        )
+        impact = tf * np.int64(1_000_000_000)
+        impact //= 1000 * tf.astype(np.int64) + 12 * m[column]
+        impact, column, tf = impact.astype(np.uint32), rank[column], None
+        row <<= np.uint32(STRETCH)
+        levels, *nodes = _treap(row, column, impact, n_rows, len(self.ids))
+        ids, null = np.array([d or 0 for d in self.ids], np.int64)[alike], np.array([d is None for d in self.ids], np.uint8)[alike]
+        packed |= {"ids": _packed(ids), "nulls": _packed(null), "levels": _packed(np.array(levels, np.int64))}
+        for name in ("branches", "falls", "rows", "columns"):
+            packed[name] = _packed(nodes.pop(0))
+        return pa.RecordBatch.from_pydict({name: pa.array([x], pa.binary()) for name, x in packed.items()})
 
 
 def _spread(x):
@@ -178,7 +223,8 @@ def _spread(x):
 
     x = x.astype(np.uint64)
     for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        x = (x | (x << np.uint64(shift))) & np.uint64(mask)
+        x |= x << np.uint64(shift)
+        x &= np.uint64(mask)
     return x
 
 
@@ -192,7 +238,9 @@ def _treap(row, column, value, n_rows: int, n_columns: int):
     import numpy as np
 
     height = _height(n_rows, n_columns)
-    place = (_spread(row) << np.uint64(1)) | _spread(column)
+    place = _spread(row)
+    place <<= np.uint64(1)
+    place |= _spread(column)
     order = np.argsort(place)
     place, row, column, value = place[order], row[order], column[order], value[order]
     levels, branches, falls, rows, columns = [], [], [], [], []
@@ -204,7 +252,8 @@ def _treap(row, column, value, n_rows: int, n_columns: int):
         cell = place >> np.uint64(2 * size)
         starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         cells = cell[starts]
-        ahead = (value << 32) | (0xFFFFFFFF - np.arange(len(value)))
+        ahead = value.astype(np.int64) << 32
+        ahead |= np.arange(0xFFFFFFFF, 0xFFFFFFFF - len(value), -1)
         best = 0xFFFFFFFF - (np.maximum.reduceat(ahead, starts) & 0xFFFFFFFF)
         if level:
             parent = np.searchsorted(above, cells >> np.uint64(2))
@@ -233,26 +282,22 @@ class _Treap:
     def __init__(self, batch: pa.RecordBatch, i: int):
         import numpy as np
 
-        def of(name, kind):
-            return np.frombuffer(batch.column(name)[i].as_buffer(), kind)
-
-        ids = batch.column("ids")[i].values
-        self.ids = ids.to_pylist()
-        self.null = np.array([d is None for d in self.ids])
-        self.order = np.array([(1 << 63) - 1 if d is None else d for d in self.ids], np.int64)
-        self.terms = batch.column("terms")[i].values
-        self.height = _height(len(self.terms), len(self.ids))
+        ids = _unpacked(batch, i, "ids", np.int64)
+        self.null = _unpacked(batch, i, "nulls", np.uint8).astype(bool)
+        self.order = np.where(self.null, (1 << 63) - 1, ids)
+        self.terms = _names(batch, i)
+        self.height = _height(len(self.terms), len(self.order))
         least = [self.order]  # the least id of each range of 1, 2, 4, ... documents
         while len(least[-1]) > 1:
             last = least[-1] if len(least[-1]) % 2 == 0 else np.append(least[-1], least[-1][-1])
             least.append(np.minimum(last[::2], last[1::2]))
         self.least, self.least_at = np.concatenate(least), np.cumsum([0, *map(len, least[:-1])])
         self.ones = np.frombuffer(self._ONES, np.uint8)
-        branches = of("branches", np.uint8)
+        branches = _unpacked(batch, i, "branches", np.uint8)
         n_below = self.ones[branches]
         self.link = (1 + np.cumsum(n_below, dtype=np.int64) - n_below) << 4 | branches
-        self.value, row, column = (of(c, "<u4").astype(np.int64) for c in ("falls", "rows", "columns"))
-        counts, at = batch.column("levels")[i].values.to_pylist(), 0
+        self.value, row, column = (_unpacked(batch, i, c, "<u4").astype(np.int64) for c in ("falls", "rows", "columns"))
+        counts, at = _unpacked(batch, i, "levels", np.int64).tolist(), 0
         cell_row = cell_column = np.zeros(1, np.int64)
         for level, (count, below) in enumerate(zip(counts, counts[1:])):
             size = self.height - level - 1
@@ -348,7 +393,7 @@ def _descend(treap: _Treap, rows, weights, best: _Best) -> None:
             there = have & (mask >> child & 1 > 0)
             below = np.where(there, (link >> 4) + treap.ones[mask & (1 << child) - 1], 0)
             start = low[now] + (half << size)
-            some = start < len(treap.ids)
+            some = start < len(treap.order)
             at = treap.range_number(np.where(some, start, 0), size)
             top = (np.maximum(np.where(there, treap.value[below], 0), met[at]) * weights).sum(axis=1)
             some &= top > 0
@@ -365,7 +410,7 @@ def _searched(items: list, terms: list[bytes], weights: list[int], k: int):
         import numpy as np
         import pyarrow.compute as pc
 
-        wanted, weight = pa.array(terms, pa.binary()), np.array(weights, np.int64)
+        wanted, weight = pa.array(terms, pa.large_binary()), np.array(weights, np.int64)
         best = [_Best(k) for _ in items]
         for batch in batches:
             for i in range(batch.num_rows):
@@ -393,12 +438,12 @@ def _frequencies(terms: list[bytes]):
         import numpy as np
         import pyarrow.compute as pc
 
-        wanted, total = pa.array(terms, pa.binary()), np.zeros(len(terms), np.int64)
+        wanted, total = pa.array(terms, pa.large_binary()), np.zeros(len(terms), np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
-                number = pc.index_in(batch.column("terms")[i].values, value_set=wanted)
+                number = pc.index_in(_names(batch, i), value_set=wanted)
                 there = number.is_valid().to_numpy(zero_copy_only=False)
-                total[number.drop_null().to_numpy()] += np.frombuffer(batch.column("dfs")[i].as_buffer(), "<u4")[there]
+                total[number.drop_null().to_numpy()] += _unpacked(batch, i, "dfs", "<u4")[there]
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], ["term", "df"])
 
@@ -448,7 +493,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> In
         if points.ids:
             yield points.block(n_docs, n_terms)
 
-    return Index(stored(shown.mapInArrow(blocks, _INDEX), "search-index"), n_docs, n_terms)
+    return Index(stored(shown.mapInArrow(blocks, _INDEX), "search-index", **_FILES), n_docs, n_terms)
 
 
 def _query_sets(items: DataFrame, item_col: str, text_col: str) -> Iterator[list]:
@@ -473,7 +518,7 @@ def _of_set(index: Index, queries: list, k: int, item_col: str, item_type) -> Da
     numbers: dict[bytes, int] = {}
     items = [([numbers.setdefault(t, len(numbers)) for t in terms], times) for _, terms, times in queries]
     terms = list(numbers)
-    df = index.blocks.select("terms", "dfs").mapInArrow(_frequencies(terms), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    df = index.blocks.select("terms", "lengths", "dfs").mapInArrow(_frequencies(terms), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
     weights = [0] * len(terms)
     for term, n in df.collect():
         weights[term] = math.floor(1000 * math.log((2 * index.docs + 2) / (2 * n + 1)))

@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.dataset as ds
 import pytest
 
 from daywright.llm import ranked_search
@@ -98,6 +99,31 @@ def test_a_treap_holds_each_point_once():
     assert levels[0] == 1 and falls[0] == value.max()
 
 
+def test_blocks_are_packed():
+    random.seed(7)
+    points = ranked_search._Points()
+    docs = [(None if k == 3 else -k if k % 2 else k, " ".join(f"w{int(random.paretovariate(0.3)) % 9973}" for _ in range(300))) for k in range(100)]
+    for doc_id, text in docs:
+        points.add(doc_id, text.encode())
+    n_points = sum(len(set(terms_of(text))) for _, text in docs)
+    block = points.block(100, 30_000)
+    assert block.nbytes < 8 * n_points  # 13 bytes a point and the terms as they are made JVM and workers hold several times a block
+    treap = ranked_search._Treap(block, 0)
+    assert len(treap.value) == n_points
+    assert sorted(treap.terms.to_pylist()) == sorted({t.encode() for _, text in docs for t in terms_of(text)})
+    assert sorted(np.where(treap.null, 10**6, treap.order)) == sorted(10**6 if d is None else d for d, _ in docs)
+
+
+def test_a_stored_block_is_read_without_the_others(spark, monkeypatch):
+    monkeypatch.setattr(ranked_search, "BLOCK_POINTS", 400)
+    monkeypatch.setitem(ranked_search._FILES, "parquet.block.size", "1024")
+    index = ranked_search.build(documents(spark, corpus(2, 150)).coalesce(1))
+    files = [f.removeprefix("file://") for f in index.blocks.inputFiles()]
+    groups = [g for f in ds.dataset(files).get_fragments() for g in f.row_groups]
+    assert sum(g.num_rows for g in groups) == index.blocks.count() >= 8
+    assert max(g.num_rows for g in groups) <= 2
+
+
 def test_odd_clashing_and_no_rows(spark, odd, clashing, no_docs, items):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     asked = [(1, "tok7 end word5x5 naïve 漢字"), (2, "one TWO two")]
